@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, url_filter
+from . import fingerprint, minhash, mixing, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -104,6 +104,11 @@ FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source LEFT JOIN edge
 """
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: sets of 4-word shingles, Jaccard similarity of 0.8 or more."""
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical exact digests of all documents and of their edited texts."""
     return fingerprint.fingerprint_report(_read(spark, sf_dir, "documents"))
@@ -112,6 +117,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
+    "op7_minhash": op7_minhash,
     "op9_fingerprints": op9_fingerprints,
 }
 
