@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, minhash, mixing, url_filter
+from . import fingerprint, minhash, mixing, quality, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -104,6 +104,11 @@ FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source LEFT JOIN edge
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a factorisation machine learnt outside the held-out fold."""
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), 0.7)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: sets of 4-word shingles, Jaccard similarity of 0.8 or more."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
@@ -114,11 +119,18 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(_read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by the string-kernel machine learnt outside the held-out fold."""
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), 0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
+    "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op3_mixing": OP3_SQL}
