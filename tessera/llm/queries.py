@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, minhash, mixing, quality, toxicity, url_filter
+from . import fingerprint, minhash, mixing, packing, quality, tokens, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -104,6 +104,11 @@ FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source LEFT JOIN edge
 """
 
 
+def op5_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id matrices of all documents, sequences of 2048 ids."""
+    return packing.write_matrices(_read(spark, sf_dir, "documents"), tokens.default_path(), 2048)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by a factorisation machine learnt outside the held-out fold."""
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), 0.7)
@@ -114,6 +119,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokens.default_path(), 1024)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical exact digests of all documents and of their edited texts."""
     return fingerprint.fingerprint_report(_read(spark, sf_dir, "documents"))
@@ -127,8 +137,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
+    "op5_token_matrices": op5_token_matrices,
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
+    "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
