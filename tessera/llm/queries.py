@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, minhash, mixing, packing, quality, tokens, toxicity, url_filter
+from . import embeddings, fingerprint, minhash, mixing, packing, quality, tokens, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -104,6 +104,11 @@ FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source LEFT JOIN edge
 """
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings with equal labels at a cosine of 0.98 or more."""
+    return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op5_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id matrices of all documents, sequences of 2048 ids."""
     return packing.write_matrices(_read(spark, sf_dir, "documents"), tokens.default_path(), 2048)
@@ -137,6 +142,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
+    "op4_embeddings": op4_embeddings,
     "op5_token_matrices": op5_token_matrices,
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
