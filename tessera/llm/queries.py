@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprint, minhash, mixing, packing, quality, tokens, toxicity, url_filter
+from . import embeddings, fingerprint, minhash, mixing, packing, quality, suffix, tokens, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents covered by 50-byte strings that also start in a smaller document."""
+    return suffix.dedup_substrings(_read(spark, sf_dir, "documents"), 50, with_text=False)
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against a list made by a rule from their own hosts.
 
@@ -140,6 +145,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
     "op4_embeddings": op4_embeddings,

@@ -186,10 +186,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def pid_salt() -> F.Column:
-    return F.spark_partition_id()
-
-
 # --- streams of sorted rows -----------------------------------------------------------------
 
 
