@@ -228,9 +228,9 @@ def _verified(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> Dat
     spread = F.when(F.col("pivot") & (F.col("n_blocks") > 1), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
     blocks = sets.select("*", F.explode(spread).alias("block"), F.lit(0).alias("chunk"), F.col("doc_id").alias("label"))
     links = materialize(_link(blocks, percent), "links-in-blocks")
-    if sizes.isEmpty():
-        return links
-    return links.union(_across(sets, components(links), own, percent))
+    across = [] if sizes.isEmpty() else [_across(sets, components(links), own, percent)]
+    release(sets, sizes, grouped)
+    return links.union(across[0]) if across else links
 
 
 def _across(sets: DataFrame, found: DataFrame, own, percent: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _across(sets: DataFrame, found: DataFrame, own, percent: int) -> DataFrame:
     rest = labels.join(main, F.col("group") == F.col("g")).where("label <> main")
     chunks = materialize(rest.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_chunks")).select(F.col("group").alias("cg"), "n_chunks"), "chunks")
     if chunks.isEmpty():
-        return found.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
+        return found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     labelled = labels.join(main, F.col("group") == F.col("g")).join(chunks, F.col("group") == F.col("cg")).select(F.col("doc_id").alias("l_id"), "label", (F.col("label") != F.col("main")).alias("left_over"), "n_chunks")
     rows = large.join(labelled, F.col("doc_id") == F.col("l_id"))
     each = F.sequence(F.lit(0), F.col("n_chunks") - 1)

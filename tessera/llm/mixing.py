@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     return levels.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * settled).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", with_rows: bool = False) -> DataFrame:
     """How many words of each document a mix with the given source weights takes.
 
     Returns one row per row of ``docs``: doc_id, size (words; null text: 0), source_size,
@@ -61,19 +61,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     below the source's hash threshold, and the document at the threshold is added if that
     brings the sum nearer. Rows with the same doc_id share a hash and are used alike. An
     empty table gives no rows; a source without words has target 0. Other columns of
-    ``docs`` are not read.
+    ``docs`` are not read; ``with_rows`` returns the whole row in addition, as struct ``row``.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    base = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order_hash(F.col("doc_id")).alias("h")), "mix-sizes")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), order_hash(F.col(doc_id)).alias("h"), F.struct(*docs.columns).alias("row"))
+    base = materialize(keyed.drop("row"), "mix-sizes")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
     edge = targets.select("source", "source_size", "target", whole.alias("whole"), F.floor(F.col("target") - whole * F.col("source_size")).cast("long").alias("rest"), F.lit(0).cast("long").alias("prefix"))
     edge = materialize(edge, "mix-targets")
     for level in range(1, LEVELS + 1):
         edge = _refine(base, edge, level)
-    same = base["source"].eqNullSafe(edge["source"])
+    rows = (keyed if with_rows else base).withColumnRenamed("source", "of")
     used = F.col("whole") + F.when((F.col("h") < F.col("prefix")) | ((F.col("h") == F.col("prefix")) & F.col("take_edge")), 1).otherwise(0)
-    return base.join(edge, same, "left").select(base["doc_id"], "size", "source_size", "target", (F.col("size") * used).alias("taken"))
+    out = rows.join(edge, F.col("of").eqNullSafe(F.col("source")), "left")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * used).alias("taken"), *["row"] * with_rows)
 
 
 def _refine(base: DataFrame, edge: DataFrame, level: int) -> DataFrame:

@@ -16,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents covered by 50-byte strings that also start in a smaller document."""
-    return suffix.dedup_substrings(_read(spark, sf_dir, "documents"), 50, with_text=False)
+    return suffix.dedup_substrings(_read(spark, sf_dir, "documents"), 50, with_rows=False)
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

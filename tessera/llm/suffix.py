@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import _BASE, _BASE_INV, _TABLE, column_bytes, map_arrow, materialize, mix, partitions, powers, release, signed, slices
+from .shared import _BASE, _BASE_INV, _TABLE, arrow_schema, column_bytes, map_arrow, materialize, mix, partitions, powers, release, signed, slices, to_batch
 
 LENGTH, SEED = 50, 20
 BLOCK = 1 << 20
@@ -121,30 +122,30 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], schema=kinds)
 
 
-def _by_text(batches: Iterator[pa.RecordBatch], done: Callable[[tuple, bytes, int, np.ndarray], None], flush: Callable[[], Iterator]) -> Iterator:
-    """Call ``done`` with each text (key, bytes, how many equal rows, found (at, upto)); ``flush`` yields what is ready."""
-    key, text, times, found = None, b"", 0, []
+def _by_text(batches: Iterator[pa.RecordBatch], done: Callable[[tuple, bytes, list, np.ndarray], None], flush: Callable[[], Iterator]) -> Iterator:
+    """Call ``done`` with each text (key, bytes, the other columns of its equal rows, found (at, upto)); ``flush`` yields what is ready."""
+    key, text, rows, found = None, b"", [], []
 
     def end() -> None:
-        if times:
-            done(key, text, times, np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64))
+        if rows:
+            done(key, text, rows, np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         doc, crc = batch.column("doc_id").to_numpy(), batch.column("crc").to_numpy()
         at, upto = (batch.column(k).fill_null(-1).to_numpy() for k in ("at", "upto"))
-        body = batch.column("text")
+        body, carries = batch.column("text"), "row" in batch.schema.names
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])]))
         for lo, hi in zip(cut, np.append(cut[1:], len(doc)), strict=True):
             k = (int(doc[lo]), int(crc[lo]))
             if k != key:
                 end()
-                key, text, times, found = k, b"", 0, []
+                key, text, rows, found = k, b"", [], []
             texts = int((at[lo:hi] < 0).sum())
             if texts:
                 text = (body[int(lo)].as_py() or "").encode("utf-8", "surrogatepass")
-                times += texts
+                rows += batch.column("row").slice(lo, texts).to_pylist() if carries else [None] * texts
             if hi - lo > texts:
                 found.append(np.stack([at[lo + texts : hi], upto[lo + texts : hi]]))
         yield from flush()
@@ -154,8 +155,8 @@ def _by_text(batches: Iterator[pa.RecordBatch], done: Callable[[tuple, bytes, in
 
 def _with_text(base: DataFrame, found: DataFrame) -> DataFrame:
     """Texts and what was found for them, together and sorted; found: doc_id, crc, at, upto."""
-    texts = base.select("doc_id", "crc", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("upto"), "text")
-    rows = texts.unionByName(found.select("doc_id", "crc", "at", "upto", F.lit(None).cast("string").alias("text")))
+    texts = base.select("*", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("upto"))
+    rows = texts.unionByName(found.select("doc_id", "crc", "at", "upto"), allowMissingColumns=True)
     return rows.repartition(partitions(base.sparkSession), "doc_id", "crc").sortWithinPartitions("doc_id", "crc", F.col("at").asc_nulls_first())
 
 
@@ -168,7 +169,7 @@ def _segment_rows(length: int, seed: int):
         held = [0]
         seen = [np.zeros(0, np.uint64)]
 
-        def done(key: tuple, text: bytes, times: int, found: np.ndarray) -> None:
+        def done(key: tuple, text: bytes, rows: list, found: np.ndarray) -> None:
             if found.shape[1]:
                 texts.append((key, text, np.unique(found[0])))
                 held[0] += len(text)
@@ -471,28 +472,25 @@ def _compare_segments(length: int):
     return run
 
 
-def _apply(with_text: bool):
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    fields += [("kept", pa.binary())] if with_text else []
-    fields += [("crc", pa.int64())] if with_text else []
-    kinds = pa.schema(fields)
+def _apply(schema: str):
+    kinds = arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {k: [] for k, _ in fields}
+        out: dict[str, list] = {k.name: [] for k in kinds}
 
-        def done(key: tuple, text: bytes, times: int, found: np.ndarray) -> None:
+        def done(key: tuple, text: bytes, rows: list, found: np.ndarray) -> None:
             spans = union(found[0], found[1])
             kept = text
             if len(spans):
-                edges = [0, *np.stack(spans.T, 1).reshape(-1).tolist(), len(text)]
+                edges = [0, *spans.reshape(-1).tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            row = {"doc_id": key[0], "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept, "crc": key[1]}
+            row = {"doc_id": key[0], "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept}
             for k, v in out.items():
-                v += [row[k]] * times
+                v += rows if k == "row" else [row[k]] * len(rows)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out["doc_id"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in fields], schema=kinds)
+                yield to_batch(out, kinds)
                 for v in out.values():
                     v.clear()
 
@@ -518,34 +516,34 @@ def repeated_intervals(base: DataFrame, length: int = LENGTH, seed: int = SEED)
     shared = rows.repartition(n, "h").sortWithinPartitions("h", "doc_id").mapInArrow(_shared_anchors, "doc_id long, place long")
     shared = materialize(shared, "shared-anchors")
     found = shared.select("doc_id", F.shiftright("place", _POSITION).alias("crc"), F.col("place").bitwiseAND(F.lit((1 << _POSITION) - 1)).alias("at"), F.lit(0).cast("long").alias("upto"))
-    segments = _with_text(base, found).mapInArrow(_segment_rows(length, seed), "h long, s long, doc_id long, place long, before int, size int, segment binary")
+    segments = _with_text(base.select("doc_id", "crc", "text"), found).mapInArrow(_segment_rows(length, seed), "h long, s long, doc_id long, place long, before int, size int, segment binary")
     removed = segments.repartition(n, "h").sortWithinPartitions("h", "s", "doc_id").mapInArrow(_compare_segments(length), "doc_id long, crc long, at long, upto long")
     removed = materialize(removed, "repeated-intervals")
     release(shared)
     return removed
 
 
-def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.crc32(body.cast("binary")).alias("crc"))
-
-
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_rows: bool = True) -> DataFrame:
     """Remove from each text every byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Returns one row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs), kept_sha256 and, if asked for, kept (the remaining bytes; a cut
-    may fall within a character) and crc (of the text). Texts are UTF-8 bytes, null is empty; strings do
-    not cross documents and are judged on the input. Rows without doc_id have no order:
-    they lose nothing and nothing is removed for them. Rows that repeat a doc_id lose what
-    smaller doc_ids have, nothing to each other. Texts shorter than ``length`` stay; an
-    empty table gives no rows; other columns are not read.
+    removed runs), kept_sha256 and, with ``with_rows``, kept (the remaining bytes; a cut
+    may fall within a character) and row (the other columns as they were). Texts are UTF-8 bytes, null is
+    empty; strings do not cross documents and are judged on the input. Rows without
+    doc_id have no order: they lose nothing and nothing is removed for them. Rows that
+    repeat a doc_id lose what smaller doc_ids have, nothing to each other. Texts shorter
+    than ``length`` stay; an empty table gives no rows.
     """
-    base = _base(docs, doc_id, text)
+    body = F.coalesce(F.col(text), F.lit(""))
+    others = [c for c in docs.columns if c not in (doc_id, text)]
+    row = [F.struct(*others).alias("row")] if with_rows and others else []
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.crc32(body.cast("binary")).alias("crc"), *row)
     known = base.where("doc_id is not null")
     removed = repeated_intervals(known, length)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, crc long" * with_text
-    out = _with_text(known, removed).mapInArrow(_apply(with_text), schema)
-    body = F.col("text").cast("binary")
-    same = [F.col("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(body, 256).alias("kept_sha256")]
-    return out.union(base.where("doc_id is null").select(*same, *([body.alias("kept"), "crc"] if with_text else [])))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_rows
+    schema += f", row {base.schema['row'].dataType.simpleString()}" if row else ""
+    out = _with_text(known, removed).mapInArrow(_apply(schema), schema)
+    raw = F.col("text").cast("binary")
+    zero = F.lit(0).cast("long")
+    same = [F.col("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256")]
+    return out.union(base.where("doc_id is null").select(*same, *[raw.alias("kept")] * with_rows, *["row"] * bool(row)))
