@@ -2,9 +2,10 @@
 
 Finding. A string of LENGTH bytes contains LENGTH - SEED + 1 seeds (substrings of SEED
 bytes); the leftmost with the least hash is its anchor. Equal strings have equal anchors,
-so only about one position in sixteen is shuffled, and only anchors that occur in two
-documents go on. Around each, the segment that holds every string with this anchor
-is cut out (at most 2 * LENGTH - SEED bytes).
+so only about one position in eighteen is shuffled. Of the bytes that a string has besides
+its anchor at least half lie on one side of it, so only anchors go on that have in two
+documents equal bytes on a side, told by a small fingerprint. Around each, the segment
+that holds every string with this anchor is cut out (at most 2 * LENGTH - SEED bytes).
 
 Comparing. The distinct segments of the anchors of a batch form a collection whose suffix
 array is built column by column: each round inserts one symbol of every segment, from
@@ -33,11 +34,12 @@ from pyspark.sql.types import StructType
 
 from .shared import _BASE, _BASE_INV, _TABLE, arrow_schema, column_bytes, map_arrow, materialize, mix, partitions, powers, release, signed, slices, to_batch
 
-LENGTH, SEED = 50, 20
+LENGTH, SEED = 50, 16
 BLOCK = 1 << 20
 SPOOL = 8 << 20
 BATCH = 8192
 SEEN = 400_000
+NO_SIDE = 255
 _POSITION = 31
 
 
@@ -84,32 +86,57 @@ def _anchor_rows(length: int, seed: int):
             off = offsets[i : j + 1] - offsets[i]
             at, h = anchors(data[offsets[i] : offsets[j]], off, length, seed)
             row = np.searchsorted(off, at, "right") - 1
-            yield {"h": signed(h), "doc_id": doc[i + row], "place": (crc[i + row] << _POSITION) | (at - off[row])}
+            sides = side_marks(data[offsets[i] : offsets[j]], off, at, row, length, seed)
+            yield {"h": signed(h), "doc_id": doc[i + row], "place": (crc[i + row] << _POSITION) | (at - off[row]), "sides": sides}
 
     return run
 
 
+def side_marks(buf: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Of each anchor eight bits of the hash of the bytes before it and after it (NO_SIDE: the text has too few), as one number."""
+    half = (length - seed + 1) // 2
+    if not len(at):
+        return np.zeros(0, np.int32)
+    sums = prefix_hashes(buf)
+    out = np.zeros(len(at), np.int32)
+    for start, end in ((at - half, at), (at + seed, at + seed + half)):
+        fits = (start >= offsets[row]) & (end <= offsets[row + 1])
+        mark = substring_hashes(sums, np.where(fits, start, 0), np.where(fits, end, 0)) % np.uint64(NO_SIDE)
+        out = out * 256 + np.where(fits, mark.astype(np.int32), NO_SIDE)
+    return out
+
+
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, doc_id): those whose anchor occurs in two documents or more."""
+    """Of rows sorted by h: those whose anchor, with the bytes on a side of it, occurs in two documents or more.
+
+    An anchor that goes on in the next batch is judged without its sides and passed through, so
+    no anchor is ever held as a whole, however common.
+    """
     kinds = pa.schema([("doc_id", pa.int64()), ("place", pa.int64())])
     held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last anchor, as long as all are of one document
     last, shared = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, place = (batch.column(k).to_numpy() for k in ("h", "doc_id", "place"))
+        h, doc, place, sides = (batch.column(k).to_numpy() for k in ("h", "doc_id", "place", "sides"))
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(cut, len(h)))
-        many = doc[cut] != doc[cut + size - 1]
+        many = np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
+        inner = many.copy()
+        inner[-1] = False
         out = []
         if last is not None and h[0] == last[0]:
-            shared = shared or many[0] or doc[0] != last[1]
+            inner[0] = False
+            shared = bool(shared or many[0] or doc[0] != last[1])
             if shared:
                 out, held = held, []
             many[0] = shared
         else:
-            held, shared = [], many[0]
+            held, shared = [], bool(many[0])
         keep = np.repeat(many, size)
+        rows = np.flatnonzero(np.repeat(inner, size))
+        if len(rows):
+            keep[rows] = _side_in_two(np.repeat(np.arange(len(cut)), size)[rows], doc[rows], sides[rows])
         out.append((doc[keep], place[keep]))
         if len(cut) > 1:
             held = []
@@ -122,6 +149,19 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], schema=kinds)
 
 
+def _side_in_two(anchor: np.ndarray, doc: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Whether a row's mark of either side occurs with its anchor in another document."""
+    out = np.zeros(len(anchor), bool)
+    for mark in (sides >> 8, sides & 255):
+        key = anchor * 256 + mark
+        order = np.argsort(key)
+        k, d = key[order], doc[order]
+        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        two = (np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut)) & (k[cut] % 256 != NO_SIDE)
+        out[order] |= np.repeat(two, np.diff(np.append(cut, len(k))))
+    return out
+
+
 def _by_text(batches: Iterator[pa.RecordBatch], done: Callable[[tuple, bytes, list, np.ndarray], None], flush: Callable[[], Iterator]) -> Iterator:
     """Call ``done`` with each text (key, bytes, the other columns of its equal rows, found (at, upto)); ``flush`` yields what is ready."""
     key, text, rows, found = None, b"", [], []
@@ -162,7 +202,7 @@ def _with_text(base: DataFrame, found: DataFrame) -> DataFrame:
 
 def _segment_rows(length: int, seed: int):
     """Segments around shared anchors. A worker sends the bytes of a segment once, then its hashes only."""
-    kinds = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("size", pa.int32()), ("segment", pa.binary())])
+    kinds = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("size", pa.int32()), ("segment", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[tuple[tuple, bytes, np.ndarray]] = []
@@ -197,7 +237,7 @@ def _segment_rows(length: int, seed: int):
             segment = [raw[a:b] if f else None for a, b, f in zip((base[row] + start).tolist(), (base[row] + end).tolist(), first.tolist(), strict=True)]
             doc = np.array([k[0] for k, _, _ in texts])[row]
             crc = np.array([k[1] for k, _, _ in texts])[row]
-            columns = [signed(h), signed(s), doc, (crc << _POSITION) | start, (p - start).astype(np.int32), (end - start).astype(np.int32)]
+            columns = [signed(h), signed(s), doc, (crc << _POSITION) | start, (end - start).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(segment, pa.binary())], schema=kinds)
             texts.clear()
             held[0] = 0
@@ -209,23 +249,43 @@ def _segment_rows(length: int, seed: int):
 
 
 class Column:
-    """A column on disk that is read and written from front to back (in memory as long as it is small)."""
+    """A column that is written and read from front to back: blocks in memory while they are few, then a file."""
 
     def __init__(self, kind: type) -> None:
         self.kind = np.dtype(kind)
-        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL)
+        self.blocks: list[np.ndarray] = []
+        self.size, self.at, self.file = 0, 0, None
 
     def write(self, x: np.ndarray) -> None:
-        self.file.write(np.ascontiguousarray(x, self.kind).tobytes())
+        x = np.ascontiguousarray(x, self.kind)
+        self.size += x.nbytes
+        if self.file is None and self.size > SPOOL:
+            self.file = tempfile.TemporaryFile()
+            for block in self.blocks:
+                self.file.write(block)
+            self.blocks = []
+        if self.file is not None:
+            self.file.write(x)
+        else:
+            self.blocks.append(x)
 
     def rewind(self) -> None:
-        self.file.seek(0)
+        self.at = 0
+        if self.file is not None:
+            self.file.seek(0)
+        elif len(self.blocks) > 1:
+            self.blocks = [np.concatenate(self.blocks)]
 
     def read(self, n: int) -> np.ndarray:
-        return np.frombuffer(self.file.read(n * self.kind.itemsize), self.kind)
+        if self.file is not None:
+            return np.frombuffer(self.file.read(n * self.kind.itemsize), self.kind)
+        self.at += n
+        return self.blocks[0][self.at - n : self.at] if self.blocks else np.zeros(0, self.kind)
 
     def close(self) -> None:
-        self.file.close()
+        self.blocks = []
+        if self.file is not None:
+            self.file.close()
 
 
 class Collection:
@@ -240,7 +300,7 @@ class Collection:
         self.length = np.array([len(s) for s in strings], np.int64)
         self.text = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
         self.first = np.cumsum(self.length) - self.length
-        self.columns = [Column(np.uint8), Column(np.uint8), Column(np.int64)]
+        self.columns = [Column(np.uint8), Column(np.uint8), Column(np.uint32 if self.m < 1 << 24 else np.int64)]
         self.count = np.zeros(257, np.int64)
         everyone = np.arange(self.m)
         self.n = self.m
@@ -295,44 +355,43 @@ class Collection:
             symbol, common = self.columns[0].read(size), self.columns[1].read(size)
             a, b = np.searchsorted(q, (lo, lo + size))
             order = np.argsort(symbol, kind="stable")
-            sorted_ = symbol[order]
-            here = np.bincount(sorted_, minlength=257)
+            here = np.bincount(symbol, minlength=257)
             bound = np.cumsum(here) - here  # of each symbol in the order
-            place_of = start[sorted_] + seen[sorted_] + np.arange(size) - bound[sorted_]
-            is_new = np.zeros(size, bool)
-            is_new[q[a:b] - lo] = True
-            new_sorted = is_new[order]
-            back = np.empty(size, np.int64)
-            back[order] = place_of
-            place[a:b] = back[q[a:b] - lo]
-            head = np.zeros(size, bool)
-            head[bound[here > 0]] = True
-            before_new = np.concatenate([[False], new_sorted[:-1]])
-            before_new[head] = last_new[sorted_[head]]
-            pick = np.flatnonzero((new_sorted | before_new) & (sorted_ > 0))
+            base = start + seen - bound
+            back = np.empty(size, np.int32)
+            back[order] = np.arange(size, dtype=np.int32)
+            mine = back[q[a:b] - lo].astype(np.int64)
+            sign = symbol[q[a:b] - lo]
+            place[a:b] = base[sign] + mine
+            follow = mine + 1  # and the suffixes behind them, if of the same symbol
+            follow = follow[(follow < size) & (symbol[order[np.minimum(follow, size - 1)]] == sign)]
+            heads = bound[(here > 0) & last_new]
+            pick = np.sort(np.concatenate([mine, follow, heads]))
+            pick = pick[np.concatenate([[True], pick[1:] != pick[:-1]])] if len(pick) else pick
+            c = symbol[order[pick]]
+            pick, c = pick[c > 0], c[c > 0]
             if len(pick):
-                inner = ~head[pick]
+                head = pick == bound[c]
                 got = np.zeros(len(pick), np.int64)
-                x = pick[inner]
+                x = pick[~head]
                 if len(x):
                     pairs = np.stack([order[x - 1] + 1, order[x] + 1], 1).reshape(-1)
-                    got[inner] = np.minimum.reduceat(np.append(common, np.uint8(255)), pairs)[::2].astype(np.int64) + 1
-                x = pick[~inner]
-                if len(x):
-                    upto = np.minimum.accumulate(common)[order[x]].astype(np.int64)
-                    c = sorted_[x]
-                    got[~inner] = np.where(seen[c] > 0, np.minimum(since[c], upto) + 1, 0)
-                where.append(place_of[pick])
+                    got[~head] = np.minimum.reduceat(np.append(common, np.uint8(255)), pairs)[::2].astype(np.int64) + 1
+                if lo and head.any():
+                    upto = np.minimum.accumulate(common)[order[pick[head]]].astype(np.int64)
+                    of = c[head]
+                    got[head] = np.where(seen[of] > 0, np.minimum(since[of], upto) + 1, 0)
+                where.append(base[c] + pick)
                 value.append(got)
-            after = np.minimum.accumulate(common[::-1])[::-1]
-            least = int(common.min())
-            present = np.flatnonzero(here)
-            tail = bound[present] + here[present] - 1
-            since = np.minimum(since, least)
-            end = order[tail] + 1
-            since[present] = np.where(end < size, after[np.minimum(end, size - 1)], 255)
-            last_new[present] = new_sorted[tail]
-            seen += here
+            if lo + size < self.n:
+                after = np.minimum.accumulate(common[::-1])[::-1]
+                present = np.flatnonzero(here)
+                tail = bound[present] + here[present] - 1
+                since = np.minimum(since, int(common.min()))
+                end = order[tail] + 1
+                since[present] = np.where(end < size, after[np.minimum(end, size - 1)], 255)
+                last_new[present] = np.isin(tail, mine)
+                seen += here
         return place, np.concatenate(where) if where else np.zeros(0, np.int64), np.concatenate(value) if value else np.zeros(0, np.int64)
 
     def _merge(self, place: np.ndarray, symbol: np.ndarray, owner: np.ndarray, where: np.ndarray, value: np.ndarray) -> None:
@@ -347,14 +406,14 @@ class Collection:
         for lo in range(0, total, self.block):
             size = min(self.block, total - lo)
             a, b = np.searchsorted(place, (lo, lo + size))
-            mine = np.zeros(size, bool)
-            mine[place[a:b] - lo] = True
+            new = place[a:b] - lo
+            there = np.ones(size, bool)
+            there[new] = False
             out = []
-            for c, fresh in zip(old, (symbol[a:b], None, owner[a:b]), strict=True):
-                x = np.zeros(size, c.kind)
-                x[~mine] = c.read(size - (b - a))
-                if fresh is not None:
-                    x[mine] = fresh
+            for c, fresh in zip(old, (symbol[a:b], 0, owner[a:b]), strict=True):
+                x = np.empty(size, c.kind)
+                x[there] = c.read(size - (b - a))
+                x[new] = fresh
                 out.append(x)
             a, b = np.searchsorted(where, (lo, lo + size))
             out[1][where[a:b] - lo] = value[a:b]
@@ -366,7 +425,7 @@ class Collection:
         """(string, start, group) of the suffixes that agree with a neighbour in ``length`` symbols, by batches of whole groups."""
         for c in self.columns[1:]:
             c.rewind()
-        common, owner = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        common, owner = np.zeros(0, np.uint8), np.zeros(0, self.columns[2].kind)
         for lo in range(0, self.n, self.block):
             size = min(self.block, self.n - lo)
             common, owner = np.concatenate([common, self.columns[1].read(size)]), np.concatenate([owner, self.columns[2].read(size)])
@@ -376,7 +435,8 @@ class Collection:
             same = np.zeros(end, bool)
             same[1:] = common[1:end] >= length
             same[:-1] |= same[1:].copy()
-            yield owner[:end][same] >> 8, owner[:end][same] & 255, group[same]
+            found = owner[:end][same].astype(np.int64)
+            yield found >> 8, found & 255, group[same]
             common, owner = common[end:], owner[end:]
 
 
@@ -512,11 +572,11 @@ def union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def repeated_intervals(base: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, crc, at, upto): intervals of bytes covered by strings that also start in a smaller document. base: doc_id, text, crc."""
     n = partitions(base.sparkSession)
-    rows = map_arrow(base.select("doc_id", "crc", "text"), _anchor_rows(length, seed), "h long, doc_id long, place long")
-    shared = rows.repartition(n, "h").sortWithinPartitions("h", "doc_id").mapInArrow(_shared_anchors, "doc_id long, place long")
+    rows = map_arrow(base.select("doc_id", "crc", "text"), _anchor_rows(length, seed), "h long, doc_id long, place long, sides int")
+    shared = rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shared_anchors, "doc_id long, place long")
     shared = materialize(shared, "shared-anchors")
     found = shared.select("doc_id", F.shiftright("place", _POSITION).alias("crc"), F.col("place").bitwiseAND(F.lit((1 << _POSITION) - 1)).alias("at"), F.lit(0).cast("long").alias("upto"))
-    segments = _with_text(base.select("doc_id", "crc", "text"), found).mapInArrow(_segment_rows(length, seed), "h long, s long, doc_id long, place long, before int, size int, segment binary")
+    segments = _with_text(base.select("doc_id", "crc", "text"), found).mapInArrow(_segment_rows(length, seed), "h long, s long, doc_id long, place long, size int, segment binary")
     removed = segments.repartition(n, "h").sortWithinPartitions("h", "s", "doc_id").mapInArrow(_compare_segments(length), "doc_id long, crc long, at long, upto long")
     removed = materialize(removed, "repeated-intervals")
     release(shared)
