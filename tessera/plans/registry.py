@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, retrieval
 
-_MODULES = (corpus,)
+_MODULES = (corpus, retrieval)
 
 
 def _dialect(sql: str) -> str:
