@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, retrieval
+from . import corpus, notices, retrieval
 
-_MODULES = (corpus, retrieval)
+_MODULES = (corpus, retrieval, notices)
 
 
 def _dialect(sql: str) -> str:
