@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, notices, retrieval
+from . import corpus, grounding, notices, retrieval
 
-_MODULES = (corpus, retrieval, notices)
+_MODULES = (corpus, retrieval, notices, grounding)
 
 
 def _dialect(sql: str) -> str:
