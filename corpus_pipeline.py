@@ -12,14 +12,11 @@ and read again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash, mixing, packing, suffix, tokens, toxicity
-from tessera.llm.shared import map_arrow, materialize, release
+from tessera.llm.shared import materialize, release
 
 REJECT = 0.5  # probability of toxicity from which a document goes
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,13 +39,8 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 50 bytes or more that a smaller doc_id has; a character that a cut splits goes."""
-    found = suffix.dedup_substrings(docs.select(COLUMNS), 50)
-
-    def decode(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = [x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in batch.column("kept")]
-        yield {"doc_id": batch.column("doc_id"), "text": texts, "lang": batch.column("lang"), "source": batch.column("source")}
-
-    rows = map_arrow(found.select("doc_id", "kept", "row.lang", "row.source"), decode, "doc_id long, text string, lang string, source string")
+    found = suffix.dedup_substrings(docs.select(COLUMNS), 50, as_text=True)
+    rows = found.select("doc_id", F.col("kept").alias("text"), "row.lang", "row.source")
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

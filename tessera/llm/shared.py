@@ -6,7 +6,7 @@ running and never a recomputation of an earlier stage. Shuffle files of the writ
 released when it ends. Tables are removed with ``release`` or when the driver exits.
 
 Text kernel: texts stay in Arrow's UTF-8 buffers; words, shingles and windows are
-computed with array arithmetic over slices of about a megabyte, so memory is bounded by
+computed with array arithmetic over slices of a quarter megabyte, so memory is bounded by
 the slice or, if larger, by the longest single text.
 """
 
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+BATCH_ROWS = 4096
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _tables: dict[str, SparkSession] = {}
 _own_dir: list[str] = []
 
@@ -43,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result has a short lineage and a known size."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -58,6 +61,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let a Python worker get at most BATCH_ROWS rows at once; a batch of whole texts is what a worker's memory depends on most."""
+    rows = int(spark.conf.get(ROWS_PER_BATCH))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(ROWS_PER_BATCH, str(BATCH_ROWS))
+
+
 def release(*frames: DataFrame) -> None:
     """Delete materialized tables that no later step reads."""
     for df in frames:
@@ -204,6 +214,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], sche
     from pyspark.sql.types import StructType
 
     kinds = arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

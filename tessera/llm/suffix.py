@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import _BASE, _BASE_INV, _TABLE, arrow_schema, column_bytes, map_arrow, materialize, mix, partitions, powers, release, signed, slices, to_batch
+from .shared import _BASE, _BASE_INV, _TABLE, SLICE_BYTES, arrow_schema, column_bytes, map_arrow, materialize, mix, partitions, powers, release, signed, slices, to_batch
 
 LENGTH, SEED = 50, 16
 BLOCK = 1 << 20
@@ -201,8 +201,12 @@ def _with_text(base: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _segment_rows(length: int, seed: int):
-    """Segments around shared anchors. A worker sends the bytes of a segment once, then its hashes only."""
-    kinds = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("size", pa.int32()), ("segment", pa.binary())])
+    """Segments around shared anchors. A worker sends the bytes of a segment once, then its hashes only.
+
+    h only groups segments (32 bits; two anchors in one group are compared for nothing),
+    s tells them apart within it.
+    """
+    kinds = pa.schema([("h", pa.int32()), ("s", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("size", pa.int32()), ("segment", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[tuple[tuple, bytes, np.ndarray]] = []
@@ -214,7 +218,7 @@ def _segment_rows(length: int, seed: int):
                 texts.append((key, text, np.unique(found[0])))
                 held[0] += len(text)
 
-        def flush(least: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        def flush(least: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
             if not texts or held[0] < least:
                 return
             buf = np.frombuffer(b"".join(t for _, t, _ in texts), np.uint8)
@@ -227,7 +231,8 @@ def _segment_rows(length: int, seed: int):
             sums = prefix_hashes(buf)
             h = substring_hashes(sums, base[row] + p, base[row] + p + seed)
             s = mix(substring_hashes(sums, base[row] + start, base[row] + end) ^ ((p - start).astype(np.uint64) << np.uint64(32)) ^ (end - start).astype(np.uint64))
-            both = mix(h) ^ s
+            s = mix(s ^ h)
+            both = s
             first = np.zeros(len(both), bool)
             distinct, at = np.unique(both, return_index=True)
             at = at[~np.isin(distinct, seen[0], assume_unique=True)]
@@ -237,7 +242,7 @@ def _segment_rows(length: int, seed: int):
             segment = [raw[a:b] if f else None for a, b, f in zip((base[row] + start).tolist(), (base[row] + end).tolist(), first.tolist(), strict=True)]
             doc = np.array([k[0] for k, _, _ in texts])[row]
             crc = np.array([k[1] for k, _, _ in texts])[row]
-            columns = [signed(h), signed(s), doc, (crc << _POSITION) | start, (end - start).astype(np.int32)]
+            columns = [(h >> np.uint64(32)).astype(np.uint32).view(np.int32), signed(s), doc, (crc << _POSITION) | start, (end - start).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(segment, pa.binary())], schema=kinds)
             texts.clear()
             held[0] = 0
@@ -500,7 +505,7 @@ def _compare_segments(length: int):
             if not batch.num_rows:
                 continue
             h, s, doc, place, size = (batch.column(k).to_numpy() for k in ("h", "s", "doc_id", "place", "size"))
-            both = signed(mix(h.view(np.uint64)) ^ s.view(np.uint64))
+            both = s
             fresh = np.concatenate([[last is None or (h[0], s[0]) != last], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
             cut = np.flatnonzero(fresh)
             first = np.empty(len(doc), np.int64)
@@ -534,6 +539,7 @@ def _compare_segments(length: int):
 
 def _apply(schema: str):
     kinds = arrow_schema(StructType.fromDDL(schema))
+    as_text = "kept" in kinds.names and pa.types.is_string(kinds.field("kept").type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k.name: [] for k in kinds}
@@ -544,7 +550,8 @@ def _apply(schema: str):
             if len(spans):
                 edges = [0, *spans.reshape(-1).tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            row = {"doc_id": key[0], "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept}
+            row = {"doc_id": key[0], "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+            row["kept"] = kept.decode("utf-8", "ignore") if as_text else kept
             for k, v in out.items():
                 v += rows if k == "row" else [row[k]] * len(rows)
 
@@ -576,19 +583,30 @@ def repeated_intervals(base: DataFrame, length: int = LENGTH, seed: int = SEED)
     shared = rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shared_anchors, "doc_id long, place long")
     shared = materialize(shared, "shared-anchors")
     found = shared.select("doc_id", F.shiftright("place", _POSITION).alias("crc"), F.col("place").bitwiseAND(F.lit((1 << _POSITION) - 1)).alias("at"), F.lit(0).cast("long").alias("upto"))
-    segments = _with_text(base.select("doc_id", "crc", "text"), found).mapInArrow(_segment_rows(length, seed), "h long, s long, doc_id long, place long, size int, segment binary")
+    segments = _with_text(base.select("doc_id", "crc", "text"), found).mapInArrow(_segment_rows(length, seed), "h int, s long, doc_id long, place long, size int, segment binary")
     removed = segments.repartition(n, "h").sortWithinPartitions("h", "s", "doc_id").mapInArrow(_compare_segments(length), "doc_id long, crc long, at long, upto long")
     removed = materialize(removed, "repeated-intervals")
     release(shared)
     return removed
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_rows: bool = True) -> DataFrame:
+def _told_apart(known: DataFrame) -> DataFrame:
+    """``known`` with the checksum of the text in ``crc`` where a doc_id is repeated; zero elsewhere, which keeps the rows that are shuffled short."""
+    repeated = known.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    repeated = materialize(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return known
+    joined = known.join(repeated, F.col("doc_id") == F.col("again"), "left")
+    return joined.withColumn("crc", F.when(F.col("again").isNotNull(), F.crc32(F.col("text").cast("binary"))).otherwise(F.col("crc"))).drop("again")
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_rows: bool = True, as_text: bool = False) -> DataFrame:
     """Remove from each text every byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Returns one row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256 and, with ``with_rows``, kept (the remaining bytes; a cut
-    may fall within a character) and row (the other columns as they were). Texts are UTF-8 bytes, null is
+    may fall within a character; ``as_text``: the remaining text, without characters that
+    a cut splits) and row (the other columns as they were). Texts are UTF-8 bytes, null is
     empty; strings do not cross documents and are judged on the input. Rows without
     doc_id have no order: they lose nothing and nothing is removed for them. Rows that
     repeat a doc_id lose what smaller doc_ids have, nothing to each other. Texts shorter
@@ -597,13 +615,13 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
     body = F.coalesce(F.col(text), F.lit(""))
     others = [c for c in docs.columns if c not in (doc_id, text)]
     row = [F.struct(*others).alias("row")] if with_rows and others else []
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.crc32(body.cast("binary")).alias("crc"), *row)
-    known = base.where("doc_id is not null")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.lit(0).cast("long").alias("crc"), *row)
+    known = _told_apart(base.where("doc_id is not null"))
     removed = repeated_intervals(known, length)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_rows
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", kept {'string' if as_text else 'binary'}" * with_rows
     schema += f", row {base.schema['row'].dataType.simpleString()}" if row else ""
     out = _with_text(known, removed).mapInArrow(_apply(schema), schema)
     raw = F.col("text").cast("binary")
     zero = F.lit(0).cast("long")
     same = [F.col("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256")]
-    return out.union(base.where("doc_id is null").select(*same, *[raw.alias("kept")] * with_rows, *["row"] * bool(row)))
+    return out.union(base.where("doc_id is null").select(*same, *[(F.col("text") if as_text else raw).alias("kept")] * with_rows, *["row"] * bool(row)))

@@ -42,7 +42,7 @@ RATIO = 8.0  # of a witness's share of toxic contexts to its share of clean ones
 EVIDENCE = 20.0  # of Dunning's statistic, from which a fragment is a witness
 EMPTY_MARGIN = -2.0
 INSERTED = ".*-_'"
-SLICE = 4 << 20
+SLICE = 1 << 20
 _STEPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?\n\r]+(?:\s+|$)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
