@@ -37,8 +37,8 @@ from .shared import _BASE, _BASE_INV, _TABLE, SLICE_BYTES, arrow_schema, column_
 LENGTH, SEED = 50, 16
 BLOCK = 1 << 20
 SPOOL = 8 << 20
-BATCH = 8192
-SEEN = 400_000
+BATCH = 4096
+SEEN = 524_287
 NO_SIDE = 255
 _POSITION = 31
 
@@ -54,12 +54,11 @@ def substring_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return mix((sums[end] - sums[start]) * powers(_BASE_INV, len(sums))[start])
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all strings of ``length`` bytes within the texts, and their hashes."""
-    n, w = len(buf), length - seed + 1
+def anchors(sums: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the anchors of all strings of ``length`` bytes within the texts, and their hashes; sums: of the texts' bytes."""
+    n, w = len(sums) - 1, length - seed + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = prefix_hashes(buf)
     hashes = mix((sums[seed:] - sums[:-seed]) * powers(_BASE_INV, n)[: n - seed + 1])
     bits = max(1, int(n - 1).bit_length())
     low = np.uint64((1 << bits) - 1)
@@ -84,20 +83,20 @@ def _anchor_rows(length: int, seed: int):
         doc, crc = batch.column("doc_id").to_numpy(), batch.column("crc").to_numpy()
         for i, j in slices(offsets):
             off = offsets[i : j + 1] - offsets[i]
-            at, h = anchors(data[offsets[i] : offsets[j]], off, length, seed)
+            sums = prefix_hashes(data[offsets[i] : offsets[j]])
+            at, h = anchors(sums, off, length, seed)
             row = np.searchsorted(off, at, "right") - 1
-            sides = side_marks(data[offsets[i] : offsets[j]], off, at, row, length, seed)
+            sides = side_marks(sums, off, at, row, length, seed)
             yield {"h": signed(h), "doc_id": doc[i + row], "place": (crc[i + row] << _POSITION) | (at - off[row]), "sides": sides}
 
     return run
 
 
-def side_marks(buf: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray, length: int, seed: int) -> np.ndarray:
+def side_marks(sums: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray, length: int, seed: int) -> np.ndarray:
     """Of each anchor eight bits of the hash of the bytes before it and after it (NO_SIDE: the text has too few), as one number."""
     half = (length - seed + 1) // 2
     if not len(at):
         return np.zeros(0, np.int32)
-    sums = prefix_hashes(buf)
     out = np.zeros(len(at), np.int32)
     for start, end in ((at - half, at), (at + seed, at + seed + half)):
         fits = (start >= offsets[row]) & (end <= offsets[row + 1])
@@ -211,7 +210,7 @@ def _segment_rows(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[tuple[tuple, bytes, np.ndarray]] = []
         held = [0]
-        seen = [np.zeros(0, np.uint64)]
+        seen = np.zeros(SEEN, np.uint64)  # by hash the last segment sent with its bytes
 
         def done(key: tuple, text: bytes, rows: list, found: np.ndarray) -> None:
             if found.shape[1]:
@@ -232,12 +231,12 @@ def _segment_rows(length: int, seed: int):
             h = substring_hashes(sums, base[row] + p, base[row] + p + seed)
             s = mix(substring_hashes(sums, base[row] + start, base[row] + end) ^ ((p - start).astype(np.uint64) << np.uint64(32)) ^ (end - start).astype(np.uint64))
             s = mix(s ^ h)
-            both = s
-            first = np.zeros(len(both), bool)
-            distinct, at = np.unique(both, return_index=True)
-            at = at[~np.isin(distinct, seen[0], assume_unique=True)]
-            first[at] = True
-            seen[0] = np.union1d(seen[0], both[at]) if len(seen[0]) < SEEN else distinct
+            first = np.zeros(len(s), bool)
+            distinct, at = np.unique(s, return_index=True)
+            slot = (distinct % np.uint64(SEEN)).astype(np.int64)
+            new = seen[slot] != distinct
+            first[at[new]] = True
+            seen[slot[new]] = distinct[new]
             raw = buf.tobytes()
             segment = [raw[a:b] if f else None for a, b, f in zip((base[row] + start).tolist(), (base[row] + end).tolist(), first.tolist(), strict=True)]
             doc = np.array([k[0] for k, _, _ in texts])[row]
@@ -505,7 +504,6 @@ def _compare_segments(length: int):
             if not batch.num_rows:
                 continue
             h, s, doc, place, size = (batch.column(k).to_numpy() for k in ("h", "s", "doc_id", "place", "size"))
-            both = s
             fresh = np.concatenate([[last is None or (h[0], s[0]) != last], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
             cut = np.flatnonzero(fresh)
             first = np.empty(len(doc), np.int64)
@@ -519,8 +517,8 @@ def _compare_segments(length: int):
                 yield batch_of(doc[later], place[later], np.zeros(later.sum(), np.int64), size[later].astype(np.int64))
             body = batch.column("segment")
             for i in np.flatnonzero(body.is_valid().to_numpy(zero_copy_only=False)):
-                bodies.setdefault(int(both[i]), body[int(i)].as_py())
-            held.append(tuple(x[~later] for x in (h, both, doc, place)))
+                bodies.setdefault(int(s[i]), body[int(i)].as_py())
+            held.append(tuple(x[~later] for x in (h, s, doc, place)))
             waiting += int((~later).sum())
             if waiting >= BATCH:
                 rows = [np.concatenate([x[k] for x in held]) for k in range(4)]
@@ -528,7 +526,7 @@ def _compare_segments(length: int):
                 if whole.any():
                     yield from settle([x[whole] for x in rows], bodies)
                     rest = [x[~whole] for x in rows]
-                    names = set(rest[1].tolist()) | set(both[h == h[-1]].tolist())
+                    names = set(rest[1].tolist()) | set(s[h == h[-1]].tolist())
                     bodies = {k: v for k, v in bodies.items() if k in names}
                     held, waiting = [tuple(rest)], len(rest[0])
         if held:
