@@ -37,7 +37,7 @@ from .shared import _BASE, _BASE_INV, _TABLE, SLICE_BYTES, arrow_schema, column_
 LENGTH, SEED = 50, 16
 BLOCK = 1 << 20
 SPOOL = 8 << 20
-BATCH = 4096
+BATCH = 8192
 SEEN = 524_287
 NO_SIDE = 255
 _POSITION = 31
@@ -292,6 +292,13 @@ class Column:
             self.file.close()
 
 
+def in_order(symbol: np.ndarray) -> np.ndarray:
+    """Places of fewer than 2 ** 24 symbols by symbol, then place (symbol and place sorted as one number)."""
+    key = (symbol.astype(np.uint32) << np.uint32(24)) | np.arange(len(symbol), dtype=np.uint32)
+    key.sort()
+    return (key & np.uint32((1 << 24) - 1)).astype(np.int64)
+
+
 class Collection:
     """The suffixes of a collection of byte strings in order, built column by column.
 
@@ -358,8 +365,8 @@ class Collection:
             size = min(self.block, self.n - lo)
             symbol, common = self.columns[0].read(size), self.columns[1].read(size)
             a, b = np.searchsorted(q, (lo, lo + size))
-            order = np.argsort(symbol, kind="stable")
-            here = np.bincount(symbol, minlength=257)
+            order = in_order(symbol)
+            here = self.count if size == self.n else np.bincount(symbol, minlength=257)
             bound = np.cumsum(here) - here  # of each symbol in the order
             base = start + seen - bound
             back = np.empty(size, np.int32)
