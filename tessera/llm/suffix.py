@@ -87,7 +87,8 @@ def _anchor_rows(length: int, seed: int):
             at, h = anchors(sums, off, length, seed)
             row = np.searchsorted(off, at, "right") - 1
             sides = side_marks(sums, off, at, row, length, seed)
-            yield {"h": signed(h), "doc_id": doc[i + row], "place": (crc[i + row] << _POSITION) | (at - off[row]), "sides": sides}
+            packed = (h & ~np.uint64(0xFFFF)) | sides.astype(np.uint64)  # 48 bits tell anchors apart well enough to group them
+            yield {"h": signed(packed), "doc_id": doc[i + row], "place": (crc[i + row] << _POSITION) | (at - off[row])}
 
     return run
 
@@ -106,7 +107,7 @@ def side_marks(sums: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.nd
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h: those whose anchor, with the bytes on a side of it, occurs in two documents or more.
+    """Of rows sorted by h (anchor and marks of its sides): those whose anchor, with the bytes on a side of it, occurs in two documents or more.
 
     An anchor that goes on in the next batch is judged without its sides and passed through, so
     no anchor is ever held as a whole, however common.
@@ -117,7 +118,8 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, place, sides = (batch.column(k).to_numpy() for k in ("h", "doc_id", "place", "sides"))
+        packed, doc, place = (batch.column(k).to_numpy() for k in ("h", "doc_id", "place"))
+        h, sides = packed >> 16, packed & 0xFFFF
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(cut, len(h)))
         many = np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
@@ -584,8 +586,8 @@ def union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def repeated_intervals(base: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, crc, at, upto): intervals of bytes covered by strings that also start in a smaller document. base: doc_id, text, crc."""
     n = partitions(base.sparkSession)
-    rows = map_arrow(base.select("doc_id", "crc", "text"), _anchor_rows(length, seed), "h long, doc_id long, place long, sides int")
-    shared = rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shared_anchors, "doc_id long, place long")
+    rows = map_arrow(base.select("doc_id", "crc", "text"), _anchor_rows(length, seed), "h long, doc_id long, place long")
+    shared = rows.repartition(n, F.shiftright("h", 16)).sortWithinPartitions("h").mapInArrow(_shared_anchors, "doc_id long, place long")
     shared = materialize(shared, "shared-anchors")
     found = shared.select("doc_id", F.shiftright("place", _POSITION).alias("crc"), F.col("place").bitwiseAND(F.lit((1 << _POSITION) - 1)).alias("at"), F.lit(0).cast("long").alias("upto"))
     segments = _with_text(base.select("doc_id", "crc", "text"), found).mapInArrow(_segment_rows(length, seed), "h int, s long, doc_id long, place long, size int, segment binary")
