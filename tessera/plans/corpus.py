@@ -102,7 +102,6 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.size(T.whitespace_tokens(F.col("text"))).alias("n"), "lang")
     k = docs.withColumn("k", chunk.window_count(F.col("n")))
     rows = k.groupBy("lang", "k").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
-    stats = k.groupBy("lang").agg(F.percentile_approx("k", 0.95, 1_000_000).alias("p95"))
     w = W.partitionBy("lang").orderBy("k")
     upto = F.sum("docs").over(w)
     total = F.sum("docs").over(W.partitionBy("lang"))

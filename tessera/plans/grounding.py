@@ -9,7 +9,7 @@ from tessera.functions import notice as N
 from tessera.functions import text as T
 from tessera.operators import answer, ground
 
-from . import corpus
+from . import corpus, notices
 from .common import read, squeeze_sql
 from .retrieval import DENSE_SQL, dense_topk_filtered
 
@@ -104,6 +104,13 @@ def refusal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(row).alias("refused"), F.round(F.avg(row.cast("int")), 6).alias("rate"), F.sum("replies").alias("replies"))
 
 
+REFUSAL_SQL = f"""
+WITH n AS (SELECT conv_id, role, {squeeze_sql("replace(lower(text), 'ß', 'ss')")} AS q FROM conversations),
+g AS (SELECT conv_id, bool_and(CASE WHEN role = 'user' THEN ({notices._case()}) IS NOT NULL END) AS policy, count_if(role = 'assistant') AS replies, count_if(role = 'user') AS asked FROM n GROUP BY conv_id)
+SELECT count(*) AS n, count_if(coalesce(policy, false) OR replies < asked) AS refused, round(avg((coalesce(policy, false) OR replies < asked)::INT), 6) AS rate, sum(replies)::BIGINT AS replies FROM g
+"""
+
+
 def evaluator_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of eight documents judged again: documents without a label, and the labelled ones as they were."""
     docs, labels = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels")
@@ -180,6 +187,7 @@ SQL = {
     "claim_provenance": PROVENANCE_SQL,
     "grounded_answer": GROUNDED_SQL,
     "faithfulness_score": FAITH_SQL,
+    "refusal_score": REFUSAL_SQL,
     "evaluator_recovery": "SELECT doc_id, quality::INT AS quality, 'kept' AS origin, doc_id // 8 AS batch FROM labels UNION ALL SELECT doc_id, NULL, 'again', doc_id // 8 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "vector_upsert_antijoin": "WITH t AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label FROM embeddings) SELECT label, count(*) AS vectors, min(vec_id) AS first_id, max(vec_id) AS last_id FROM t GROUP BY label",
     "question_scope_ground_truth": GOLD_SQL,

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import lexical, ranking, vector
 
 from . import corpus
-from .common import read, squeeze_sql
+from .common import read
 
 TOK = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')"
 
