@@ -7,19 +7,30 @@ normalised by the summed squared weights of a fragment's occurrences.
 
 Subsequences are hashed, so a landmark is a sparse vector, the Nystrom features of a
 fragment are K_zz^(-1/2) K_z(x), and a linear machine on them folds into one weight per
-hashed subsequence: scoring a fragment is a sum of table look-ups. A sentence scores as
-its worst fragment and a document as its worst sentence.
-
-Labels are given to documents, so a sentence of a toxic document counts as toxic only
-if it has a witness: a fragment that occurs in significantly more contexts in toxic
-documents than in clean ones (a context is the word before it, so a passage that was
-copied many times counts once). All sentences of clean documents are clean; those whose
-fragments come closest to the witnesses are learnt from first, and in rounds those that
-the machine gets wrong.
+hashed subsequence: scoring a fragment is a sum of table look-ups. A document scores by its
+worst fragment and its worst sentence.
+
+Two machines share the kernel. The one of fragments learns from witnesses: fragments that
+occur in significantly more contexts in toxic documents than in clean ones (a context is
+the word before it, so a passage that was copied many times counts once). Of clean
+fragments those that come closest to the witnesses are learnt from first, and in rounds
+those that the machine gets wrong.
+
+The one of sentences learns from all distinct sentences of the labelled documents, with or
+without a witness; white space is a character inside the span, so phrases of usual words
+and words that are split count. Labels are given to documents, so a toxic document weighs
+one in all and its sentences share that weight, in rounds by what the machine makes of
+them, never without a rest. A sentence of more than 2 x HALF characters counts as windows
+of that length, half over each other.
+
+What the two machines say is weighed by a logistic curve through their margins of documents
+that they did not learn from; sentences speak for toxicity only, from the median of the
+clean documents on.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +53,8 @@ RATIO = 8.0  # of a witness's share of toxic contexts to its share of clean ones
 EVIDENCE = 20.0  # of Dunning's statistic, from which a fragment is a witness
 EMPTY_MARGIN = -2.0
 INSERTED = ".*-_'"
+HALF = 120  # characters of half a window
+SENTENCE_ROUNDS, REST = 3, 0.1
 SLICE = 1 << 20
 _STEPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?\n\r]+(?:\s+|$)")
@@ -57,6 +70,8 @@ class Model:
     bias: float
     slope: float
     offset: float
+    sentence: np.ndarray | None = None  # weights of the machine of sentences, as a share of the other's margins
+    sentence_bias: float = 0.0
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
@@ -126,16 +141,15 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
-    """Fit the machine to labelled documents (text, label)."""
-    rng = np.random.default_rng(seed)
+def fragment_machine(rows: list[tuple[str, int]], rng: np.random.Generator) -> tuple[np.ndarray, float, list[str]] | None:
+    """Weights and bias from words and runs of single characters, and fragments to take landmarks of sentences from; none without both labels."""
     pairs: dict[int, set] = {0: set(), 1: set()}
     for text, label in rows:
         for s in sentences(text):
             pairs[label].update(zip(["", *s[:-1]], s, strict=True))
     seen = {y: Counter(f for _, f in pairs[y]) for y in (0, 1)}  # in so many contexts: copied passages count once
     if not seen[1] or not seen[0]:
-        return Model(np.zeros(1 << TABLE_BITS, np.float32), -1.0, 2.0, 0.0)
+        return None
     n1, n0 = len(pairs[1]), len(pairs[0])
     evidence = {f: likelihood_ratio(c, seen[0][f], n1, n0) for f, c in seen[1].items() if c > 1 and c * n0 >= RATIO * (seen[0][f] + 0.5) * n1}
     ranked = sorted(evidence, key=lambda f: (-evidence[f], f))
@@ -162,9 +176,219 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
         weights = (z.project @ w).astype(np.float32)[z.place]
         score = fragment_margins(spelt_out, len(pool), Model(weights, bias, 1.0, 0.0))
         against = np.union1d(against, np.argsort(-score)[: (score > -0.8).sum()][:NEGATIVES])
-    margin = margins(*column_bytes(pc.utf8_lower(pa.array([t for t, _ in rows]))), Model(weights, bias, 1.0, 0.0))
-    slope, offset = platt(margin, np.array([y for _, y in rows]))
-    return Model(weights, bias, slope, offset)
+    return weights, bias, [*witness[: LANDMARKS // 4], *(clean[i] for i in (*close[: LANDMARKS // 8], *spread))]
+
+
+def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
+    """Fit the machines to labelled documents (text, label)."""
+    rng = np.random.default_rng(seed)
+    found = fragment_machine(rows, rng)
+    if found is None:
+        return Model(np.zeros(1 << TABLE_BITS, np.float32), -1.0, 2.0, 0.0)
+    weights, bias, known = found
+    label = np.array([y for _, y in rows])
+    fold = np.zeros(len(rows), int)
+    for y in (0, 1):
+        of = np.flatnonzero(label == y)
+        fold[of] = rng.permutation(len(of)) % 2
+    if min(np.bincount(label[fold == f], minlength=2).min() for f in (0, 1)) < 1:
+        slope, offset = platt(_margins(rows, Model(weights, bias, 1.0, 0.0)), label)
+        return Model(weights, bias, slope, offset)
+    outside = np.full(len(rows), EMPTY_MARGIN)
+    for f in (0, 1):
+        part = fragment_machine([r for r, g in zip(rows, fold, strict=True) if g == f], rng)
+        if part is not None:
+            outside[fold != f] = _margins([r for r, g in zip(rows, fold, strict=True) if g != f], Model(*part[:2], 1.0, 0.0))
+    z = landmark_features(list(dict.fromkeys([*known, *phrases(rows)[: LANDMARKS // 2]])))
+    w, b, whole = sentence_machine(rows, z, fold)
+    usual = np.median(whole[label == 0])
+    slope, offset, more = platt(outside, label, np.maximum(whole - usual, 0))
+    share = max(more, 0.0) / slope
+    return Model(weights, bias, slope, offset, (z.project @ w.astype(np.float32))[z.place] * np.float32(share), float((b - usual) * share))
+
+
+def _margins(rows: list[tuple[str, int]], model: Model) -> np.ndarray:
+    return margins(*column_bytes(pc.utf8_lower(pa.array([t for t, _ in rows]))), model)
+
+
+def phrases(rows: list[tuple[str, int]]) -> list[str]:
+    """Phrases of two and three words by their evidence for toxicity, counted in contexts like fragments."""
+    counts: dict[int, dict] = {0: {}, 1: {}}
+    texts: dict[int, str] = {}
+    for label in (1, 0):
+        data, offsets = column_bytes(pc.utf8_lower(pa.array([t for t, y in rows if y == label])))
+        starts, ends, first = words(data, offsets)
+        h = word_hashes(data, starts, ends, lower=False)
+        row = np.searchsorted(first, np.arange(len(h)), "right")
+        before = np.where(np.diff(row, prepend=-1) > 0, np.uint64(0), np.roll(h, 1))
+        key = h
+        for n in (2, 3):
+            key = mix(key[:-1] * np.uint64(3) + h[n - 1 :]) if len(key) > 1 else key[:0]
+            at = np.flatnonzero(row[: len(key)] == row[n - 1 : n - 1 + len(key)])
+            _, pick = np.unique(mix(key[at] ^ (before[at] * np.uint64(5))), return_index=True)
+            found, where, times = np.unique(key[at[pick]], return_index=True, return_counts=True)
+            if label:
+                often = np.flatnonzero(times > 1)
+                counts[1][n] = (found[often], times[often], len(pick))
+                for k, i in zip(found[often].tolist(), at[pick[where[often]]], strict=True):
+                    texts[k] = " ".join(data[starts[i] : ends[i + n - 1]].tobytes().decode("utf-8", "replace").split())
+            else:
+                counts[0][n] = (found, times, len(pick))
+    evidence: dict[str, float] = {}
+    for n in (2, 3):
+        (toxic, c1, n1), (usual, c0, n0) = counts[1][n], counts[0][n]
+        if not len(toxic) or not n0:
+            continue
+        place = np.searchsorted(usual, toxic)
+        other = np.where(np.append(usual, 0)[place] == toxic, np.append(c0, 0)[place], 0)
+        for i in np.flatnonzero(c1 * n0 >= RATIO * (other + 0.5) * n1):
+            evidence[texts[int(toxic[i])]] = likelihood_ratio(int(c1[i]), int(other[i]), n1, n0)
+    return sorted(evidence, key=lambda f: (-evidence[f], f))
+
+
+@dataclass
+class Windows:
+    """The sentences of texts as code points with a separator (10) around each, cut into segments; a window is one or two.
+
+    segment: where each starts; of: its sentence's separator; window, pair: the window's first
+    segment and whether the next belongs to it; row: its text; norm: of its vector.
+    """
+
+    codes: np.ndarray
+    at: np.ndarray
+    segment: np.ndarray
+    window: np.ndarray
+    pair: np.ndarray
+    row: np.ndarray
+    norm: np.ndarray
+
+
+def sentence_windows(buf: np.ndarray, off: np.ndarray) -> Windows:
+    """Windows of the lower-cased texts; a sentence ends where white space follows one of .!? or a line's end."""
+    codes = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    char = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off]
+    white = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    stop = (codes == 46) | (codes == 33) | (codes == 63) | (codes == 10) | (codes == 13)
+    inner = np.ones(len(codes), bool)
+    inner[char[:-1][char[:-1] < len(codes)]] = False
+    again, ended = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+    again[1:], ended[1:] = white[1:] & white[:-1] & inner[1:], white[1:] & stop[:-1] & inner[1:]
+    out = np.where(white, np.uint32(32), codes)
+    runs = np.flatnonzero(white & ~again)
+    if len(runs):
+        out[runs[np.logical_or.reduceat(ended, runs)]] = 10
+    char = np.concatenate([[0], np.cumsum(~again)])[char]
+    out = np.insert(out[~again], char, 10)
+    at = np.flatnonzero(out == 10)
+    until, full = at[1:], np.flatnonzero(np.diff(at) > 1)
+    count = -(-(until[full] - at[full]) // HALF)
+    first = np.cumsum(count) - count
+    step = np.arange(count.sum()) - np.repeat(first, count)
+    sentence = np.repeat(full, count)
+    segment = at[sentence] + HALF * step
+    window = np.flatnonzero((step == 0) | (step < np.repeat(count, count) - 1))
+    pair = np.repeat(count, count)[window] > 1
+    begin, last = segment[window], until[sentence[window]]
+    end = np.minimum(begin + HALF * (1 + pair), last)
+    square = sum(w * w * np.maximum(np.minimum(end, last - b + 1) - begin, 0) for _, b, w in _STEPS)
+    row = np.searchsorted(char + np.arange(len(char)), at[sentence[window]], "right") - 1
+    return Windows(out, at, segment, window, pair, row, np.sqrt(np.maximum(square, 1e-12)))
+
+
+def window_sums(w: Windows, parts: np.ndarray) -> np.ndarray:
+    """Sums over windows of what their segments have."""
+    out = parts[w.window]
+    out[w.pair] += parts[w.window[w.pair] + 1]
+    return out
+
+
+def subsequences(w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Hashed subsequences by the place where they start, those that leave their sentence, and the weight."""
+    first = mix(w.codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    second, third = first * np.uint64(0xA24BAED4963EE407), first * np.uint64(0x9FB21C651E98DF25)
+    n = len(w.codes)
+    for a, b, weight in _STEPS:
+        if n > b:
+            out = (w.at[:, None] - np.arange(1, b)).ravel()
+            yield ((first[: n - b] + second[a : n - b + a] + third[b:]) >> np.uint64(64 - TABLE_BITS)).astype(np.int32), out[(out >= 0) & (out < n - b)], weight
+
+
+def window_margins(w: Windows, weights: np.ndarray, bias: float) -> np.ndarray:
+    total = np.zeros(len(w.codes), np.float32)
+    for feature, out, weight in subsequences(w):
+        value = weights[feature]
+        value[out] = 0
+        value *= np.float32(weight)
+        total[: len(value)] += value
+    return window_sums(w, np.add.reduceat(total, w.segment, dtype=np.float64)) / w.norm + bias
+
+
+def window_features(w: Windows, z: Landmarks) -> np.ndarray:
+    """Features of windows on the landmarks."""
+    none = len(z.project) - 1
+    parts = np.zeros((len(w.segment), z.project.shape[1]), np.float32)
+    found = []
+    for feature, out, weight in subsequences(w):
+        column = z.place[feature]
+        column[out] = none
+        start = np.flatnonzero(column < none)
+        found.append((start, column[start], weight))
+    bound = np.append(w.segment, len(w.codes))
+    for i in range(0, len(w.segment), 256):
+        j = min(i + 256, len(w.segment))
+        flat, value = [], []
+        for start, column, weight in found:
+            a, b = np.searchsorted(start, (bound[i], bound[j]))
+            flat.append((np.searchsorted(w.segment, start[a:b], "right") - 1 - i) * none + column[a:b])
+            value.append(np.full(b - a, weight))
+        dense = np.bincount(np.concatenate(flat), np.concatenate(value), (j - i) * none).reshape(j - i, none)
+        parts[i:j] = dense.astype(np.float32) @ z.project[:none]
+    return (window_sums(w, parts) / w.norm[:, None]).astype(np.float32)
+
+
+def sentence_machine(rows: list[tuple[str, int]], z: Landmarks, fold: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights on the landmarks' features and bias from all distinct sentences of the rows, and margins of the rows of either fold by the other."""
+    data, offsets = column_bytes(pc.utf8_lower(pa.array([t for t, _ in rows])))
+    seen: set[bytes] = set()
+    xs, docs = [], []
+    for i, j in slices(offsets):
+        w = sentence_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        if not len(w.window):
+            continue
+        begin = w.segment[w.window]
+        end = np.minimum(begin + HALF * (1 + w.pair), w.at[np.minimum(np.searchsorted(w.at, begin, "right"), len(w.at) - 1)])
+        new = []
+        for k, (a, b, r) in enumerate(zip(begin, end, w.row, strict=True)):
+            key = hashlib.blake2b(w.codes[a:b].tobytes() + bytes([rows[i + r][1]]), digest_size=8).digest()
+            if key not in seen:
+                seen.add(key)
+                new.append(k)
+        xs.append(window_features(w, z)[new])
+        docs.append(i + w.row[new])
+    x, doc = np.concatenate(xs), np.concatenate(docs)
+    label = np.array([y for _, y in rows])
+    y = np.where(label[doc] == 1, 1.0, -1.0)
+
+    def fit(rows_of: np.ndarray) -> tuple[np.ndarray, float]:
+        xf, yf, d = x[rows_of], y[rows_of], doc[rows_of]
+        start = np.flatnonzero(np.diff(d, prepend=-1) > 0)
+        size = np.diff(np.append(start, len(d)))
+        part = 1 / np.repeat(size, size)
+        for _ in range(SENTENCE_ROUNDS):
+            w, b = svm(xf, yf, np.where(yf > 0, part, 1.0))
+            m = (xf @ w.astype(np.float32)).astype(np.float64)
+            m = np.exp(4 * (m - np.repeat(np.maximum.reduceat(m, start), size)))
+            part = (1 - REST) * m / np.repeat(np.add.reduceat(m, start), size) + REST / np.repeat(size, size)
+        return w, b
+
+    outside = np.full(len(rows), -np.inf)
+    for f in (0, 1):
+        learnt, judged = np.flatnonzero(fold[doc] == f), np.flatnonzero(fold[doc] != f)
+        if len(np.unique(y[learnt])) == 2:
+            w, b = fit(learnt)
+            np.maximum.at(outside, doc[judged], x[judged] @ w.astype(np.float32) + b)
+    outside[np.isinf(outside)] = outside[np.isfinite(outside)].min(initial=0.0)  # nothing of its own
+    return *(fit(np.arange(len(x))) if len(np.unique(y)) == 2 else (np.zeros(x.shape[1]), 0.0)), outside
 
 
 def likelihood_ratio(a: int, b: int, n1: int, n0: int) -> float:
@@ -203,35 +427,40 @@ def nystrom(fragments: list[str], z: Landmarks) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, c: float = 10.0, steps: int = 15) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin; classes weigh alike."""
-    a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
     cost = c * share * np.where(y > 0, 0.5 / share[y > 0].sum(), 0.5 / share[y < 0].sum()) * 100
-    w = np.zeros(a.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w)) * 1e-1
     ridge[-1, -1] = 1e-4
     for _ in range(steps):
-        inside = y * (a @ w) < 1
-        b = a[inside] * cost[inside, None]
-        new = np.linalg.solve(ridge + b.T @ a[inside], b.T @ y[inside])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for i in range(0, len(x), 8192):
+            a = np.concatenate([x[i : i + 8192], np.ones((len(x[i : i + 8192]), 1), x.dtype)], axis=1).astype(np.float64)
+            inside = y[i : i + 8192] * (a @ w) < 1
+            a = a[inside]
+            b = a * cost[i : i + 8192][inside, None]
+            left += b.T @ a
+            right += b.T @ y[i : i + 8192][inside]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
     return w[:-1], float(w[-1])
 
 
-def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through margins, with Platt's smoothed targets."""
+def platt(margin: np.ndarray, label: np.ndarray, more: np.ndarray | None = None) -> tuple[float, ...]:
+    """Slope and offset of the logistic curve through margins, with Platt's smoothed targets; with ``more`` also its slope."""
     n1, n0 = label.sum(), (1 - label).sum()
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a = np.stack([margin, np.ones(len(margin))], axis=1)
-    w = np.array([2.0, 0.0])
+    a = np.stack([margin, np.ones(len(margin)), *([] if more is None else [more])], axis=1)
+    w = np.array([2.0, 0.0, 0.0][: a.shape[1]])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.eye(2) * 1e-3
+        h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.eye(len(w)) * 1e-3
         step = np.linalg.solve(h, a.T @ (target - p))
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return float(max(w[0], 0.1)), float(w[1])
+    return float(max(w[0], 0.1)), *map(float, w[1:])
 
 
 def _gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -310,6 +539,14 @@ def margins(data: np.ndarray, offsets: np.ndarray, model: Model, known: Known |
             spelt = [re.sub(r"[\x20\x09]", "", x) for x in _SINGLES.findall(text)]
             if spelt:
                 out[i + d] = max(out[i + d], fragment_margins(joined(spelt), len(spelt), model).max())
+    if model.sentence is not None:
+        some = np.flatnonzero(out > EMPTY_MARGIN)
+        whole = np.full(len(out), -np.inf)
+        for i, j in slices(offsets):
+            w = sentence_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if len(w.window):
+                np.maximum.at(whole, i + w.row, window_margins(w, model.sentence, model.sentence_bias))
+        out[some] += np.maximum(whole[some], 0)
     return out
 
 

@@ -98,3 +98,51 @@ def test_no_labels_and_odd_rows(spark, operator, label):
     rows = operator(docs, labels).collect()
     assert len(rows) == 5 and all(0 <= r["score"] <= 1 for r in rows)
     assert operator(docs.limit(0), labels).count() == 0
+
+
+def phrase_toy(n: int = 600):
+    """Documents with the same usual words, of which a third has three of them as one phrase."""
+    rng = random.Random(3)
+    usual = ["".join(rng.choice("aeiou") + rng.choice("lnrst") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    phrase = [usual[3], usual[17], usual[29]]
+    rows = []
+    for i in range(n):
+        words = [rng.choice(usual) for _ in range(40)]
+        for p in phrase:
+            words[rng.randrange(40)] = p
+        if i % 3 == 0:
+            k = rng.randrange(37)
+            words[k : k + 3] = phrase
+        for k in (9, 19, 29, 39):
+            words[k] += "."
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    return rows
+
+
+def test_toxicity_of_phrases_of_usual_words():
+    rows = phrase_toy()
+    m = toxicity.train(rows[:400])
+    called = m.probability(np.array([margin(m, t) for t, _ in rows[400:]])) >= 0.3
+    toxic = np.array([y for _, y in rows[400:]]) == 1
+    assert called[toxic].mean() >= 0.75 and called[~toxic].mean() <= 0.15
+
+
+def test_toxicity_of_words_that_are_split():
+    m = toxicity.train(toy())
+    clean = max(margin(m, t) for t, y in toy() if not y)
+    for word in ("zom bick", "zo mbick", "zomb ick", "gw urf"):
+        assert margin(m, f"nasa lere {word} tonu") > clean, word
+
+
+def test_vectors_of_sentences_against_brute_force():
+    texts = ["One  two.\nthree! ", "", " ", "a.b c\n\nd", "ü" * 130 + " é " + "long words " * 40]
+    data, offsets = column_bytes(pa.array([t.lower() for t in texts]))
+    w = toxicity.sentence_windows(data, offsets)
+    z = toxicity.landmark_features(["one two", "long words", "three", "ü é l"])
+    x = toxicity.window_features(w, z)
+    weights = np.random.default_rng(2).normal(size=x.shape[1])
+    got = toxicity.window_margins(w, (z.project @ weights).astype(np.float32)[z.place], 0.25)
+    assert np.allclose(got, x @ weights + 0.25, atol=1e-3)
+    assert w.row[:2].tolist() == [0, 0] and (w.row == 4).sum() == 4
+    for k, s in enumerate(["one two.", "three!"]):
+        assert np.allclose(x[k], toxicity.nystrom([s], z)[0], atol=1e-4)
