@@ -182,6 +182,9 @@ def fragment_machine(rows: list[tuple[str, int]], rng: np.random.Generator) -> t
 def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
     """Fit the machines to labelled documents (text, label)."""
     rng = np.random.default_rng(seed)
+    if len({y for _, y in rows}) < 2:
+        return Model(np.zeros(1 << TABLE_BITS, np.float32), -1.0, 2.0, 0.0)
+    said = phrases(rows)[: LANDMARKS // 2]  # first, while the driver holds little
     found = fragment_machine(rows, rng)
     if found is None:
         return Model(np.zeros(1 << TABLE_BITS, np.float32), -1.0, 2.0, 0.0)
@@ -199,7 +202,7 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
         part = fragment_machine([r for r, g in zip(rows, fold, strict=True) if g == f], rng)
         if part is not None:
             outside[fold != f] = _margins([r for r, g in zip(rows, fold, strict=True) if g != f], Model(*part[:2], 1.0, 0.0))
-    z = landmark_features(list(dict.fromkeys([*known, *phrases(rows)[: LANDMARKS // 2]])))
+    z = landmark_features(list(dict.fromkeys([*known, *said])))
     w, b, whole = sentence_machine(rows, z, fold)
     usual = np.median(whole[label == 0])
     slope, offset, more = platt(outside, label, np.maximum(whole - usual, 0))
@@ -349,10 +352,12 @@ def window_features(w: Windows, z: Landmarks) -> np.ndarray:
 def sentence_machine(rows: list[tuple[str, int]], z: Landmarks, fold: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights on the landmarks' features and bias from all distinct sentences of the rows, and margins of the rows of either fold by the other."""
     data, offsets = column_bytes(pc.utf8_lower(pa.array([t for t, _ in rows])))
+    parts = [(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
     seen: set[bytes] = set()
-    xs, docs = [], []
-    for i, j in slices(offsets):
-        w = sentence_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    x = np.empty((sum(len(sentence_windows(buf, off).window) for _, buf, off in parts), z.project.shape[1]), np.float16)  # half as much for the driver to hold
+    docs, n = [], 0
+    for i, buf, off in parts:
+        w = sentence_windows(buf, off)
         if not len(w.window):
             continue
         begin = w.segment[w.window]
@@ -363,20 +368,24 @@ def sentence_machine(rows: list[tuple[str, int]], z: Landmarks, fold: np.ndarray
             if key not in seen:
                 seen.add(key)
                 new.append(k)
-        xs.append(window_features(w, z)[new])
+        x[n : n + len(new)] = window_features(w, z)[new]
+        n += len(new)
         docs.append(i + w.row[new])
-    x, doc = np.concatenate(xs), np.concatenate(docs)
+    x, doc = x[:n], np.concatenate(docs) if docs else np.zeros(0, np.int64)
     label = np.array([y for _, y in rows])
     y = np.where(label[doc] == 1, 1.0, -1.0)
 
-    def fit(rows_of: np.ndarray) -> tuple[np.ndarray, float]:
+    def dot(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[i : i + 8192] @ w for i in range(0, len(x), 8192)])
+
+    def fit(rows_of: np.ndarray | slice) -> tuple[np.ndarray, float]:
         xf, yf, d = x[rows_of], y[rows_of], doc[rows_of]
         start = np.flatnonzero(np.diff(d, prepend=-1) > 0)
         size = np.diff(np.append(start, len(d)))
         part = 1 / np.repeat(size, size)
         for _ in range(SENTENCE_ROUNDS):
             w, b = svm(xf, yf, np.where(yf > 0, part, 1.0))
-            m = (xf @ w.astype(np.float32)).astype(np.float64)
+            m = dot(xf, w)
             m = np.exp(4 * (m - np.repeat(np.maximum.reduceat(m, start), size)))
             part = (1 - REST) * m / np.repeat(np.add.reduceat(m, start), size) + REST / np.repeat(size, size)
         return w, b
@@ -386,9 +395,9 @@ def sentence_machine(rows: list[tuple[str, int]], z: Landmarks, fold: np.ndarray
         learnt, judged = np.flatnonzero(fold[doc] == f), np.flatnonzero(fold[doc] != f)
         if len(np.unique(y[learnt])) == 2:
             w, b = fit(learnt)
-            np.maximum.at(outside, doc[judged], x[judged] @ w.astype(np.float32) + b)
+            np.maximum.at(outside, doc[judged], dot(x[judged], w) + b)
     outside[np.isinf(outside)] = outside[np.isfinite(outside)].min(initial=0.0)  # nothing of its own
-    return *(fit(np.arange(len(x))) if len(np.unique(y)) == 2 else (np.zeros(x.shape[1]), 0.0)), outside
+    return *(fit(slice(None)) if len(np.unique(y)) == 2 else (np.zeros(x.shape[1]), 0.0)), outside
 
 
 def likelihood_ratio(a: int, b: int, n1: int, n0: int) -> float:
