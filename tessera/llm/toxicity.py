@@ -541,7 +541,8 @@ def margins(data: np.ndarray, offsets: np.ndarray, model: Model, known: Known |
         score = known.look_up(hashes, lambda at: _word_margins(buf, starts[pick[at]], ends[pick[at]], model))[back]
         has = np.flatnonzero(np.diff(first) > 0)
         out[i + has] = np.maximum.reduceat(score, first[has])
-        single = (ends - starts == 1).astype(np.int8)
+        points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+        single = (points[ends] - points[starts] == 1).astype(np.int8)
         runs = np.flatnonzero(single[:-2] & single[1:-1] & single[2:]) if len(single) > 2 else []
         for d in np.unique(np.searchsorted(first, runs, "right") - 1):  # spelt with spaces
             text = buf[off[d] : off[d + 1]].tobytes().decode("utf-8", "replace")

@@ -146,3 +146,10 @@ def test_vectors_of_sentences_against_brute_force():
     assert w.row[:2].tolist() == [0, 0] and (w.row == 4).sum() == 4
     for k, s in enumerate(["one two.", "three!"]):
         assert np.allclose(x[k], toxicity.nystrom([s], z)[0], atol=1e-4)
+
+
+def test_toxicity_of_letters_beyond_ascii_spelt_with_spaces():
+    m = toxicity.train([(t.replace("zombick", "дуралей"), y) for t, y in toy()])
+    m.sentence = None
+    word = toxicity.fragment_margins(toxicity.joined(["дуралей"]), 1, m)[0]
+    assert margin(m, "д у р а л е й") == pytest.approx(word) and margin(m, "nasa д у р а л е й tonu") >= word - 1e-9
