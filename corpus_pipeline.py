@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.llm import minhash, mixing, packing, suffix, tokens, toxicity
 from tessera.llm.shared import materialize, release
 
-REJECT = 0.5  # probability of toxicity from which a document goes
+REJECT = toxicity.THRESHOLD  # probability of toxicity from which a document goes
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The last stage is a packing of token ids and the first learns a model; SQL expresses neither.
 ORACLE_SQL = None

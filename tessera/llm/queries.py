@@ -141,7 +141,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by the string-kernel machine learnt outside the held-out fold."""
-    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), 0.3)
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), toxicity.THRESHOLD)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -53,6 +53,7 @@ RATIO = 8.0  # of a witness's share of toxic contexts to its share of clean ones
 EVIDENCE = 20.0  # of Dunning's statistic, from which a fragment is a witness
 EMPTY_MARGIN = -2.0
 INSERTED = ".*-_'"
+THRESHOLD = 0.3  # probability from which a text counts as toxic
 HALF = 120  # characters of half a window
 SENTENCE_ROUNDS, REST = 3, 0.1
 SLICE = 1 << 20
@@ -583,7 +584,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return train(sorted((r["text"] or "", int(r["label"])) for r in rows))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Score all documents: doc_id, held_out, score in 0..1, predicted (score >= threshold).
 
     Only the text is an input of a score. Null and empty texts have no fragment and get

@@ -37,3 +37,9 @@ def test_stages_take_effect_on_what_is_left(spark):
     assert packing.EOD == 2
     run = P.run(spark, SF)
     assert run.columns == packed.columns and run.count() == len(pieces)
+
+
+def test_toxicity_stage_keeps_what_the_operator_predicts_clean(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    clean = {r["doc_id"] for r in toxicity.toxicity(docs, labels).where("predicted = 0").select("doc_id").collect()}
+    assert P.REJECT == toxicity.THRESHOLD and {r["doc_id"] for r in P.toxic_out(spark, docs, SF).collect()} == clean
