@@ -13,8 +13,9 @@ worst fragment and its worst sentence.
 Two machines share the kernel. The one of fragments learns from witnesses: fragments that
 occur in significantly more contexts in toxic documents than in clean ones (a context is
 the word before it, so a passage that was copied many times counts once). Of clean
-fragments those that come closest to the witnesses are learnt from first, and in rounds
-those that the machine gets wrong.
+fragments a third of the usual and those that come closest to the witnesses are learnt from
+first; then all are scored in rounds, and the worst of those inside the margin are added,
+until none is inside that was not learnt from.
 
 The one of sentences learns from all distinct sentences of the labelled documents, with or
 without a witness; white space is a character inside the span, so phrases of usual words
@@ -48,7 +49,7 @@ from .shared import column_bytes, map_arrow, mix, slices, word_hashes, words
 TABLE_BITS = 18
 SPAN, DECAY = 6, 0.7
 LANDMARKS = 256
-ROUNDS, NEGATIVES = 2, 4000
+NEGATIVES = 4000  # clean fragments that a round adds at most
 RATIO = 8.0  # of a witness's share of toxic contexts to its share of clean ones, at least
 EVIDENCE = 20.0  # of Dunning's statistic, from which a fragment is a witness
 EMPTY_MARGIN = -2.0
@@ -164,19 +165,22 @@ def fragment_machine(rows: list[tuple[str, int]], rng: np.random.Generator) -> t
     usual = sorted(range(len(clean)), key=lambda i: (-seen[0][clean[i]], clean[i]))
     spread = [usual[i] for i in np.unique(np.geomspace(1, max(1, len(usual)), LANDMARKS // 4).astype(int) - 1)] if usual else []
     z = landmark_features(list(dict.fromkeys(witness[: LANDMARKS // 2] + [clean[i] for i in (*close[: LANDMARKS // 4], *spread)])))
-    pool = [clean[i] for i in np.union1d(close, usual[: 3 * NEGATIVES]).astype(int)]
-    spelt_out = joined(pool)
-    against = np.union1d(np.arange(0, len(pool), 3), np.argsort(-fragment_margins(spelt_out, len(pool), Model(near, 0.0, 1.0, 0.0)))[:NEGATIVES]).astype(int)
+    pool = np.union1d(close, usual[: 3 * NEGATIVES]).astype(int)
+    against = np.union1d(pool[::3], close[:NEGATIVES])
+    learnt = np.zeros(len(clean), bool)
     count = np.sqrt([seen[1][f] for f in witness])
     positive = np.concatenate([nystrom(witness, z), nystrom([_inserted(f, rng) for f in witness for _ in range(2)], z)])
     weights, bias = np.zeros(1 << TABLE_BITS, np.float32), -1.0
-    for _ in range(ROUNDS):  # each adds the clean fragments that the machine does not keep outside its margin
-        x = np.concatenate([positive, nystrom([pool[i] for i in against], z)])
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(against))])
-        w, bias = svm(x, y, np.concatenate([count, np.repeat(count, 2) / 2, np.ones(len(against))]))
+    x = positive
+    while len(against):  # each adds the clean fragments that the machine does not keep outside its margin
+        learnt[against] = True
+        x = np.concatenate([x, nystrom([clean[i] for i in against], z)])
+        y = np.where(np.arange(len(x)) < len(positive), 1.0, -1.0)
+        w, bias = svm(x, y, np.concatenate([count, np.repeat(count, 2) / 2, np.ones(len(x) - len(positive))]))
         weights = (z.project @ w).astype(np.float32)[z.place]
-        score = fragment_margins(spelt_out, len(pool), Model(weights, bias, 1.0, 0.0))
-        against = np.union1d(against, np.argsort(-score)[: (score > -0.8).sum()][:NEGATIVES])
+        score = np.concatenate([fragment_margins(joined(clean[i : i + 20_000]), len(clean[i : i + 20_000]), Model(weights, bias, 1.0, 0.0)) for i in range(0, len(clean), 20_000)])
+        against = np.flatnonzero((score > -0.8) & ~learnt)
+        against = against[np.argsort(-score[against], kind="stable")[:NEGATIVES]]
     return weights, bias, [*witness[: LANDMARKS // 4], *(clean[i] for i in (*close[: LANDMARKS // 8], *spread))]
 
 

@@ -153,3 +153,16 @@ def test_toxicity_of_letters_beyond_ascii_spelt_with_spaces():
     m.sentence = None
     word = toxicity.fragment_margins(toxicity.joined(["дуралей"]), 1, m)[0]
     assert margin(m, "д у р а л е й") == pytest.approx(word) and margin(m, "nasa д у р а л е й tonu") >= word - 1e-9
+
+
+def test_all_clean_words_are_held_against_the_machine(monkeypatch):
+    monkeypatch.setattr(toxicity, "NEGATIVES", 5)  # the words learnt from first are few
+    rng = random.Random(4)
+    rows = toy() + [(" ".join("zom" + "".join(rng.choice("aeiou") + rng.choice("lnrst") for _ in range(3)) for _ in range(40)), 0) for _ in range(30)]
+    clean = sorted({w for t, y in rows if not y for s in toxicity.sentences(t) for w in s})
+    learnt: list[str] = []
+    inner = toxicity.nystrom
+    monkeypatch.setattr(toxicity, "nystrom", lambda fragments, z: learnt.extend(fragments) or inner(fragments, z))
+    weights, bias, _ = toxicity.fragment_machine(rows, np.random.default_rng(5))
+    score = toxicity.fragment_margins(toxicity.joined(clean), len(clean), toxicity.Model(weights, bias, 1.0, 0.0))
+    assert {f for f, s in zip(clean, score, strict=True) if s > -0.8} <= set(learnt)
