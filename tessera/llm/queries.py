@@ -35,14 +35,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hosts.select("host", F.md5(F.col("host").cast("binary")).alias("m"))
     day = F.conv(F.substring("m", 3, 2), 16, 10).cast("int")
     start = F.timestamp_seconds(F.lit(1704067200) + day * 86400)
+    again = F.timestamp_seconds(F.lit(1704067200) + (day + 60) * 86400)
     block = h.where("substring(m, 1, 1) in ('0','1','2','3')")
     entries = (
         block.select(F.col("host").alias("pattern"), start.alias("listed_at"), F.lit("block").alias("action"))
-        .unionByName(block.where("substring(m, 2, 1) in ('0','2','4','6','8','a','c','e')").select(F.col("host").alias("pattern"), (start + F.expr("interval 60 days")).alias("listed_at"), F.lit("allow").alias("action")))
+        .unionByName(block.where("substring(m, 2, 1) in ('0','2','4','6','8','a','c','e')").select(F.col("host").alias("pattern"), again.alias("listed_at"), F.lit("allow").alias("action")))
         .unionByName(h.where("substring(m, 1, 1) = '4'").select(F.concat("host", F.lit("/en")).alias("pattern"), F.timestamp_seconds(F.lit(1717200000)).alias("listed_at"), F.lit("block").alias("action")))
         .unionByName(spark.sql("select 'spam-farm.example.org' as pattern, timestamp_seconds(1709251200) as listed_at, 'block' as action union all select 'example.net', timestamp_seconds(1704067200), 'allow'"))
     )
-    out = url_filter.filter_captures(captures, entries, ("2024-01-01", "2024-12-01"))
+    out = url_filter.filter_captures(captures, entries)
     return out.withColumn("fetch_time", F.unix_seconds("fetch_time"))
 
 

@@ -6,9 +6,10 @@ intervals; every capture is judged by the entries that were active when it was f
 
 A pattern is a host (which also covers its subdomains) or host/first-path-segment. Of the
 active entries that match a capture the most specific decides. The join is on pattern and
-month: intervals are split at months and the captures' keys carry theirs, so a host that
-holds a third of all captures is spread over its months and, beyond that, split by
-adaptive execution. All of it is DataFrame functions.
+period of 30 days since the epoch, which no time zone moves: intervals are split at the
+periods that captures have and the captures' keys carry theirs, so a host that holds a
+third of all captures is spread over its periods and, beyond that, split by adaptive
+execution. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+PERIOD = 30 * 86400
 PATH1 = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
 
@@ -46,24 +48,25 @@ def validity(entries: DataFrame) -> DataFrame:
     return one.select("pattern", "action", F.col("listed_at").alias("valid_from"), F.lead("listed_at").over(W.partitionBy("pattern").orderBy("listed_at")).alias("valid_to"))
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, horizon: tuple[str, str]) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame, horizon: tuple[str, str] | None = None) -> DataFrame:
     """Judge captures (page_id, url, fetch_time) by the entries active at fetch time.
 
-    horizon: first and last month in which captures may fall ('2024-01-01', '2024-12-01');
-    intervals are split over these months only. Captures outside of it, without a time or
+    Every capture meets the entries active at its time, whenever that is; ``horizon`` (the
+    months in which captures are expected) limits nothing. Captures without a time or
     without a host are kept. Returns one row per distinct capture: page_id, url,
     fetch_time, n_rows (repeated rows), host, matched (the deciding pattern or null),
     action (null if none is active) and kept (not blocked).
     """
-    first, last = (F.lit(x).cast("date") for x in horizon)
+    period = lambda t: F.floor(F.unix_seconds(t) / PERIOD)
     seen = captures.groupBy("page_id", "url", "fetch_time").agg(F.count(F.lit(1)).alias("n_rows"))
-    keyed = seen.select("page_id", "url", "fetch_time", F.trunc("fetch_time", "month").alias("month"), F.posexplode(keys_of(F.col("url"))).alias("pos", "key"))
+    keyed = seen.select("page_id", "url", "fetch_time", period(F.col("fetch_time")).alias("period"), F.posexplode(keys_of(F.col("url"))).alias("pos", "key"))
     spans = validity(entries)
-    until = F.coalesce(F.trunc("valid_to", "month"), last)
-    month = F.explode(F.filter(F.sequence(first, last, F.expr("interval 1 month")), lambda m: (m >= F.trunc("valid_from", "month")) & (m <= until)))
-    spans = spans.select("pattern", "action", "valid_from", "valid_to", month.alias("in_month"))
+    known = seen.agg(F.collect_set(period(F.col("fetch_time"))).alias("periods"))  # one row
+    since, until = period(F.col("valid_from")), period(F.col("valid_to"))
+    inside = F.explode(F.filter("periods", lambda p: (p >= since) & (until.isNull() | (p <= until))))
+    spans = spans.crossJoin(F.broadcast(known)).select("pattern", "action", "valid_from", "valid_to", inside.alias("in_period"))
     active = (F.col("fetch_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_time") < F.col("valid_to")))
-    hits = keyed.join(spans, (F.col("key") == F.col("pattern")) & (F.col("month") == F.col("in_month")) & active)
+    hits = keyed.join(spans, (F.col("key") == F.col("pattern")) & (F.col("period") == F.col("in_period")) & active)
     best = hits.groupBy("page_id", "url", "fetch_time").agg(F.min(F.struct("pos", "pattern", "action")).alias("hit"))
     best = best.select(F.col("page_id").alias("b_id"), F.col("url").alias("b_url"), F.col("fetch_time").alias("b_time"), "hit")
     same = F.col("page_id").eqNullSafe(F.col("b_id")) & F.col("url").eqNullSafe(F.col("b_url")) & F.col("fetch_time").eqNullSafe(F.col("b_time"))

@@ -101,3 +101,18 @@ def test_url_filter_history(spark):
     rows = {r["page_id"]: r for r in url_filter.filter_captures(captures, entries, ("2024-01-01", "2024-12-01")).collect()}
     assert {i: r["kept"] for i, r in rows.items()} == {1: False, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True}
     assert rows[1]["n_rows"] == 2 and rows[6]["matched"] == "other.org/en" and rows[2]["action"] == "allow"
+
+
+def test_url_filter_at_any_time_and_in_any_zone(spark):
+    rows = [(1, "http://a.org/x", 1704067200), (2, "http://a.org/x", 1735689599), (3, "http://a.org/x", 1900000000), (4, "http://a.org/x", 1000000000), (5, "http://b.org", 1700000000)]
+    listed = [("a.org", 1704067200, "block"), ("b.org", 1600000000, "block"), ("b.org", 1700000000, "allow")]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            captures = spark.createDataFrame(rows, "page_id long, url string, t long").selectExpr("page_id", "url", "timestamp_seconds(t) as fetch_time")
+            entries = spark.createDataFrame(listed, "pattern string, t long, action string").selectExpr("pattern", "timestamp_seconds(t) as listed_at", "action")
+            out = url_filter.filter_captures(captures, entries, ("2024-01-01", "2024-12-01"))
+            assert {r["page_id"]: r["kept"] for r in out.collect()} == {1: False, 2: False, 3: False, 4: True, 5: True}, z
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
