@@ -44,17 +44,21 @@ def read_pinned(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
     return j.select("name", status.alias("status"), "content")
 
 
+#: What Windows-1252 has at 0x80 to 0x9F, where Latin-1 has control characters; five places are empty.
+_CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
 def decode_html(content: Column) -> Column:
     """Bytes as text: the charset that the first 4096 bytes declare if it is one of the usual, UTF-8 if valid, else Windows-1252."""
     head = F.lower(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"))
     declared = F.regexp_extract(head, r"charset\s*=\s*['\"]?([\w.-]+)", 1)
     as_text = content.cast("string")
-    usual = {"iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "windows-1252": "windows-1252", "us-ascii": "US-ASCII", "utf-16": "UTF-16"}
+    high = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, _CP1252)), "".join(_CP1252.values()))
+    usual = {"iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "us-ascii": "US-ASCII", "utf-16": "UTF-16"}
     out = F.when(declared.isin("", "utf-8", "utf8") & F.is_valid_utf8(as_text), as_text)
     for name, java in usual.items():
-        if java in ("ISO-8859-1", "US-ASCII", "UTF-16"):
-            out = out.when(declared == name, F.decode(content, java))
-    return out.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(content, "ISO-8859-1"))
+        out = out.when(declared == name, F.decode(content, java))
+    return out.when(declared == "windows-1252", high).when(F.is_valid_utf8(as_text), as_text).otherwise(high)
 
 
 def validate(df: DataFrame, id_col: str, required: list[str], enums: dict, patterns: dict[str, str]) -> DataFrame:

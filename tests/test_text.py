@@ -52,3 +52,12 @@ def test_identify(spark):
     rows = spark.createDataFrame([(1, "Notice CP503 / CP501"), (2, "we mention CP503 here"), (3, "Notice CP503\na\nb\nc\nd\ne\nabout CP14"), (4, "Letter\n1058"), (5, "Letter 1058 and LT11"), (6, None)], "notice_id int, text string")
     got = {r["notice_id"]: (r["status"], r["notice_code"]) for r in notices.identify(rows, ["CP503"]).collect()}
     assert got[1] == ("ambiguous", None) and got[2] == ("unidentified", None) and got[3] == ("identified", "CP503") and got[6] == ("unidentified", None)
+
+
+def test_decode_html_reads_windows_1252(spark):
+    from tessera.sources.manifest import decode_html
+
+    texts = ["“quoted” – 5 € é", '<meta charset="windows-1252">‘it’s’ … é', "plain é"]
+    pages = [(0, texts[0].encode("cp1252")), (1, texts[1].encode("cp1252")), (2, texts[2].encode())]
+    df = spark.createDataFrame(pages, "i int, content binary")
+    assert [r["t"] for r in df.select("i", decode_html(df.content).alias("t")).orderBy("i").collect()] == texts
