@@ -557,7 +557,7 @@ def margins(data: np.ndarray, offsets: np.ndarray, model: Model, known: Known |
     if model.sentence is not None:
         some = np.flatnonzero(out > EMPTY_MARGIN)
         whole = np.full(len(out), -np.inf)
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, SLICE >> 4):
             w = sentence_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if len(w.window):
                 np.maximum.at(whole, i + w.row, window_margins(w, model.sentence, model.sentence_bias))
