@@ -126,3 +126,53 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     want = groups([r[0] for r in rows], links)
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert {i: r["n_links"] for i, r in got.items()} == {r[0]: sum(r[0] in p for p in links) for r in rows}
+
+
+def plain_links(rows):
+    """Rows (vec_id, vector, label), all comparable: links and the smallest vec_id of each row's component."""
+    unit = [np.array(v, float) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98]
+    part = groups(list(range(len(rows))), links)
+    least = {p: min(rows[i][0] for i in part if part[i] == p) for p in set(part.values())}
+    return sorted((r[0], sum(i in p for p in links), least[part[i]]) for i, r in enumerate(rows))
+
+
+def test_repeated_vec_ids(spark):
+    rows = [(1, [1.0, 0.0], 5), (1, [1.0, 0.01], 5), (2, [1.0, 0.02], 5), (3, [0.0, 1.0], 5), (3, [-1.0, 0.0], 5), (9, [1.0, 0.0], 5), (4, [0.01, 1.0], 5)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == plain_links(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+@pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.7, -0.0, 0.0]), ("string", ["a", "A", "a ", ""]), ("boolean", [True, False, True, False])])
+def test_labels_as_they_are(spark, kind, labels):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 12))
+    rows = [(i, (base[i % 6] + rng.normal(0, 0.02, 12)).tolist(), labels[i % 4]) for i in range(48)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")).collect()
+    rows = [(i, np.array(v, np.float32).tolist(), y) for i, v, y in rows]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == plain_links(rows)
+
+
+def test_vec_ids_of_text(spark):
+    rows = [("b", [1.0, 0.0], 1), ("a", [1.0, 0.01], 1), ("c", [0.0, 1.0], 1)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True)]
+    assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_recall_at_the_least_cosine():
+    """Of 20,000 pairs at a cosine of exactly 0.98 in 64 dimensions hardly one shares no bucket; far ones share few."""
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((20_000, 64))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.98 * a + np.sqrt(1 - 0.98**2) * b
+    hashing = embeddings.Hashing(embeddings.TABLES, embeddings.PROJECTIONS, embeddings.WIDTH)
+    none = np.zeros(20_000, np.int64)
+    assert (hashing.keys(a, none) == hashing.keys(near, none)).any(1).mean() >= 0.9995
+    assert (hashing.keys(a, none) == hashing.keys(b, none)).any(1).mean() <= 0.005
+    some = rng.permutation(20_000)[:77]
+    assert (hashing.keys(a, none)[some] == hashing.keys(a[some], none[:77])).all()
