@@ -1,13 +1,18 @@
-"""Token ids of whole texts with the vocabulary of a public tokenizer file.
-
-A byte-level BPE file of the tokenizers library is read into the merge engine of
-tiktoken, which gives the same ids in a quarter of the time; other files are run by the
-tokenizers library itself. Special-token strings in a text are ordinary text.
+"""Token ids of whole texts, as the tokenizers library gives them for a public tokenizer file.
+
+``encoder`` gives the ids of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``;
+an added token's text within a text is that token, as it is there. A byte-level BPE file
+is run by the merge engine of tiktoken, which needs a quarter of the time, if the file is of
+the one form for which both engines do the same (``_mergeable``); other files, and texts with
+a longer run of white space than that engine's pattern can look through, are run by the
+library itself.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -29,26 +34,56 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+LONGEST_RUN = 100_000  # characters of white space; the pattern's look-ahead keeps each of a run
+_WHITE = re.compile(r"\s+")
+
+
+def _mergeable(spec: dict) -> bool:
+    """Whether a file is plain byte-level BPE: ids in the order of merges, added tokens taken as they stand."""
+    pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens") or ()
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
+    vocab = model["vocab"]
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [vocab[x] for x in made]
+    plain = set(vocab) - {t["content"] for t in added}
+    return ids == sorted(set(ids)) and plain == set(_byte_alphabet()) | set(made)
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """A function from a text to its ids (an array)."""
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids."""
+    from tokenizers import Tokenizer
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    if plain and not spec.get("normalizer") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"):
-        import tiktoken
-
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        alphabet = _byte_alphabet()
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.array(bpe.encode_ordinary(text), np.uint32)
-    from tokenizers import Tokenizer
+    library: list[Tokenizer] = []
+
+    def slow(text: str) -> np.ndarray:
+        library[:] = library or [Tokenizer.from_file(path)]
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    if not _mergeable(spec):
+        return slow
+    import tiktoken
+
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
+    alphabet = _byte_alphabet()
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) > LONGEST_RUN and max(map(len, _WHITE.findall(text)), default=0) > LONGEST_RUN:
+            return slow(text)
+        if any(x in text for x in added):
+            return np.array(bpe.encode(text, allowed_special="all"), np.uint32)
+        return np.array(bpe.encode_ordinary(text), np.uint32)
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    return encode
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
