@@ -24,7 +24,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +33,7 @@ from .shared import arrow_schema, map_arrow, materialize, partitions, to_batch
 from .tokens import cuts, encoder
 
 EOD = 2
+IDS_AT_ONCE = 1 << 20
 
 
 class CapacityTree:
@@ -233,16 +233,26 @@ def histogram_of(pieces: DataFrame) -> dict[int, int]:
     return {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
 
 
-def place(pieces: DataFrame, plan: Plan) -> DataFrame:
-    """``pieces`` with sequence_id and offset."""
+BUCKET_ROWS = 1 << 16
+
+
+def place(pieces: DataFrame, plan: Plan, histogram: dict[int, int]) -> DataFrame:
+    """``pieces`` with sequence_id and offset.
+
+    Ranks of a length are dealt to buckets of about BUCKET_ROWS pieces, by a hash of the
+    piece; the counts of all buckets, summed up, say where each begins. Counts and pieces
+    are joined by sort and merge, so nothing that grows with the input is broadcast; the
+    window before it has the pieces in that order.
+    """
     spark = pieces.sparkSession
-    buckets = 4 * partitions(spark)
-    p = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    buckets = F.lit([-(-histogram.get(n, 0) // BUCKET_ROWS) or 1 for n in range(max(histogram, default=0) + 1)])
+    hashed = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(buckets, F.col("length").cast("int") + 1))
+    p = pieces.withColumn("bucket", hashed.cast("int"))
     counts = p.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")
     bases = materialize(counts.select(F.col("length").alias("of"), F.col("bucket").alias("at"), before.alias("base")), "piece-ranks")
     own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = p.withColumn("own", own).join(bases, (F.col("length") == F.col("of")) & (F.col("bucket") == F.col("at")))
+    ranked = p.withColumn("own", own).join(bases.hint("merge"), (F.col("length") == F.col("of")) & (F.col("bucket") == F.col("at")))
     ranked = ranked.withColumn("rank", F.col("own") + F.col("base")).drop("own", "base", "of", "at", "bucket")
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6)
     shared = spark.sparkContext.broadcast(runs)
@@ -265,7 +275,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, planner=dom
     gaps. Repeated rows are packed each for itself. An empty table gives no rows.
     """
     pieces = materialize(pieces_of(docs, path, capacity), "pieces")
-    return place(pieces, planner(histogram_of(pieces), capacity))
+    histogram = histogram_of(pieces)
+    return place(pieces, planner(dict(histogram), capacity), histogram)
 
 
 def id_kind(path: str) -> str:
@@ -278,52 +289,82 @@ def id_kind(path: str) -> str:
     return "<u2" if top < 1 << 16 else "<u4"
 
 
-BUFFER_IDS = 12_000_000
+GROUP_BYTES = 32 << 20
 MATRIX_ROWS = 2048
 
 
 def write_matrices(docs: DataFrame, path: str, capacity: int = 2048, pad: int = 0, end: int = EOD) -> DataFrame:
     """Packed id matrices: one row per sequence, packed by best fit decreasing.
 
-    Each task packs what it reads, in batches of about ``BUFFER_IDS`` ids, so ids are never
-    shuffled and a task holds one batch; a batch leaves at most one sequence less than half full.
-    Returns sequence_id, n_tokens, input_ids (binary: ``capacity`` little-endian ids of
-    ``id_bytes`` bytes, padded with ``pad``), id_bytes, cu_seqlens (0 and the ends of the
-    segments, as attention kernels take them), position_resets (the place in its document
-    at which each segment's positions start: 0, or of a later piece of a long document
-    its start), doc_ids and pieces. Nothing is lost: joining a document's pieces gives
-    back all its ids. Null and empty texts are documents of ``end`` alone; repeated rows
-    are packed each for itself; an empty table gives no rows.
+    Pieces are dealt by a hash of doc_id, piece and ids to groups of about GROUP_BYTES bytes
+    of text, and a group is packed as a whole: how many groups and what is in each follows
+    from the rows alone, so a rerun on another layout gives the same sequences, and a task
+    holds one group. A group leaves at most one sequence less than half full.
+
+    Returns sequence_id (group * 2 ** 32 + number), n_tokens, input_ids (binary: ``capacity``
+    little-endian ids of ``id_bytes`` bytes, padded with ``pad``), id_bytes, cu_seqlens (0 and
+    the ends of the segments, as attention kernels take them), position_resets (the places
+    at which positions start again at 0: of each segment, and of the padding if there is
+    any), doc_ids, pieces and starts (of each segment in its document). Nothing is lost:
+    joining a document's pieces gives back all its ids. Null and empty texts are documents
+    of ``end`` alone; repeated rows are packed each for itself; an empty table gives no
+    rows. ``save_matrices`` writes them.
     """
     kind = id_kind(path)
     width = np.dtype(kind).itemsize
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"sequence_id long, n_tokens int, input_ids binary, id_bytes int, cu_seqlens array<int>, position_resets array<long>, doc_ids array<{doc_kind}>, pieces array<int>"
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
+    groups = -(-total // GROUP_BYTES) or 1
 
+    def ids_of(batch: pa.RecordBatch) -> Iterator[dict]:
+        encode = encoder(path)
+        out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "crc", "ids")}
+        size = 0
+        for r, text in enumerate(batch.column(1)):
+            ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype(kind)
+            for p, (start, n) in enumerate(cuts(len(ids), capacity)):
+                part = ids[start : start + n].tobytes()
+                for k, v in (("row", r), ("piece", p), ("start", start), ("crc", zlib.crc32(part)), ("ids", part)):
+                    out[k].append(v)
+            size += len(ids)
+            if size >= IDS_AT_ONCE or r + 1 == batch.num_rows:
+                yield {"doc_id": batch.column(0).take(pa.array(out["row"], pa.int32())), **{k: v for k, v in out.items() if k != "row"}}
+                out, size = {k: [] for k in out}, 0
+
+    pieces = map_arrow(docs.select("doc_id", "text"), ids_of, f"doc_id {doc_kind}, piece int, start long, crc long, ids binary")
+    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "crc"), F.lit(groups)))
+    pieces = pieces.repartition(partitions(docs.sparkSession), "g").sortWithinPartitions("g", "doc_id", "piece", "crc")
+    schema = f"sequence_id long, n_tokens int, input_ids binary, id_bytes int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{doc_kind}>, pieces array<int>, starts array<long>"
     kinds = arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, made = encoder(path), TaskContext.get().partitionId(), 0
-        held, size = [], 0
+        held, group, size, made = [], None, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, made
+            nonlocal size, made
             for out in assemble(held, capacity, kind, pad):
-                out["sequence_id"] = (task << 40) + made + np.arange(len(out["n_tokens"]))
-                made += len(out["n_tokens"])
-                yield to_batch(out | {"id_bytes": np.full(len(out["n_tokens"]), width, np.int32)}, kinds)
-            held, size = [], 0
+                n = len(out["n_tokens"])
+                yield to_batch(out | {"sequence_id": (group << 32) + made + np.arange(n), "id_bytes": np.full(n, width, np.int32)}, kinds)
+                made += n
+            held.clear()
+            size = 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype(kind)
-                held += [(doc_id, p, start, ids[start : start + n]) for p, (start, n) in enumerate(cuts(len(ids), capacity))]
-                size += len(ids)
-                if size >= BUFFER_IDS:
+            for doc_id, p, start, ids, g in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "piece", "start", "ids", "g")), strict=True):
+                if g != group or size >= GROUP_BYTES:  # equal rows are in one group, however many
                     yield from flush()
+                    made = made if g == group else 0
+                    group = g
+                held.append((doc_id, p, start, np.frombuffer(ids, kind)))
+                size += len(ids)
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return pieces.mapInArrow(run, schema)
+
+
+def save_matrices(matrices: DataFrame, path: str) -> None:
+    """Write matrices as Parquet files, in the order of sequence_id within each."""
+    matrices.sortWithinPartitions("sequence_id").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def assemble(pieces: list[tuple], capacity: int, kind: str, pad: int) -> Iterator[dict]:
@@ -343,16 +384,17 @@ def assemble(pieces: list[tuple], capacity: int, kind: str, pad: int) -> Iterato
         hi = min(lo + MATRIX_ROWS, plan.sequences)
         matrix = np.full((hi - lo, capacity), pad, kind)
         rows = [[pieces[i] for i in order[bounds[s] : bounds[s + 1]]] for s in range(lo, hi)]
-        ends = []
+        ends, resets = [], []
         for r, row in enumerate(rows):
             at = [0]
             for p in row:
                 matrix[r, at[-1] : at[-1] + len(p[3])] = p[3]
                 at.append(at[-1] + len(p[3]))
             ends.append(at)
+            resets.append(at if at[-1] < capacity else at[:-1])
         yield {
             "n_tokens": [e[-1] for e in ends], "input_ids": [m.tobytes() for m in matrix], "cu_seqlens": ends,
-            "position_resets": [[p[2] for p in row] for row in rows], "doc_ids": [[p[0] for p in row] for row in rows], "pieces": [[p[1] for p in row] for row in rows],
+            "position_resets": resets, "doc_ids": [[p[0] for p in row] for row in rows], "pieces": [[p[1] for p in row] for row in rows], "starts": [[p[2] for p in row] for row in rows],
         }
 
 
