@@ -35,16 +35,25 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS, " "))
 
 
+def squeeze_all(text: Column) -> Column:
+    """``squeeze`` with Unicode's white space and the separators of ASCII."""
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text at every end of line that Unicode names, form feeds and ASCII separators too."""
+    return F.split(text, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]")
+
+
 def nfkc_clean(text: Column) -> Column:
-    """NFKC without zero-width spaces and soft hyphens, white space squeezed, no space inside brackets."""
-    plain = F.regexp_replace(nfkc(text), "[​­]", "")
-    spaced = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
-    return F.regexp_replace(F.regexp_replace(spaced, r"([(\[]) ", "$1"), r" ([)\]])", "$1")
+    """NFKC without zero-width spaces and soft hyphens, white space squeezed, no space inside square brackets."""
+    spaced = squeeze_all(F.translate(nfkc(text), "\u200b\u00ad", ""))
+    return F.replace(F.replace(spaced, F.lit("[ "), F.lit("[")), F.lit(" ]"), F.lit("]"))
 
 
 def nfc_squeeze(text: Column) -> Column:
     """NFC with white space squeezed; case and punctuation stay."""
-    return F.trim(F.regexp_replace(nfc(text), r"(?U)\s+", " "))
+    return squeeze_all(nfc(text))
 
 
 def preview(text: Column, n: int) -> Column:
@@ -85,8 +94,8 @@ def visible_markdown(text: Column) -> Column:
 
 def repair_extraction(text: Column) -> Column:
     """Mend words that PDF extraction splits, in compatibility form."""
-    t = F.regexp_replace(nfkc(text), r"(?i)Noti\s*\n\s*ce", "Notice")
-    return squeeze(F.regexp_replace(t, r"(?i)A\s+mount", "Amount"))
+    t = F.regexp_replace(nfkc(text), r"(?iU)Noti\s*\n\s*ce", "Notice")
+    return squeeze_all(F.regexp_replace(t, r"(?iU)A\s+mount", "Amount"))
 
 
 def percent(x: Column) -> Column:

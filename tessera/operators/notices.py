@@ -10,8 +10,10 @@ from tessera.functions import notice as N
 from tessera.functions import text as T
 
 MAX_LINES, NEAR_HEADER, WINDOW = 80, 40, 4
-LABEL = r"(?i)(?:IRS\s+)?(?:notice|letter)(?:\s+(?:number|type))?\s*[:#-]?"
-CONNECTOR = r"\s*(?:/|,|(?i:and)|&)\s*"
+# Fixed values. What may stand before a code, alone above it, and between two codes.
+LABEL = r"(?i)(?:IRS\s+)?(?:notice|letter)(?:\s+(?:number|type))?\s*[:#-]?\s*"
+LABEL_ABOVE = r"(?i)(?:notice|letter)"
+CONNECTOR = r"(?i)\s*(?:/|,|and|&)\s*"
 
 
 def identify(rows: DataFrame, available: list[str]) -> DataFrame:
@@ -22,18 +24,18 @@ def identify(rows: DataFrame, available: list[str]) -> DataFrame:
     0.96 if it is all of its line. Codes within four lines of the first decide; LT11 and
     Letter 1058 are one notice.
     """
-    lines = rows.select("notice_id", F.filter(F.transform(F.split("text", r"\r\n|\n|\r"), T.squeeze), lambda x: x != "").alias("ls"))
+    lines = rows.select("notice_id", F.filter(F.transform(T.lines(F.col("text")), T.squeeze_all), lambda x: x != "").alias("ls"))
     each = lines.select("notice_id", F.posexplode(F.slice("ls", 1, MAX_LINES)).alias("pos", "line"))
     each = each.withColumn("above", F.lag("line").over(W.partitionBy("notice_id").orderBy("pos")))
     # the line with its codes marked, so that labels and connectors are seen around them
-    marked = F.regexp_replace("line", N.CODE, "\u0001$1\u0001")
+    marked = F.regexp_replace("line", N.java(N.CODE), "\u0001$1\u0001")
     parts = each.select("notice_id", "pos", "line", "above", F.split(marked, "\u0001").alias("p"))
     head = F.trim(F.col("p")[0])
-    labelled = head.rlike(rf"^(?:{LABEL})$") | F.coalesce(F.col("above").rlike("^(?i)(?:notice|letter)$"), F.lit(False))
+    labelled = head.rlike(N.whole(LABEL)) | F.coalesce(F.col("above").rlike(N.whole(LABEL_ABOVE)), F.lit(False))
     n_codes = F.floor((F.size("p") - 1) / 2).cast("int")
     codes = parts.where(F.size("p") > 1).select("notice_id", "pos", "line", "p", labelled.alias("labelled"), F.explode(F.sequence(F.lit(1), n_codes)).alias("k"))
     raw = F.element_at("p", F.col("k") * 2)
-    gaps = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.when(i == 1, True).otherwise(F.element_at("p", i * 2 - 1).rlike(rf"^{CONNECTOR}$")))
+    gaps = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.when(i == 1, True).otherwise(F.element_at("p", i * 2 - 1).rlike(N.whole(CONNECTOR))))
     code = N.normalize_code(raw)
     by_label = F.col("labelled") & F.forall(gaps, lambda x: x)
     alone = F.coalesce(N.normalize_code(F.col("line")) == code, F.lit(False))

@@ -169,11 +169,18 @@ FROM de LEFT JOIN documents d ON d.doc_id = de.id LEFT JOIN el ON el.source = d.
 """
 
 
+def flow_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns, one for each of them that names a source by its turn, and one that is too long."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text", "turn")
+    named = turns.select(F.concat("qid", F.lit("-src")).alias("qid"), F.concat(F.lit("From SRC"), F.col("turn").cast("string"), F.lit(": "), "text").alias("text"))
+    long = spark.range(1).select(F.lit("long").alias("qid"), F.concat(F.lit("src1 "), F.repeat(F.lit("x"), 4000)).alias("text"))
+    return turns.select("qid", "text").unionByName(named).unionByName(long)
+
+
 def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn through the answer states: clarify, refuse or answer, with its evidence."""
-    turns = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
+    """Every question through the answer states: too long, clarify, refuse or answer, with its evidence."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("code"))
-    return answer.flow(turns, docs)
+    return answer.flow(flow_questions(spark, sf_dir), docs)
 
 
 QUERIES = {

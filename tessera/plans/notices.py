@@ -28,7 +28,7 @@ routes(k, r) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in N.ROUTES.items(
 n AS (SELECT case_id, raw, regexp_replace(upper(trim(raw)), '[\\s-]+', '', 'g') AS c FROM v),
 c AS (SELECT case_id, raw, CASE WHEN regexp_matches(c, '^(?:LTR|LETTER)1058$') THEN 'LETTER1058' WHEN regexp_matches(c, '^(?:CP|LT)[0-9]{{1,4}}[A-Z]?$') THEN c END AS code,
   CASE WHEN regexp_matches(regexp_replace(c, '^LTR', 'LETTER'), '^(?:CP|LT|LETTER)[0-9]+[A-Z]?$') THEN regexp_replace(c, '^LTR', 'LETTER') END AS expected_code FROM n),
-x AS (SELECT case_id, list_transform(list_transform(regexp_extract_all(raw, '(?i)\\b(CP[ ]*[- ]?[ ]*[0-9]{{1,4}}[ ]*[A-Z]?|LT[ ]*[- ]?[ ]*[0-9]{{1,4}}[ ]*[A-Z]?|(?:LTR|LETTER)[ ]*[- ]?[ ]*1058)\\b', 1), lambda s: regexp_replace(upper(s), '[\\s-]+', '', 'g')), lambda s: regexp_replace(s, '^LTR', 'LETTER')) AS codes FROM v)
+x AS (SELECT case_id, list_transform(list_transform(regexp_extract_all(raw, '{N.CODE}', 1), lambda s: regexp_replace(upper(s), '[\\s-]+', '', 'g')), lambda s: regexp_replace(s, '^LTR', 'LETTER')) AS codes FROM v)
 SELECT c.case_id, code, expected_code, CASE WHEN list_contains({corpus._values([(a,) for a in AVAILABLE], "a").replace("(VALUES ", "(SELECT list(a) FROM (VALUES ").replace(") AS v(a)", ") AS v(a))")}, code) THEN code
   WHEN list_contains({corpus._values([(a,) for a in AVAILABLE], "a").replace("(VALUES ", "(SELECT list(a) FROM (VALUES ").replace(") AS v(a)", ") AS v(a))")}, r) THEN r END AS route, array_to_string(x.codes, ',') AS codes
 FROM c LEFT JOIN routes ON k = code JOIN x USING (case_id)

@@ -17,7 +17,7 @@ def test_search_tokens(spark):
 
 
 def test_nfkc_clean(spark):
-    assert one(spark, "( ﬁne​ ) [ x ]\n y", T.nfkc_clean) == "(fine) [x] y"
+    assert one(spark, "( ﬁne​ ) [ x ]\n y", T.nfkc_clean) == "( fine ) [x] y"
 
 
 def test_windows(spark):
