@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -14,15 +15,19 @@ class ContractError(ValueError):
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV file with a header; every value a string without outer white space, null empty.
+    """A CSV file with a header; every value a string without outer white space (of any kind), null empty.
 
-    Raises ContractError if a column is missing. A byte-order mark is skipped by the reader.
+    Raises ContractError if a column is missing or there are no rows. A byte-order mark is
+    skipped by the reader.
     """
     df = spark.read.csv(path, header=True, inferSchema=False)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ContractError(f"missing columns: {', '.join(missing)}")
-    return df.select([F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in df.columns])
+    out = df.select([F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "").alias(c) for c in df.columns])
+    if out.isEmpty():
+        raise ContractError("no rows")
+    return out
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | Ty.StructType, array: bool = False) -> DataFrame:
@@ -44,21 +49,33 @@ def read_pinned(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
     return j.select("name", status.alias("status"), "content")
 
 
-#: What Windows-1252 has at 0x80 to 0x9F, where Latin-1 has control characters; five places are empty.
-_CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+@F.pandas_udf(Ty.StringType())
+def _by_charset(content: pd.Series, charset: pd.Series) -> pd.Series:
+    """Bytes by the first that fits of the named charset, UTF-8 and Windows-1252, else UTF-8 with signs for what it can't read."""
+
+    def text(data: bytes | None, name: str) -> str | None:
+        if data is None:
+            return None
+        for codec in (name, "utf-8", "windows-1252"):
+            try:
+                return bytes(data).decode(codec)
+            except (UnicodeDecodeError, LookupError):
+                continue
+        return bytes(data).decode("utf-8", "replace")
+
+    return pd.Series([text(d, n or "utf-8") for d, n in zip(content, charset, strict=True)])
 
 
 def decode_html(content: Column) -> Column:
-    """Bytes as text: the charset that the first 4096 bytes declare if it is one of the usual, UTF-8 if valid, else Windows-1252."""
-    head = F.lower(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"))
-    declared = F.regexp_extract(head, r"charset\s*=\s*['\"]?([\w.-]+)", 1)
+    """Bytes as text: by the charset that the first 4096 bytes declare, else UTF-8, else Windows-1252.
+
+    Valid UTF-8 that declares nothing else is decoded in the JVM; only other bytes go to Python.
+    """
+    head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
+    declared = F.lower(F.regexp_extract(head, r"(?i)charset\s*=\s*['\"]?([\w.-]+)", 1))
     as_text = content.cast("string")
-    high = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, _CP1252)), "".join(_CP1252.values()))
-    usual = {"iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "us-ascii": "US-ASCII", "utf-16": "UTF-16"}
-    out = F.when(declared.isin("", "utf-8", "utf8") & F.is_valid_utf8(as_text), as_text)
-    for name, java in usual.items():
-        out = out.when(declared == name, F.decode(content, java))
-    return out.when(declared == "windows-1252", high).when(F.is_valid_utf8(as_text), as_text).otherwise(high)
+    plain = declared.isin("", "utf-8", "utf8") & F.is_valid_utf8(as_text)
+    return F.when(plain, as_text).otherwise(_by_charset(F.when(~plain, content), declared))
 
 
 def validate(df: DataFrame, id_col: str, required: list[str], enums: dict, patterns: dict[str, str]) -> DataFrame:
