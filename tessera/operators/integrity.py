@@ -14,6 +14,13 @@ def duplicate_groups(rows: DataFrame, key: Column, id_col: str = "doc_id") -> Da
     return g.agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first_id"), F.max("i").alias("last_id")).where("n > 1")
 
 
+def duplicate_members(rows: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of groups with an equal key: digest, id. The groups are found by counts; a member is a row, so no group is gathered."""
+    each = rows.select(T.sha256(key).alias("digest"), F.col(id_col))
+    many = each.groupBy(F.col("digest").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
+    return each.join(many, F.col("digest") == F.col("d"), "left_semi")
+
+
 def body_only(text: Column) -> Column:
     """A Markdown text without its title and source lines."""
     kept = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~(x.startswith("# ") | x.startswith("Source: ")))
@@ -29,11 +36,38 @@ def parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def set_digest(rows: DataFrame, by: str, item: Column) -> DataFrame:
     """A digest of each group's items that does not depend on their order, without gathering them.
 
-    The sum of the items' leading digest words and their number: equal multisets agree.
+    It is of the number of items and of four sums of 60-bit words of their sha256: equal
+    multisets agree, and unequal ones agree by chance with a probability of about 2 ** -240.
+    Whoever can choose items can also make sums meet; against that ``ordered_digest`` holds.
+    """
+    h = T.sha256(item)
+    words = [F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)").alias(f"w{k}") for k in range(4)]
+    g = rows.select(F.col(by), *words).groupBy(by)
+    n = F.count(F.lit(1))
+    return g.agg(n.alias("n"), T.sha256(F.concat_ws(":", n.cast("string"), *(F.sum(f"w{k}").cast("string") for k in range(4)))).alias("digest"))
+
+
+def ordered_digest(rows: DataFrame, by: str, line: Column, part: Column) -> DataFrame:
+    """A digest of each group's sorted lines: sha256 over the sorted lines of each part, then over the parts' digests in order.
+
+    A tree of two levels, as one sha256 over all lines would need them in one task; parts
+    (a whole number per line) bound what is gathered.
     """
-    word = F.conv(F.substring(T.sha256(item), 1, 12), 16, 10).cast("decimal(38,0)")
-    g = rows.select(F.col(by), word.alias("w")).groupBy(by)
-    return g.agg(F.count(F.lit(1)).alias("n"), T.sha256(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum("w").cast("string"))).alias("digest"))
+    parts = rows.select(F.col(by), part.alias("part"), line.alias("line")).groupBy(by, "part")
+    parts = parts.agg(F.count(F.lit(1)).alias("n"), T.sha256(F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("h"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n")
+    return parts.groupBy(by).agg(F.sum("n").alias("n"), T.sha256(whole).alias("digest"))
+
+
+def gate(pins: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """Pinned digests (key, digest) against those of now, as one row: pinned, changed, lost, added and the changed keys."""
+    a, b = pins.select(F.col(key).alias("k"), F.col("digest").alias("pin")), now.select(F.col(key).alias("l"), F.col("digest").alias("found"))
+    j = a.join(b, F.col("k").eqNullSafe(F.col("l")), "full_outer")
+    changed = F.col("pin").isNotNull() & F.col("found").isNotNull() & (F.col("pin") != F.col("found"))
+    return j.agg(
+        F.count("pin").alias("pinned"), F.count_if(changed).alias("changed"), F.count_if(F.col("found").isNull()).alias("lost"), F.count_if(F.col("pin").isNull()).alias("added"),
+        F.array_join(F.sort_array(F.collect_list(F.when(changed, F.coalesce(F.col("k").cast("string"), F.lit("null"))))), ",").alias("changed_ids"),
+    )
 
 
 def coverage(required: DataFrame, available: DataFrame, group: str, item: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""BM25 over a corpus with an exact filter key."""
+"""BM25 over a corpus with an exact filter key.
+
+Functions take the tokenised corpus (``lengths``), which a plan writes once and reads for
+term counts, statistics and reranking alike.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,7 @@ K1, B, TOP = 1.5, 0.75, 5
 
 def lengths(docs: DataFrame) -> DataFrame:
     """id, key, tokens, n of rows (id, key, text)."""
-    d = docs.select("id", "key", T.search_tokens(F.col("text")).alias("tokens"))
-    return d.withColumn("n", F.size("tokens"))
+    return docs.select("id", "key", T.search_tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
 
 
 def corpus_stats(lens: DataFrame) -> DataFrame:
@@ -26,20 +29,18 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.ln(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def term_stats(docs: DataFrame) -> DataFrame:
+def term_stats(lens: DataFrame) -> DataFrame:
     """term, df, idf over the whole corpus. Documents name each of their terms once, so frequent terms combine before the shuffle."""
-    lens = lengths(docs)
     df = lens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(corpus_stats(lens))).select("term", "df", F.round(idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
-def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def scores(lens: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, id, score of documents that share a term and the key with a query (qid, key, text).
 
     Statistics are of the whole corpus, scoring is filtered. Only terms that some query
     has are counted; a query's repeated terms count repeatedly.
     """
-    lens = lengths(docs)
     q = queries.select("qid", F.col("key").alias("q_key"), F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("qid", "q_key", "term").agg(F.count(F.lit(1)).alias("qf"))
     terms = q.select("term").distinct()
     each = lens.select("id", "key", "n", F.explode("tokens").alias("term"))
@@ -51,24 +52,24 @@ def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return m.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
-def rank(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+def rank(lens: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """qid, id, score, rank: the best ``top`` documents of each query's key; score desc, id asc, zero scores kept.
 
     A document without a common term can only be among the best if it is among the first
     ``top`` ids of its key, so no more zeros than these are looked at.
     """
-    s = scores(docs, queries)
+    s = scores(lens, queries)
     w = W.partitionBy("key").orderBy("id")
-    first = docs.select("id", "key").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(F.col("id"), F.col("key").alias("k"))
+    first = lens.select("id", "key").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(F.col("id"), F.col("key").alias("k"))
     zeros = queries.select("qid", "key").join(first, F.col("key") == F.col("k")).select("qid", "id", F.lit(0.0).alias("score"))
     both = s.unionByName(zeros).groupBy("qid", "id").agg(F.max("score").alias("score"))
     r = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id"))
     return both.withColumn("rank", r).where(F.col("rank") <= top)
 
 
-def overlap_rerank(ranked: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+def overlap_rerank(ranked: DataFrame, lens: DataFrame, queries: DataFrame) -> DataFrame:
     """Reorder candidates by the share of the query's distinct tokens that a document has (an offline stand-in for a model); ties by prior rank, id."""
-    d = docs.select(F.col("id").alias("d_id"), F.array_distinct(T.search_tokens(F.col("text"))).alias("d_tokens"))
+    d = lens.select(F.col("id").alias("d_id"), F.array_distinct("tokens").alias("d_tokens"))
     q = queries.select(F.col("qid").alias("q_qid"), F.array_distinct(T.search_tokens(F.col("text"))).alias("q_tokens"))
     j = ranked.join(d, F.col("id") == F.col("d_id")).join(q, F.col("qid") == F.col("q_qid"))
     s = j.select("qid", "id", "rank", (F.size(F.array_intersect("q_tokens", "d_tokens")) / F.greatest(F.size("q_tokens"), F.lit(1))).alias("overlap"))

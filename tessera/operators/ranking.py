@@ -64,15 +64,23 @@ def select_model(models: DataFrame) -> DataFrame:
     return models.where("eligible").orderBy("p95", F.desc("structured_rate"), F.col("generation_p95").asc_nulls_last(), "position").limit(1)
 
 
-def decide(variants: DataFrame, dense: Column, failing: str, gain: float = 0.05, most_p95: float = 2.0) -> DataFrame:
-    """Whether a variant may replace dense retrieval, and whether it does (the least complex that may).
+def decide(runs: DataFrame, base: str, p95: DataFrame, gain: float = 0.05, most_p95: float = 2.0) -> DataFrame:
+    """Whether a variant may replace the base system, and whether it does (the least complex that may).
 
-    variants: variant, complexity, precision, dense_precision, successes (array), p95.
-    It may if it gains enough, or mends the failing question without a new regression, within the latency limit.
+    runs: variant, complexity, qid, ok; p95: place (the complexity), p95. A variant may if it
+    gains enough, or mends the base's first failing question without failing one that the base
+    answers, within the latency limit.
     """
-    lost = F.array_except(dense, "successes")
-    mends = F.array_contains("successes", failing) & (F.size(lost) == 0)
-    may = ((F.round(F.col("precision") - F.col("dense_precision"), 9) >= gain) | mends) & (F.col("p95") <= most_p95)
-    v = variants.withColumn("regressions", F.size(lost)).withColumn("eligible", may)
-    best = F.min(F.when(F.col("eligible"), F.col("complexity"))).over(W.partitionBy())
-    return v.withColumn("chosen", F.coalesce(F.col("eligible") & (F.col("complexity") == best), F.lit(False)))
+    known = runs.where(F.col("variant") == base).select(F.col("qid").alias("b"), F.col("ok").alias("base_ok"))
+    failing = known.agg(F.min(F.when(~F.col("base_ok"), F.col("b"))).alias("failing"))
+    j = runs.where(F.col("variant") != base).join(known, F.col("qid") == F.col("b")).crossJoin(F.broadcast(failing))  # one row
+    g = j.groupBy("variant", "complexity").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("correct"), F.count_if("base_ok").alias("base_correct"),
+        F.count_if(F.col("base_ok") & ~F.col("ok")).alias("regressions"), F.coalesce(F.bool_or(F.col("ok") & (F.col("qid") == F.col("failing"))), F.lit(False)).alias("mends"),
+    )
+    v = g.join(p95, F.col("place") == F.col("complexity"))
+    better = F.round((F.col("correct") - F.col("base_correct")) / F.col("n"), 9) >= gain
+    v = v.withColumn("eligible", (better | (F.col("mends") & (F.col("regressions") == 0))) & (F.col("p95") <= most_p95))
+    best = F.min(F.when(F.col("eligible"), F.col("complexity"))).over(W.partitionBy())  # a row a variant
+    chosen = F.coalesce(F.col("eligible") & (F.col("complexity") == best), F.lit(False))
+    return v.select("variant", "complexity", F.round(F.col("correct") / F.col("n"), 6).alias("precision_at_1"), F.round(F.col("base_correct") / F.col("n"), 6).alias(f"{base}_precision"), "regressions", "p95", "eligible", chosen.alias("chosen"))

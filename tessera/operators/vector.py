@@ -25,14 +25,19 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
 
 
+SALTS = 32
+
+
 def top_in_key(rows: DataFrame, queries: DataFrame, top: int = TOP, score=None) -> DataFrame:
     """qid, id, score, rank: the best rows (id, key, v) of each query's key, the query itself left out.
 
-    The filter is part of the equi-join, so a query meets only the rows of its key; the
-    window keeps ``top`` rows per query before and after the shuffle.
+    The filter is part of the equi-join, so a query meets only the rows of its key. A key's
+    rows are dealt to SALTS parts and a query goes to each, so few or frequent keys still
+    spread; the window keeps ``top`` rows per query before and after the shuffle.
     """
     score = score or dot
-    q = queries.select(F.col("id").alias("qid"), F.col("key").alias("q_key"), F.col("v").alias("q_v"))
-    s = rows.join(q, (F.col("key") == F.col("q_key")) & (F.col("id") != F.col("qid"))).select("qid", "id", F.round(score(F.col("v"), F.col("q_v")), 9).alias("score"))
+    q = queries.select(F.col("id").alias("qid"), F.col("key").alias("q_key"), F.col("v").alias("q_v"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("q_salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    s = dealt.join(q, (F.col("key") == F.col("q_key")) & (F.col("salt") == F.col("q_salt")) & (F.col("id") != F.col("qid"))).select("qid", "id", F.round(score(F.col("v"), F.col("q_v")), 9).alias("score"))
     r = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return s.withColumn("rank", r).where(F.col("rank") <= top)

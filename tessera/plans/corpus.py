@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import notice as N
 from tessera.functions import text as T
 from tessera.operators import chunk, html, integrity
-from tessera.sources import manifest
+from tessera.sources import manifest, sinks, tables
 
 from .common import read, squeeze_sql, tokens_sql
 
@@ -53,10 +55,19 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 
 MD_SQL = _values([(1, i, x) for i, x in enumerate(MARKDOWN)] + [(2, i, x) for i, x in enumerate(LONG.split("\n"))], "doc, line, text")
-# fenced lines of the fixture, told by hand: the fold over markers has no SQL form without recursion
-SECTION_SQL = rf"""
+# the state of fences line by line: recursion carries the open marker on
+FENCE_SQL = rf"""
 lines AS (SELECT * FROM {MD_SQL}),
-free AS (SELECT * FROM lines WHERE NOT (doc = 1 AND (line BETWEEN 8 AND 11 OR line BETWEEN 17 AND 19))),
+marks AS (SELECT doc, line, text, nullif(regexp_extract(text, '^ {{0,3}}(```|~~~)', 1), '') AS mark FROM lines),
+state AS (
+  SELECT doc, line, text, mark IS NOT NULL AS in_fence, coalesce(mark, '') AS open FROM marks WHERE line = 0
+  UNION ALL
+  SELECT m.doc, m.line, m.text, s.open <> '' OR m.mark IS NOT NULL, CASE WHEN m.mark IS NULL THEN s.open WHEN s.open = '' THEN m.mark WHEN s.open = m.mark THEN '' ELSE s.open END
+  FROM state s JOIN marks m ON m.doc = s.doc AND m.line = s.line + 1)
+"""
+SECTION_SQL = rf"""
+RECURSIVE {FENCE_SQL.strip()},
+free AS (SELECT doc, line, text FROM state WHERE NOT in_fence),
 ev AS (SELECT doc, line, length(regexp_extract(text, '^(#{{1,6}})[ \t]+\S', 1)) AS level,
     regexp_replace(regexp_replace(text, '^#{{1,6}}[ \t]+', ''), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS heading FROM free),
 h AS (SELECT * FROM ev WHERE level > 0),
@@ -136,12 +147,16 @@ SELECT count(*) AS chunks, count_if(before IS NOT NULL AND token_start <> before
 
 
 def chunk_registry_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry written as JSON lines and read back with its schema, row by row against what its fields must be."""
     c = chunk.fixed_chunks(read(spark, sf_dir, "documents"))
+    path = f"{tables.shared_dir(spark)}/tessera/registry-{uuid.uuid4().hex}"
+    sinks.write_jsonl(c, path, ["doc_id", "ordinal"])
+    c = manifest.read_jsonl(spark, path, c.schema)
     bad = {
         "bad_hash": T.sha256(F.col("chunk_text")) != F.col("text_sha256"),
         "bad_count": ~F.col("token_count").between(1, 220),
         "bad_span": F.col("token_end") <= F.col("token_start"),
-        "bad_id": F.col("chunk_id") != T.chunk_id(F.col("doc_id"), "fixed_220_40", F.col("ordinal"), F.col("text_sha256")),
+        "bad_id": ~F.col("chunk_id").rlike("^-?[0-9]+__fixed_220_40__[0-9]{6,}__[0-9a-f]{64}$") | (F.substring_index("chunk_id", "__", -1) != F.col("text_sha256")) | (F.substring_index("chunk_id", "__", 1) != F.col("doc_id").cast("string")),
     }
     return c.groupBy(F.pmod("doc_id", F.lit(20)).alias("part")).agg(F.count(F.lit(1)).alias("chunks"), *(F.count_if(p).alias(k) for k, p in bad.items()))
 
@@ -149,7 +164,8 @@ def chunk_registry_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNK_CONSTRAINTS_SQL = f"""
 WITH {CHUNK_SQL}
 SELECT ((doc_id % 20) + 20) % 20 AS part, count(*) AS chunks, count_if(sha256(chunk_text) <> text_sha256) AS bad_hash, count_if(token_count NOT BETWEEN 1 AND 220) AS bad_count,
-  count_if(token_end <= token_start) AS bad_span, 0::BIGINT AS bad_id FROM chunks GROUP BY 1
+  count_if(token_end <= token_start) AS bad_span, count_if(NOT regexp_full_match(printf('%s__fixed_220_40__%06d__%s', doc_id::VARCHAR, ordinal, sha256(chunk_text)), '-?[0-9]+__fixed_220_40__[0-9]{{6,}}__[0-9a-f]{{64}}')
+    OR split_part(printf('%s__fixed_220_40__%06d__%s', doc_id::VARCHAR, ordinal, sha256(chunk_text)), '__', 4) <> text_sha256) AS bad_id FROM chunks GROUP BY 1
 """
 
 
@@ -222,11 +238,31 @@ def duplicate_docs_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.duplicate_groups(read(spark, sf_dir, "documents"), integrity.body_only(F.col("text")))
 
 
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all groups of equal texts: digest, doc_id."""
+    return integrity.duplicate_members(read(spark, sf_dir, "documents").where("text is not null"), F.col("text"))
+
+
 def idset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return integrity.set_digest(docs, "source", F.concat_ws(":", F.col("doc_id").cast("string"), T.sha256(F.col("text"))))
 
 
+def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each source's sorted lines "id  sha256 of the text": of 256 blocks by the id's rest, then of the blocks' digests."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    line = F.concat_ws("  ", F.format_string("%012d", "doc_id"), T.sha256(F.col("text")))
+    return integrity.ordered_digest(docs, "source", line, F.pmod("doc_id", F.lit(256)))
+
+
+def frozen_input_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of all sources pinned, and compared after the row of doc_id 0 has changed: pinned, changed, lost, new."""
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "text")
+    line = F.concat_ws("  ", F.format_string("%012d", "doc_id"), T.sha256(F.col("text")))
+    pins = tables.written(integrity.ordered_digest(docs, "source", line, F.pmod("doc_id", F.lit(256))), "pins")
+    now = integrity.ordered_digest(docs.withColumn("text", F.when(F.col("doc_id") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), "source", line, F.pmod("doc_id", F.lit(256)))
+    return integrity.gate(pins, now, "source")
+
 def idset_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.parity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
 
@@ -240,7 +276,8 @@ def file_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def required_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("lang", "source").distinct()
-    required = docs.select("lang").distinct().join(docs.select("source").distinct().unionByName(spark.sql("select 'srcX' as source")))
+    # every language with every source: as many rows as languages times sources, however many documents
+    required = docs.select("lang").distinct().crossJoin(docs.select("source").distinct().unionByName(spark.sql("select 'srcX' as source")))
     return integrity.coverage(required, docs, "lang", "source").withColumn("missing_items", F.array_join("missing_items", ","))
 
 
@@ -273,21 +310,42 @@ FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.token = b.token GROUP BY a.doc_i
 """
 
 
+SHINGLE = 4
+MOST_KEYS = 200_000  # shingles of passages that are broadcast (some 5 MB); more are joined by shuffle
+
+
+def shingle_keys(words: Column) -> Column:
+    """Hashes of the distinct runs of SHINGLE words."""
+    n = F.size(words) - SHINGLE + 1
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE)))))
+
+
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark passages stand in which documents, white space aside (at least 20 characters and 4 words).
 
-    Candidates share the passage's first four words at some place: an equi-join on shingles
-    of the passages, so documents are not compared with every passage.
+    A passage stands for its rarest run of four whole words, without its first and last word,
+    which may be parts of words in a document; one of fewer words for all it has, which is
+    looked for in every document (there is no key to join by). Documents with that run are
+    its candidates. Runs that no passage has are dropped where they are read.
     """
     quotes = read(spark, sf_dir, "benchmark").select("item_id", T.squeeze(F.col("text")).alias("quote")).where("length(quote) >= 20")
-    quotes = quotes.withColumn("w", F.split("quote", " ")).where("size(w) >= 4").withColumn("head", F.array_join(F.slice("w", 2, 2), " "))
+    quotes = quotes.withColumn("w", F.split("quote", " ")).where("size(w) >= 4")
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    keys = tables.written(quotes.select("item_id", F.explode(shingle_keys(inner)).alias("key")), "quote-keys")
     docs = read(spark, sf_dir, "documents").select("doc_id", T.squeeze(F.col("text")).alias("body"))
-    words = F.split("body", " ")
-    pairs = F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    heads = docs.select("doc_id", F.explode(pairs).alias("head"))
-    candidates = heads.join(quotes.select("item_id", F.col("head").alias("h")), F.col("head") == F.col("h")).select("doc_id", "item_id").distinct()
-    full = candidates.join(docs.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).join(quotes.select(F.col("item_id").alias("q"), "quote"), F.col("item_id") == F.col("q"))
-    return full.where(F.contains("body", "quote")).select("item_id", "doc_id", F.length("quote").alias("quote_chars"))
+    wanted = keys.select(F.col("key").alias("k")).distinct()
+    few = keys.count() <= MOST_KEYS
+    runs = docs.select("doc_id", F.explode(shingle_keys(F.split("body", " "))).alias("key"))
+    hits = tables.written(runs.join(F.broadcast(wanted) if few else wanted, F.col("key") == F.col("k"), "left_semi"), "quote-hits")
+    often = hits.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    rarest = keys.join(often, F.col("key") == F.col("k")).groupBy("item_id").agg(F.min(F.struct("n", "key")).alias("r")).select("item_id", F.col("r.key").alias("k"))
+    candidates = hits.join(rarest, F.col("key") == F.col("k")).select("doc_id", "item_id")
+    short = quotes.where(F.size("w") < SHINGLE + 2).select("item_id", "quote")
+    texts = docs.withColumnRenamed("doc_id", "d")
+    full = candidates.join(texts, F.col("doc_id") == F.col("d")).join(quotes.select(F.col("item_id").alias("q"), "quote"), F.col("item_id") == F.col("q")).select("item_id", "doc_id", "quote", "body")
+    alike = docs.join(short, F.contains("body", "quote")).select("item_id", "doc_id", "quote", "body")
+    return full.unionByName(alike).where(F.contains("body", "quote")).select("item_id", "doc_id", F.length("quote").alias("quote_chars"))
 
 
 QUOTE_SQL = f"""
@@ -392,12 +450,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_scan_validated, chunk_fixed_220_40, chunk_stats, chunk_overlap_check, chunk_registry_constraints, heading_sections, heading_chunks, section_token_offsets,
-        code_fence_state, chunk_section_overlap, duplicate_docs_exact, duplicate_docs_body, idset_digest, idset_parity, file_reconciliation, required_coverage,
+        code_fence_state, chunk_section_overlap, duplicate_docs_exact, duplicate_docs_body, duplicate_members, idset_digest, ordered_digest, frozen_input_gate, idset_parity, file_reconciliation, required_coverage,
         token_multiset_coverage, document_token_coverage, quote_containment, quality_rollup, redact_pii, whitespace_preview, unicode_normalize, unicode_clean,
         url_allowlist, notebook_family_counts, html_blocks, html_markdown, html_quality_problems, visible_markdown,
     )
 }
 
+DIGEST_SQL = "WITH l AS (SELECT source, doc_id, printf('%012d', doc_id) || '  ' || sha256(text) AS line FROM documents WHERE text IS NOT NULL), b AS (SELECT source, ((doc_id % 256) + 256) % 256 AS part, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY ALL), t AS (SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest FROM b GROUP BY source)"
 DUP = "SELECT sha256({0}) AS digest, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents {1} GROUP BY 1 HAVING count(*) > 1"
 
 SQL = {
@@ -412,7 +471,11 @@ SQL = {
     "chunk_section_overlap": CHUNK_SECTION_SQL,
     "duplicate_docs_exact": DUP.format("text", "WHERE text IS NOT NULL"),
     "duplicate_docs_body": DUP.format("trim(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT (starts_with(x, '# ') OR starts_with(x, 'Source: '))), chr(10)))", ""),
-    "idset_digest": "SELECT source, count(*) AS n, sha256(count(*)::VARCHAR || ':' || sum(('0x' || substr(sha256(doc_id::VARCHAR || ':' || sha256(text)), 1, 12))::BIGINT)::VARCHAR) AS digest FROM documents GROUP BY source",
+    "code_fence_state": f"WITH RECURSIVE {FENCE_SQL} SELECT doc, line, text, in_fence FROM state",
+    "duplicate_members": "SELECT sha256(text) AS digest, doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)",
+    "idset_digest": "WITH h AS (SELECT source, sha256(doc_id::VARCHAR || ':' || sha256(text)) AS h FROM documents) SELECT source, count(*) AS n, sha256(count(*)::VARCHAR || ':' || sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 31, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 46, 15))::HUGEINT)::VARCHAR) AS digest FROM h GROUP BY source",
+    "ordered_digest": DIGEST_SQL + " SELECT source, n, digest FROM t",
+    "frozen_input_gate": DIGEST_SQL + ", c AS (SELECT DISTINCT source FROM documents WHERE doc_id = 0 AND text IS NOT NULL) SELECT count(*) AS pinned, (SELECT count(*) FROM c) AS changed, 0::BIGINT AS lost, 0::BIGINT AS added, coalesce((SELECT string_agg(coalesce(source, 'null'), ',' ORDER BY source) FROM c), '') AS changed_ids FROM t",
     "idset_parity": "SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)",
     "file_reconciliation": "WITH a AS (SELECT printf('doc_%08d.md', doc_id) AS name FROM documents), b AS (SELECT printf('doc_%08d.md', doc_id) AS name FROM labels), p AS (SELECT name, 'missing' AS side FROM (SELECT name FROM a EXCEPT SELECT name FROM b) UNION ALL SELECT name, 'extra' FROM (SELECT name FROM b EXCEPT SELECT name FROM a)) SELECT side, count(*) AS files, min(name) AS first_name, max(name) AS last_name FROM p GROUP BY side",
     "required_coverage": "WITH d AS (SELECT DISTINCT lang, source FROM documents), r AS (SELECT * FROM (SELECT DISTINCT lang FROM d), (SELECT DISTINCT source FROM d UNION ALL SELECT 'srcX')) SELECT r.lang, count(*) AS required, count(d.source) AS present, count(*) - count(d.source) AS missing, coalesce(string_agg(CASE WHEN d.source IS NULL THEN r.source END, ',' ORDER BY r.source), '') AS missing_items FROM r LEFT JOIN d ON r.lang = d.lang AND r.source = d.source GROUP BY r.lang",

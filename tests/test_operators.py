@@ -12,7 +12,7 @@ from tessera.sources import manifest, sinks
 def test_bm25_formula(spark):
     docs = spark.createDataFrame([(1, "k", "tax tax due"), (2, "k", "tax paid"), (3, "k", "penalty due"), (4, "other", "tax")], "id long, key string, text string")
     q = spark.createDataFrame([(9, "k", "tax")], "qid long, key string, text string")
-    rows = lexical.rank(docs, q).orderBy("rank").collect()
+    rows = lexical.rank(lexical.lengths(docs), q).orderBy("rank").collect()
     assert [r["id"] for r in rows] == [1, 2, 3] and rows[2]["score"] == 0
     idf, avg = math.log(1 + (4 - 3 + 0.5) / 3.5), 8 / 4
     assert rows[0]["score"] == pytest.approx(idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / avg)))
