@@ -21,7 +21,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SA
     Ids are taken in the order of their hash from the labels alone, at most ``2 * rows``
     in all, which bounds the broadcast. Texts longer than ``chars`` code points are not
     learnt from (they are scored like all others), which bounds what reaches the driver.
-    Null labels and rows without doc_id or text are no examples.
+    Null labels and rows without doc_id or text are no examples; of rows that repeat a doc_id
+    the least text is one, so no more rows than ids reach the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label")).distinct()
     chosen = None
@@ -29,4 +30,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SA
         some = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.where(F.length("text") <= chars).select(F.col("doc_id").alias("d"), "text")
-    return texts.join(F.broadcast(chosen), F.col("d") == F.col("doc_id")).select("doc_id", "text", "label")
+    joined = texts.join(F.broadcast(chosen), F.col("d") == F.col("doc_id"))
+    return joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

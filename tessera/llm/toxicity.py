@@ -7,8 +7,7 @@ normalised by the summed squared weights of a fragment's occurrences.
 
 Subsequences are hashed, so a landmark is a sparse vector, the Nystrom features of a
 fragment are K_zz^(-1/2) K_z(x), and a linear machine on them folds into one weight per
-hashed subsequence: scoring a fragment is a sum of table look-ups. A document scores by its
-worst fragment and its worst sentence.
+hashed subsequence: scoring a fragment is a sum of table look-ups.
 
 Two machines share the kernel. The one of fragments learns from witnesses: fragments that
 occur in significantly more contexts in toxic documents than in clean ones (a context is
@@ -24,9 +23,11 @@ one in all and its sentences share that weight, in rounds by what the machine ma
 them, never without a rest. A sentence of more than 2 x HALF characters counts as windows
 of that length, half over each other.
 
-What the two machines say is weighed by a logistic curve through their margins of documents
-that they did not learn from; sentences speak for toxicity only, from the median of the
-clean documents on.
+What the machines say of a document is weighed by a logistic curve that is learnt on documents
+which they did not learn from (``document_features``): its worst and second worst word, what
+all words beyond the margin add up to, alone and for the document's length, its worst
+sentence beyond the median of the clean documents, and its length, as a long clean text has
+more occasions for a chance resemblance. All but the length speak for toxicity only.
 """
 
 from __future__ import annotations
@@ -52,31 +53,36 @@ LANDMARKS = 256
 NEGATIVES = 4000  # clean fragments that a round adds at most
 RATIO = 8.0  # of a witness's share of toxic contexts to its share of clean ones, at least
 EVIDENCE = 20.0  # of Dunning's statistic, from which a fragment is a witness
-EMPTY_MARGIN = -2.0
 INSERTED = ".*-_'"
 THRESHOLD = 0.3  # probability from which a text counts as toxic
 HALF = 120  # characters of half a window
 SENTENCE_ROUNDS, REST = 3, 0.1
 SLICE = 1 << 20
 _STEPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
-_SENTENCE = re.compile(r"[.!?\n\r]+(?:\s+|$)")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SINGLES = re.compile(r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D][\x20\x09]){2,}[^\x20\x09-\x0D](?![^\x20\x09-\x0D])")
 
 
+FLOOR = -1.0  # margins below it say no more
+FEATURES = 6
+
+
 @dataclass
 class Model:
-    """One weight per hashed subsequence, the bias, and the slope and offset from margin to probability."""
+    """One weight per hashed subsequence and the bias for fragments, the same for sentences, and the curve from a document's features to its probability."""
 
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
-    sentence: np.ndarray | None = None  # weights of the machine of sentences, as a share of the other's margins
+    curve: np.ndarray  # FEATURES slopes and the offset
+    sentence: np.ndarray | None = None
     sentence_bias: float = 0.0
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.curve[:-1] + self.curve[-1], -30, 30)))
+
+
+def plain_model(weights: np.ndarray, bias: float, slope: float = 2.0, offset: float = 0.0) -> Model:
+    """A model of fragments alone, judged by a document's worst one."""
+    return Model(weights, bias, np.array([slope, *[0.0] * (FEATURES - 1), offset]))
 
 
 def occurrences(fragments: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -133,26 +139,33 @@ def landmark_features(fragments: list[str]) -> Landmarks:
     return Landmarks(place, (z.T @ (vectors[:, good] / np.sqrt(values[good]))).astype(np.float32))
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The fragments of each sentence of a text, lower-cased."""
-    out = []
-    for s in _SENTENCE.split(text.lower()):
-        found = _WORD.findall(s) + [re.sub(r"[\x20\x09]", "", x) for x in _SINGLES.findall(s)]
-        if found:
-            out.append(found)
-    return out
+def spelt(text: str) -> list[str]:
+    """Runs of single characters, joined."""
+    return [re.sub(r"[\x20\x09]", "", x) for x in _SINGLES.findall(text)]
+
+
+def contexts(texts: list[str]) -> tuple[dict[str, int], int]:
+    """Of each fragment in how many contexts (words before it) it occurs, so that copied passages count once; and the number of all."""
+    lower = [t.lower() for t in texts]
+    data, offsets = column_bytes(pa.array([t + "".join(f"\n{x}" for x in spelt(t)) for t in lower], pa.large_string()))
+    starts, ends, first = words(data, offsets)
+    if not len(starts):
+        return {}, 0
+    h = word_hashes(data, starts, ends, lower=False)
+    before = np.roll(h, 1)
+    before[first[:-1][first[:-1] < len(h)]] = 0
+    _, pick = np.unique(mix(h ^ (before * np.uint64(5))), return_index=True)
+    _, at, n = np.unique(h[pick], return_index=True, return_counts=True)
+    raw = data.tobytes()
+    return {raw[starts[i] : ends[i]].decode("utf-8", "replace"): int(c) for i, c in zip(pick[at], n, strict=True)}, len(pick)
 
 
 def fragment_machine(rows: list[tuple[str, int]], rng: np.random.Generator) -> tuple[np.ndarray, float, list[str]] | None:
     """Weights and bias from words and runs of single characters, and fragments to take landmarks of sentences from; none without both labels."""
-    pairs: dict[int, set] = {0: set(), 1: set()}
-    for text, label in rows:
-        for s in sentences(text):
-            pairs[label].update(zip(["", *s[:-1]], s, strict=True))
-    seen = {y: Counter(f for _, f in pairs[y]) for y in (0, 1)}  # in so many contexts: copied passages count once
+    (toxic, n1), (usual_, n0) = (contexts([t for t, y in rows if y == label]) for label in (1, 0))
+    seen = {1: toxic, 0: Counter(usual_)}
     if not seen[1] or not seen[0]:
         return None
-    n1, n0 = len(pairs[1]), len(pairs[0])
     evidence = {f: likelihood_ratio(c, seen[0][f], n1, n0) for f, c in seen[1].items() if c > 1 and c * n0 >= RATIO * (seen[0][f] + 0.5) * n1}
     ranked = sorted(evidence, key=lambda f: (-evidence[f], f))
     witness = [f for f in ranked if evidence[f] >= EVIDENCE] or [f for f in ranked[:20] if evidence[f] > 0] or sorted(seen[1])[:1]
@@ -161,7 +174,7 @@ def fragment_machine(rows: list[tuple[str, int]], rng: np.random.Generator) -> t
     near = np.zeros(1 << TABLE_BITS, np.float32)
     for _, feature, weight in occurrences(joined(witness[: LANDMARKS // 2])):
         np.add.at(near, feature, weight)
-    close = np.argsort(-fragment_margins(joined(clean), len(clean), Model(near, 0.0, 1.0, 0.0)), kind="stable")[: 3 * NEGATIVES]
+    close = np.argsort(-fragment_margins(joined(clean), len(clean), plain_model(near, 0.0)), kind="stable")[: 3 * NEGATIVES]
     usual = sorted(range(len(clean)), key=lambda i: (-seen[0][clean[i]], clean[i]))
     spread = [usual[i] for i in np.unique(np.geomspace(1, max(1, len(usual)), LANDMARKS // 4).astype(int) - 1)] if usual else []
     z = landmark_features(list(dict.fromkeys(witness[: LANDMARKS // 2] + [clean[i] for i in (*close[: LANDMARKS // 4], *spread)])))
@@ -178,21 +191,21 @@ def fragment_machine(rows: list[tuple[str, int]], rng: np.random.Generator) -> t
         y = np.where(np.arange(len(x)) < len(positive), 1.0, -1.0)
         w, bias = svm(x, y, np.concatenate([count, np.repeat(count, 2) / 2, np.ones(len(x) - len(positive))]))
         weights = (z.project @ w).astype(np.float32)[z.place]
-        score = np.concatenate([fragment_margins(joined(clean[i : i + 20_000]), len(clean[i : i + 20_000]), Model(weights, bias, 1.0, 0.0)) for i in range(0, len(clean), 20_000)])
+        score = np.concatenate([fragment_margins(joined(clean[i : i + 20_000]), len(clean[i : i + 20_000]), plain_model(weights, bias)) for i in range(0, len(clean), 20_000)])
         against = np.flatnonzero((score > -0.8) & ~learnt)
         against = against[np.argsort(-score[against], kind="stable")[:NEGATIVES]]
     return weights, bias, [*witness[: LANDMARKS // 4], *(clean[i] for i in (*close[: LANDMARKS // 8], *spread))]
 
 
 def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
-    """Fit the machines to labelled documents (text, label)."""
+    """Fit the machines and the curve to labelled documents (text, label)."""
     rng = np.random.default_rng(seed)
     if len({y for _, y in rows}) < 2:
-        return Model(np.zeros(1 << TABLE_BITS, np.float32), -1.0, 2.0, 0.0)
+        return plain_model(np.zeros(1 << TABLE_BITS, np.float32), -1.0)
     said = phrases(rows)[: LANDMARKS // 2]  # first, while the driver holds little
     found = fragment_machine(rows, rng)
     if found is None:
-        return Model(np.zeros(1 << TABLE_BITS, np.float32), -1.0, 2.0, 0.0)
+        return plain_model(np.zeros(1 << TABLE_BITS, np.float32), -1.0)
     weights, bias, known = found
     label = np.array([y for _, y in rows])
     fold = np.zeros(len(rows), int)
@@ -200,23 +213,21 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
         of = np.flatnonzero(label == y)
         fold[of] = rng.permutation(len(of)) % 2
     if min(np.bincount(label[fold == f], minlength=2).min() for f in (0, 1)) < 1:
-        slope, offset = platt(_margins(rows, Model(weights, bias, 1.0, 0.0)), label)
-        return Model(weights, bias, slope, offset)
-    outside = np.full(len(rows), EMPTY_MARGIN)
+        return plain_model(weights, bias)
+    outside = np.tile(NOTHING, (len(rows), 1))
     for f in (0, 1):
         part = fragment_machine([r for r, g in zip(rows, fold, strict=True) if g == f], rng)
         if part is not None:
-            outside[fold != f] = _margins([r for r, g in zip(rows, fold, strict=True) if g != f], Model(*part[:2], 1.0, 0.0))
+            outside[fold != f] = _features([r for r, g in zip(rows, fold, strict=True) if g != f], plain_model(*part[:2]))
     z = landmark_features(list(dict.fromkeys([*known, *said])))
     w, b, whole = sentence_machine(rows, z, fold)
-    usual = np.median(whole[label == 0])
-    slope, offset, more = platt(outside, label, np.maximum(whole - usual, 0))
-    share = max(more, 0.0) / slope
-    return Model(weights, bias, slope, offset, (z.project @ w.astype(np.float32))[z.place] * np.float32(share), float((b - usual) * share))
+    usual = float(np.median(whole[label == 0]))
+    outside[:, SENTENCE] = np.maximum(whole - usual, 0)
+    return Model(weights, bias, logistic(outside, label), (z.project @ w.astype(np.float32))[z.place], float(b - usual))
 
 
-def _margins(rows: list[tuple[str, int]], model: Model) -> np.ndarray:
-    return margins(*column_bytes(pc.utf8_lower(pa.array([t for t, _ in rows]))), model)
+def _features(rows: list[tuple[str, int]], model: Model) -> np.ndarray:
+    return document_features(*column_bytes(pc.utf8_lower(pa.array([t for t, _ in rows]))), model)
 
 
 def phrases(rows: list[tuple[str, int]]) -> list[str]:
@@ -387,9 +398,9 @@ def sentence_machine(rows: list[tuple[str, int]], z: Landmarks, fold: np.ndarray
         xf, yf, d = x[rows_of], y[rows_of], doc[rows_of]
         start = np.flatnonzero(np.diff(d, prepend=-1) > 0)
         size = np.diff(np.append(start, len(d)))
-        part = 1 / np.repeat(size, size)
+        part, w, b = 1 / np.repeat(size, size), None, 0.0
         for _ in range(SENTENCE_ROUNDS):
-            w, b = svm(xf, yf, np.where(yf > 0, part, 1.0))
+            w, b = svm(xf, yf, np.where(yf > 0, part, 1.0), begin=None if w is None else np.append(w, b))
             m = dot(xf, w)
             m = np.exp(4 * (m - np.repeat(np.maximum.reduceat(m, start), size)))
             part = (1 - REST) * m / np.repeat(np.add.reduceat(m, start), size) + REST / np.repeat(size, size)
@@ -439,42 +450,52 @@ def nystrom(fragments: list[str], z: Landmarks) -> np.ndarray:
     return out / np.sqrt(np.maximum(square, 1e-12))[:, None].astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, c: float = 10.0, steps: int = 15) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin; classes weigh alike."""
+def svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, c: float = 10.0, steps: int = 15, begin: np.ndarray | None = None, near: float = 1e-3) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin until none moves a weight by ``near``; classes weigh alike."""
     cost = c * share * np.where(y > 0, 0.5 / share[y > 0].sum(), 0.5 / share[y < 0].sum()) * 100
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.shape[1] + 1) if begin is None else begin
     ridge = np.eye(len(w)) * 1e-1
     ridge[-1, -1] = 1e-4
     for _ in range(steps):
         left, right = ridge.copy(), np.zeros(len(w))
         for i in range(0, len(x), 8192):
-            a = np.concatenate([x[i : i + 8192], np.ones((len(x[i : i + 8192]), 1), x.dtype)], axis=1).astype(np.float64)
-            inside = y[i : i + 8192] * (a @ w) < 1
+            a = np.ones((len(x[i : i + 8192]), len(w)), np.float32)  # products in single precision, their sums in double
+            a[:, :-1] = x[i : i + 8192]
+            inside = y[i : i + 8192] * (a @ w.astype(np.float32)) < 1
             a = a[inside]
-            b = a * cost[i : i + 8192][inside, None]
+            b = a * cost[i : i + 8192][inside, None].astype(np.float32)
             left += b.T @ a
-            right += b.T @ y[i : i + 8192][inside]
+            right += b.T @ y[i : i + 8192][inside].astype(np.float32)
         new = np.linalg.solve(left, right)
-        if np.allclose(new, w, atol=1e-7):
-            break
+        done = np.abs(new - w).max() < near
         w = new
+        if done:
+            break
     return w[:-1], float(w[-1])
 
 
-def platt(margin: np.ndarray, label: np.ndarray, more: np.ndarray | None = None) -> tuple[float, ...]:
-    """Slope and offset of the logistic curve through margins, with Platt's smoothed targets; with ``more`` also its slope."""
+def logistic(x: np.ndarray, label: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Slopes and offset of the logistic curve through features, with Platt's smoothed targets; features but the length that would speak against toxicity are left out."""
     n1, n0 = label.sum(), (1 - label).sum()
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a = np.stack([margin, np.ones(len(margin)), *([] if more is None else [more])], axis=1)
-    w = np.array([2.0, 0.0, 0.0][: a.shape[1]])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.eye(len(w)) * 1e-3
-        step = np.linalg.solve(h, a.T @ (target - p))
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(max(w[0], 0.1)), *map(float, w[1:])
+    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
+    use = x.std(0) > 1e-6
+    while True:
+        a = np.concatenate([((x - mean) / spread)[:, use], np.ones((len(x), 1))], axis=1)
+        w = np.zeros(a.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (target - p) - ridge * w)
+            w = w + np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        slope = np.zeros(x.shape[1])
+        slope[use] = w[:-1]
+        wrong = (slope < 0) & (np.arange(len(slope)) != LENGTH_OF)
+        if not wrong.any():
+            slope = slope / spread
+            return np.append(slope, w[-1] - slope @ mean)
+        use &= ~wrong
 
 
 def _gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -533,35 +554,54 @@ class Known:
         return out
 
 
-def margins(data: np.ndarray, offsets: np.ndarray, model: Model, known: Known | None = None) -> np.ndarray:
-    """The margin of each lower-cased text. Every distinct word of a slice is scored once, words in ``known`` not again."""
+WORST, SECOND, SUM, LENGTH_OF, RATE, SENTENCE = range(FEATURES)
+NOTHING = np.array([FLOOR, FLOOR, 0.0, 0.0, 0.0, 0.0])  # of a text without words
+
+
+def document_features(data: np.ndarray, offsets: np.ndarray, model: Model, known: Known | None = None) -> np.ndarray:
+    """What the curve judges lower-cased texts by. Every distinct word of a slice is scored once, words in ``known`` not again."""
     known = known or Known()
-    out = np.full(len(offsets) - 1, EMPTY_MARGIN)
+    out = np.tile(NOTHING, (len(offsets) - 1, 1))
     for i, j in slices(offsets, SLICE):
         buf, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = words(buf, off)
         if not len(starts):
             continue
         hashes, pick, back = np.unique(word_hashes(buf, starts, ends, lower=False), return_index=True, return_inverse=True)
-        score = known.look_up(hashes, lambda at: _word_margins(buf, starts[pick[at]], ends[pick[at]], model))[back]
-        has = np.flatnonzero(np.diff(first) > 0)
-        out[i + has] = np.maximum.reduceat(score, first[has])
+        score = known.look_up(hashes, lambda at: _word_margins(buf, starts[pick[at]], ends[pick[at]], model))
+        doc = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+        at = np.flatnonzero(score[back] > FLOOR)
+        pair = np.unique(doc[at] * len(hashes) + back[at])
+        said, margin = pair // len(hashes), score[pair % len(hashes)]
         points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
         single = (points[ends] - points[starts] == 1).astype(np.int8)
-        runs = np.flatnonzero(single[:-2] & single[1:-1] & single[2:]) if len(single) > 2 else []
-        for d in np.unique(np.searchsorted(first, runs, "right") - 1):  # spelt with spaces
-            text = buf[off[d] : off[d + 1]].tobytes().decode("utf-8", "replace")
-            spelt = [re.sub(r"[\x20\x09]", "", x) for x in _SINGLES.findall(text)]
-            if spelt:
-                out[i + d] = max(out[i + d], fragment_margins(joined(spelt), len(spelt), model).max())
+        runs = np.flatnonzero(single[:-2] & single[1:-1] & single[2:]) if len(single) > 2 else np.zeros(0, np.int64)
+        for d in np.unique(doc[runs]):  # spelt with spaces
+            found = list(dict.fromkeys(spelt(buf[off[d] : off[d + 1]].tobytes().decode("utf-8", "replace"))))
+            if found:
+                said = np.append(said, np.full(len(found), d))
+                margin = np.append(margin, fragment_margins(joined(found), len(found), model).clip(FLOOR))
+        n = np.bincount(doc, minlength=j - i)
+        has = n > 0
+        part = np.tile(NOTHING, (j - i, 1))
+        order = np.lexsort((-margin, said))
+        said, margin = said[order], margin[order]
+        lead = np.flatnonzero(np.diff(said, prepend=-1) > 0)
+        part[said[lead], WORST] = margin[lead]
+        second = np.flatnonzero(said[1:] == said[:-1]) + 1
+        second = second[np.isin(second - 1, lead)]
+        part[said[second], SECOND] = margin[second]
+        part[:, SUM] = np.log1p(np.bincount(said, np.maximum(margin, 0), j - i))
+        part[has, LENGTH_OF] = np.log(n[has])
+        part[has, RATE] = (np.bincount(doc, np.maximum(score, 0)[back], j - i)[has]) / np.sqrt(n[has])
+        out[i:j] = part
     if model.sentence is not None:
-        some = np.flatnonzero(out > EMPTY_MARGIN)
-        whole = np.full(len(out), -np.inf)
+        whole = np.zeros(len(out))
         for i, j in slices(offsets, SLICE >> 4):
             w = sentence_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if len(w.window):
                 np.maximum.at(whole, i + w.row, window_margins(w, model.sentence, model.sentence_bias))
-        out[some] += np.maximum(whole[some], 0)
+        out[:, SENTENCE] = whole
     return out
 
 
@@ -575,7 +615,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         known[:] = known or [Known()]
         data, offsets = column_bytes(pc.utf8_lower(batch.column("text")))
-        score = shared.value.probability(margins(data, offsets, shared.value, known[0]))
+        score = shared.value.probability(document_features(data, offsets, shared.value, known[0]))
         yield {k: batch.column(k) for k in keep} | {"score": score}
 
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keep)
@@ -591,10 +631,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Score all documents: doc_id, held_out, score in 0..1, predicted (score >= threshold).
 
-    Only the text is an input of a score. Null and empty texts have no fragment and get
-    the fixed margin EMPTY_MARGIN, a low score. Without labels of both kinds every text
-    with words gets the same score below the threshold. Repeated rows score alike; an
-    empty table gives no rows.
+    Only the text is an input of a score. Null and empty texts have no fragment and the
+    features NOTHING, a low score. Without labels of both kinds every text gets the same
+    score below the threshold. Repeated rows score alike; an empty table gives no rows.
     """
     model = learn(docs, labels)
     scored = score_texts(docs, model, ["doc_id"])
