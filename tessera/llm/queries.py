@@ -50,7 +50,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH pages0 AS (
   SELECT page_id, url, 1704067200 + ((page_id * 2220) % 31622400 + 31622400) % 31622400 AS t,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)), '') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS seg
   FROM pages),
 seen AS (SELECT page_id, url, t, host, seg, count(*) AS n_rows FROM pages0 GROUP BY ALL),

@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
 PERIOD = 30 * 86400
 PATH1 = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host of an absolute URL; null if there is none."""
+    """The lower-cased host of an absolute URL, of an IPv6 address with its brackets; null if there is none."""
     return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
