@@ -31,10 +31,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder that the cluster names for checkpoints. Where none is named a temporary one serves, but only on a single machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors have no folder in common")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
