@@ -75,6 +75,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def canonical_json(columns: list[str]) -> Column:
+    """Columns as one JSON object with sorted keys and no spaces; nulls are written."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
+
+
 def chunk_id(doc_id: Column, strategy: str, ordinal: Column, digest: Column) -> Column:
     return F.format_string(f"%s__{strategy}__%06d__%s", doc_id.cast("string"), ordinal.cast("int"), digest)
 

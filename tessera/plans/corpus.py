@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import notice as N
 from tessera.functions import text as T
-from tessera.operators import chunk, html, integrity
+from tessera.operators import chunk, html, integrity, tokenwindows
 from tessera.sources import manifest, sinks, tables
 
 from .common import read, squeeze_sql, tokens_sql
@@ -109,6 +109,23 @@ def chunk_fixed_220_40(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "ordinal", "token_start", "token_end", "token_count", "text_sha256", "chunk_id")
 
 
+def chunk_tokens_220_40(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of at most 220 tokens of a tokenizer file."""
+    c = tokenwindows.token_chunks(read(spark, sf_dir, "documents"), tokenwindows.default_path())
+    return c.select("doc_id", "ordinal", "token_start", "token_end", "token_count", "exact", "text_sha256", "chunk_id")
+
+
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each document's fields as JSON with sorted keys and no spaces."""
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.sha256(T.canonical_json(["source", "doc_id", "lang", "n_chars"])).alias("json_sha256"))
+
+
+CANONICAL_SQL = """
+SELECT doc_id, sha256('{"doc_id":' || coalesce(doc_id::VARCHAR, 'null') || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || coalesce(n_chars::VARCHAR, 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS json_sha256 FROM documents
+"""
+
+
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.size(T.whitespace_tokens(F.col("text"))).alias("n"), "lang")
     k = docs.withColumn("k", chunk.window_count(F.col("n")))
@@ -449,7 +466,7 @@ SELECT case_id, {squeeze_sql("regexp_replace(replace(t, '&amp;', '&'), '`|\\*\\*
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_scan_validated, chunk_fixed_220_40, chunk_stats, chunk_overlap_check, chunk_registry_constraints, heading_sections, heading_chunks, section_token_offsets,
+        corpus_scan_validated, chunk_fixed_220_40, chunk_tokens_220_40, canonical_json, chunk_stats, chunk_overlap_check, chunk_registry_constraints, heading_sections, heading_chunks, section_token_offsets,
         code_fence_state, chunk_section_overlap, duplicate_docs_exact, duplicate_docs_body, duplicate_members, idset_digest, ordered_digest, frozen_input_gate, idset_parity, file_reconciliation, required_coverage,
         token_multiset_coverage, document_token_coverage, quote_containment, quality_rollup, redact_pii, whitespace_preview, unicode_normalize, unicode_clean,
         url_allowlist, notebook_family_counts, html_blocks, html_markdown, html_quality_problems, visible_markdown,
@@ -460,6 +477,7 @@ DIGEST_SQL = "WITH l AS (SELECT source, doc_id, printf('%012d', doc_id) || '  '
 DUP = "SELECT sha256({0}) AS digest, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents {1} GROUP BY 1 HAVING count(*) > 1"
 
 SQL = {
+    "canonical_json": CANONICAL_SQL,
     "corpus_scan_validated": CORPUS_SCAN_SQL,
     "chunk_fixed_220_40": f"WITH {CHUNK_SQL} SELECT doc_id, ordinal, token_start, token_end, token_count, text_sha256, printf('%s__fixed_220_40__%06d__%s', doc_id::VARCHAR, ordinal, text_sha256) AS chunk_id FROM chunks",
     "chunk_stats": CHUNK_STATS_SQL,

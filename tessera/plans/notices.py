@@ -113,6 +113,23 @@ def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", "doc_id", F.length(picked).alias("chars"), T.sha256(picked).alias("context_sha256"))
 
 
+def sensitive_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts and dates in all documents, conversations and the literal notices: how many distinct ones, and which."""
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    turns = read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.concat_ws("-", "conv_id", "turn", "role")).alias("id"), "text")
+    rows = docs.unionByName(turns).unionByName(notice_rows(spark).select(F.concat(F.lit("n"), F.col("notice_id").cast("string")).alias("id"), "text"))
+    found = N.sensitive_literals(F.col("text"))
+    return rows.select("id", F.size(found).alias("n"), F.array_join(found, "|").alias("literals"))
+
+
+_FOUND = " || ".join("regexp_extract_all(coalesce(text, ''), '" + p.replace("'", "''") + "')" for p in N.LITERALS)
+LITERALS_SQL = f"""
+WITH r AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || concat_ws('-', conv_id, turn, role), text FROM conversations
+  UNION ALL SELECT 'n' || notice_id, text FROM {corpus._values(NOTICES, "notice_id, text")}),
+f AS (SELECT id, list_sort(list_distinct(list_transform({_FOUND}, lambda x: lower(regexp_replace(x, '\s+', '', 'g'))))) AS l FROM r)
+SELECT id, len(l)::INT AS n, array_to_string(l, '|') AS literals FROM f
+"""
+
 FIELD_ROWS = [("IRS guidance says: pay", "guidance", ["notice_code"]), ("Your notice states: due", "notice", ["amount", "notice_code"]), ("plain", "other", ["phone"])]
 PERMITTED = ["notice_code", "notice_date", "due_or_response_date", "amount", "reference_number"]
 
@@ -137,11 +154,12 @@ def confusable_rank1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONFUSED_SQL = "SELECT * FROM (VALUES ('Q1', 10::BIGINT), ('Q2', NULL), ('Q3', NULL), ('Q4', 20)) AS v(qid, confused_with)"
 
-QUERIES = {f.__name__: f for f in (code_normalize_route, notice_identify, notice_fields, question_classifier, context_selection, field_permission, confusable_rank1)}
+QUERIES = {f.__name__: f for f in (code_normalize_route, notice_identify, notice_fields, question_classifier, context_selection, sensitive_literals, field_permission, confusable_rank1)}
 SQL = {
     "code_normalize_route": CODES_SQL,
     "notice_fields": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in FIELD_ANSWERS) + ") AS v(notice_id, notice_date, notice_date_confidence, due_or_response_date, due_or_response_date_confidence, amount, amount_confidence, reference_number, reference_number_confidence)",
     "question_classifier": QUESTION_SQL,
+    "sensitive_literals": LITERALS_SQL,
     "field_permission": FIELD_PERMISSION_SQL,
     "confusable_rank1": CONFUSED_SQL,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import lexical, ranking, vector
+from tessera.operators import lexical, ranking, runs, vector
 from tessera.sources import tables
 
 from . import corpus
@@ -229,14 +229,14 @@ def ablation_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = tables.written(query_rows(v).select(F.col("id").alias("qid"), (F.col("id") / 100 % 3).cast("int").alias("rest")), "judged")
     good = F.col("id") % 3 == F.col("rest")
     dense, sparse = tables.written(vector.top_in_key(v, query_rows(v)), "dense"), tables.written(first_component(spark, sf_dir), "sparse")
-    runs = None
+    judged = None
     for place, (name, ranked) in enumerate((("dense", dense), ("sparse", sparse), ("hybrid", ranking.rrf([dense, sparse])))):
         first = ranking.first_relevant(ranked, q, good).select(F.lit(name).alias("variant"), F.lit(place).alias("complexity"), "qid", (F.coalesce("first_rank", F.lit(ranking.MISS)) == 1).alias("ok"))
-        runs = first if runs is None else runs.unionByName(first)
-    runs = tables.written(runs, "runs")
+        judged = first if judged is None else judged.unionByName(first)
+    judged = tables.written(judged, "runs")
     p95 = read(spark, sf_dir, "events").groupBy("event_type").agg(ranking.nearest_rank("value")[2])
     p95 = p95.select((F.row_number().over(W.orderBy("event_type")) - 1).alias("place"), "p95")  # one row an event type
-    return ranking.decide(runs, "dense", p95)
+    return ranking.decide(judged, "dense", p95)
 
 
 ABLATION_SQL = f"""
@@ -294,15 +294,27 @@ def rank_trace_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("again") - F.col("score")) > 1e-6).alias("differ"))
 
 
+def first_acceptable_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user the first event, by id, with a value above 5, and how many came before it."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.col("value") > 5).alias("ok"))
+    return runs.first_acceptable(e, "user_id", "event_id", "event_type")
+
+
+FIRST_OK_SQL = """
+WITH f AS (SELECT user_id, arg_min(event_type, event_id) FILTER (WHERE value > 5) AS chosen, min(event_id) FILTER (WHERE value > 5) AS at FROM events GROUP BY user_id)
+SELECT f.user_id, f.chosen, count_if(f.at IS NULL OR e.event_id < f.at) AS rejected FROM f JOIN events e ON e.user_id IS NOT DISTINCT FROM f.user_id GROUP BY ALL
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, bm25_topk, rerank_reorder, rank_metrics, rank_metrics_by_slice, variant_failures, dense_topk_filtered, vector_validity, rrf_topk,
-        score_margin_hardest, paired_comparison, ablation_decision, model_selection, latency_nearest_rank, round_robin_schedule, rank_trace_recompute,
+        score_margin_hardest, paired_comparison, ablation_decision, model_selection, latency_nearest_rank, round_robin_schedule, rank_trace_recompute, first_acceptable_event,
     )
 }
 
 SQL = {
+    "first_acceptable_event": FIRST_OK_SQL,
     "bm25_stats": f"WITH {BM25_SQL} SELECT term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st",
     "bm25_topk": f"WITH {BM25_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM bm",
     "rerank_reorder": RERANK_SQL,
