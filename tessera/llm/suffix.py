@@ -277,141 +277,6 @@ def _with_text(base: DataFrame, found: DataFrame) -> DataFrame:
 WIDTH = 88  # bytes of a padded segment: whole words
 
 
-def cut_rows(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """The bytes buf[start : start + size] as rows of ``width``, filled up with zeros; buf has ``width`` bytes to spare."""
-    windows = np.lib.stride_tricks.as_strided(buf, (len(buf) - width + 1, width), (1, 1))
-    out = windows[start]
-    out[np.arange(width) >= size[:, None]] = 0
-    return out
-
-
-def row_hashes(rows: np.ndarray, also: np.ndarray) -> np.ndarray:
-    """A hash of each row of bytes (whole words) and of the number ``also``."""
-    out = mix(also.astype(np.uint64))
-    for word in np.ascontiguousarray(rows).view(np.uint64).T:
-        out = mix(out ^ word)
-    return out
-
-
-class Seen:
-    """Segments that a task has sent, with their bytes and smallest document."""
-
-    def __init__(self) -> None:
-        self.name, self.doc, self.rows = np.zeros(SEEN, np.uint64), np.zeros(SEEN, np.int64), np.zeros((SEEN, WIDTH), np.uint8)
-
-    def repeats(self, name: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Whether a segment equals, byte by byte, one of a smaller document of this task. Documents come in order."""
-        order = np.argsort(name, kind="stable")
-        n = name[order]
-        fresh = np.concatenate([[True], n[1:] != n[:-1]])
-        first = order[fresh]  # of each name; the smallest document, as the sort is stable
-        of = first[np.cumsum(fresh) - 1]
-        out = np.zeros(len(name), bool)
-        out[order] = (doc[order] > doc[of]) & (rows[order] == rows[of]).all(1)
-        slot = (name[first] % np.uint64(SEEN)).astype(np.int64)
-        same = (self.name[slot] == name[first]) & (self.rows[slot] == rows[first]).all(1)
-        older = np.zeros(len(name), np.int64)
-        old = np.zeros(len(name), bool)
-        old[order], older[order] = same[np.cumsum(fresh) - 1], self.doc[slot][np.cumsum(fresh) - 1]
-        at = np.flatnonzero(old & ~out)
-        out[at] = (doc[at] > older[at]) & (rows[at] == self.rows[(name[at] % np.uint64(SEEN)).astype(np.int64)]).all(1)
-        self.name[slot[~same]], self.doc[slot[~same]], self.rows[slot[~same]] = name[first[~same]], doc[first[~same]], rows[first[~same]]
-        return out
-
-
-WIDTH = 88  # bytes of a padded segment: whole words
-
-
-def cut_rows(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """The bytes buf[start : start + size] as rows of ``width``, filled up with zeros; buf has ``width`` bytes to spare."""
-    windows = np.lib.stride_tricks.as_strided(buf, (len(buf) - width + 1, width), (1, 1))
-    out = windows[start]
-    out[np.arange(width) >= size[:, None]] = 0
-    return out
-
-
-def row_hashes(rows: np.ndarray, also: np.ndarray) -> np.ndarray:
-    """A hash of each row of bytes (whole words) and of the number ``also``."""
-    out = mix(also.astype(np.uint64))
-    for word in np.ascontiguousarray(rows).view(np.uint64).T:
-        out = mix(out ^ word)
-    return out
-
-
-class Seen:
-    """Segments that a task has sent, with their bytes and smallest document."""
-
-    def __init__(self) -> None:
-        self.name, self.doc, self.rows = np.zeros(SEEN, np.uint64), np.zeros(SEEN, np.int64), np.zeros((SEEN, WIDTH), np.uint8)
-
-    def repeats(self, name: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Whether a segment equals, byte by byte, one of a smaller document of this task. Documents come in order."""
-        order = np.argsort(name, kind="stable")
-        n = name[order]
-        fresh = np.concatenate([[True], n[1:] != n[:-1]])
-        first = order[fresh]  # of each name; the smallest document, as the sort is stable
-        of = first[np.cumsum(fresh) - 1]
-        out = np.zeros(len(name), bool)
-        out[order] = (doc[order] > doc[of]) & (rows[order] == rows[of]).all(1)
-        slot = (name[first] % np.uint64(SEEN)).astype(np.int64)
-        same = (self.name[slot] == name[first]) & (self.rows[slot] == rows[first]).all(1)
-        older = np.zeros(len(name), np.int64)
-        old = np.zeros(len(name), bool)
-        old[order], older[order] = same[np.cumsum(fresh) - 1], self.doc[slot][np.cumsum(fresh) - 1]
-        at = np.flatnonzero(old & ~out)
-        out[at] = (doc[at] > older[at]) & (rows[at] == self.rows[(name[at] % np.uint64(SEEN)).astype(np.int64)]).all(1)
-        self.name[slot[~same]], self.doc[slot[~same]], self.rows[slot[~same]] = name[first[~same]], doc[first[~same]], rows[first[~same]]
-        return out
-
-
-WIDTH = 88  # bytes of a padded segment: whole words
-
-
-def cut_rows(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """The bytes buf[start : start + size] as rows of ``width``, filled up with zeros; buf has ``width`` bytes to spare."""
-    windows = np.lib.stride_tricks.as_strided(buf, (len(buf) - width + 1, width), (1, 1))
-    out = windows[start]
-    out[np.arange(width) >= size[:, None]] = 0
-    return out
-
-
-def row_hashes(rows: np.ndarray, also: np.ndarray) -> np.ndarray:
-    """A hash of each row of bytes (whole words) and of the number ``also``."""
-    out = mix(also.astype(np.uint64))
-    for word in np.ascontiguousarray(rows).view(np.uint64).T:
-        out = mix(out ^ word)
-    return out
-
-
-class Seen:
-    """Segments that a task has sent, with their bytes and smallest document."""
-
-    def __init__(self) -> None:
-        self.name, self.doc, self.rows = np.zeros(SEEN, np.uint64), np.zeros(SEEN, np.int64), np.zeros((SEEN, WIDTH), np.uint8)
-
-    def repeats(self, name: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Whether a segment equals, byte by byte, one of a smaller document of this task. Documents come in order."""
-        order = np.argsort(name, kind="stable")
-        n = name[order]
-        fresh = np.concatenate([[True], n[1:] != n[:-1]])
-        first = order[fresh]  # of each name; the smallest document, as the sort is stable
-        of = first[np.cumsum(fresh) - 1]
-        out = np.zeros(len(name), bool)
-        out[order] = (doc[order] > doc[of]) & (rows[order] == rows[of]).all(1)
-        slot = (name[first] % np.uint64(SEEN)).astype(np.int64)
-        same = (self.name[slot] == name[first]) & (self.rows[slot] == rows[first]).all(1)
-        older = np.zeros(len(name), np.int64)
-        old = np.zeros(len(name), bool)
-        old[order], older[order] = same[np.cumsum(fresh) - 1], self.doc[slot][np.cumsum(fresh) - 1]
-        at = np.flatnonzero(old & ~out)
-        out[at] = (doc[at] > older[at]) & (rows[at] == self.rows[(name[at] % np.uint64(SEEN)).astype(np.int64)]).all(1)
-        self.name[slot[~same]], self.doc[slot[~same]], self.rows[slot[~same]] = name[first[~same]], doc[first[~same]], rows[first[~same]]
-        return out
-
-
-WIDTH = 88  # bytes of a padded segment: whole words
-
-
 def cut_rows(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """The bytes buf[start : start + size] as rows of ``width``, filled up with zeros; buf has ``width`` bytes to spare."""
     windows = np.lib.stride_tricks.as_strided(buf, (len(buf) - width + 1, width), (1, 1))
