@@ -8,6 +8,13 @@ packing           what the mix takes is packed into sequences of 1024 tokens
 
 All but the last return the columns of ``documents``; between stages the table is written
 and read again.
+
+Null, empty and blank texts pass the first three stages as they are (a null becomes empty when
+substrings are cut), the mix takes none of them, and in packing such a document is its end
+token alone. Rows without doc_id pass: they lose no substring and cause no loss. Rows that
+repeat a doc_id go together when near-duplicates are dropped. Texts of any length are read
+whole. Columns beside those of ``documents`` are dropped, whatever their names. No rows give
+no rows.
 """
 
 from __future__ import annotations
