@@ -19,6 +19,27 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_substrings(_read(spark, sf_dir, "documents"), 50, with_rows=False)
 
 
+OP1_SQL = r"""
+WITH base AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+size AS (SELECT r, doc_id, x, len(x) // 2 AS n FROM base),
+parts AS (SELECT r, doc_id, n, p, substr(x, 2 * p + 1, 610) AS x FROM (SELECT *, unnest(range(0, n - 49, 256)) AS p FROM size WHERE n >= 50)),
+places AS (SELECT r, doc_id, p + i AS i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(256, n - 49 - p))) AS i FROM parts)),
+least AS (SELECT s, min(doc_id) AS doc_id FROM places GROUP BY s HAVING count(*) > 1),
+later AS (SELECT p.r, p.i FROM places p JOIN least l ON p.s = l.s AND p.doc_id > l.doc_id),
+steps AS (SELECT r, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS opens FROM later WINDOW w AS (PARTITION BY r ORDER BY i)),
+numbered AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM steps),
+runs AS (SELECT r, k, min(i) AS since, max(i) + 50 AS until FROM numbered GROUP BY r, k),
+marks AS (
+  SELECT r, since, until FROM runs
+  UNION ALL SELECT r, n, n FROM size),
+gaps AS (SELECT r, coalesce(lag(until) OVER w, 0) AS a, since AS b FROM marks WINDOW w AS (PARTITION BY r ORDER BY since, until)),
+kept AS (SELECT g.r, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS x FROM gaps g JOIN size s ON g.r = s.r GROUP BY g.r),
+cut AS (SELECT r, sum(until - since)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM runs GROUP BY r)
+SELECT s.doc_id, s.n AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+FROM size s JOIN kept k ON s.r = k.r LEFT JOIN cut c ON s.r = c.r
+"""
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against a list made by a rule from their own hosts.
 
@@ -115,6 +136,25 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"), 0.98)
 
 
+#: Links are closed over whole components, so this is for tables whose groups are small.
+OP4_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT r, label, e, sqrt(list_sum([x * x FOR x IN e])) AS size FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL
+    AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r
+  WHERE len(a.e) = len(b.e) AND list_sum([a.e[i] * b.e[i] FOR i IN range(1, len(a.e) + 1)]) >= 0.98 * a.size * b.size),
+reach AS (
+  SELECT r, r AS other FROM v
+  UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON reach.other = o.r GROUP BY reach.r),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, v.vec_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM v JOIN least l ON v.r = l.r LEFT JOIN counts c ON v.r = c.a
+"""
+
+
 def op5_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id matrices of all documents, sequences of 2048 ids."""
     return packing.write_matrices(_read(spark, sf_dir, "documents"), tokens.default_path(), 2048)
@@ -130,6 +170,27 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+#: Every pair that shares a shingle is counted and links are closed over whole components, so this is for small tables.
+OP7_SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+places AS (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS s FROM places),
+size AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (
+  SELECT s.a, s.b FROM shared s JOIN size x ON s.a = x.r JOIN size y ON s.b = y.r WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)),
+reach AS (
+  SELECT r, r AS other FROM words
+  UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN words o ON reach.other = o.r GROUP BY reach.r)
+SELECT w.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, l.component_id, w.doc_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM words w JOIN least l ON w.r = l.r LEFT JOIN size z ON w.r = z.r
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokens.default_path(), 1024)
@@ -158,4 +219,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op3_mixing": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_mixing": OP3_SQL, "op4_embeddings": OP4_SQL, "op7_minhash": OP7_SQL}
