@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprint, minhash, mixing, packing, quality, suffix, tokens, toxicity, url_filter
+from . import embeddings, fingerprint, merkle, minhash, mixing, packing, quality, suffix, tokens, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -206,6 +206,53 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), toxicity.THRESHOLD)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents by language, and every row verified as it is or as tampered with."""
+    docs = _read(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, *merkle.tampered(docs))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified", "place")
+
+
+def _crc32(text: str) -> str:
+    """The crc32 of a short ASCII string in SQL: a byte is xored in (values from 0), then eight shifts (-1)."""
+    steps = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: [ascii(substr({text}, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT), 4294967295)"
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, lang, sha256({" || ".join(_field_sql(c) for c in merkle.FIELDS)}) AS leaf,
+    sha256({" || ".join(_field_sql("n_chars::HUGEINT + CASE WHEN " + _crc32("doc_id::VARCHAR") + " % 7 = 0 THEN 1 ELSE 0 END" if c == "n_chars" else c) for c in merkle.FIELDS)}) AS shown
+  FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM base),
+nodes AS (
+  SELECT lang, 0 AS level, place, n, leaf AS node FROM placed
+  UNION ALL SELECT lang, level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2),
+subroots AS MATERIALIZED (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, place, n, node FROM subroots
+  UNION ALL SELECT level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY place)) FROM upper WHERE n > 1 GROUP BY level, place // 2),
+rows AS (SELECT row_number() OVER () AS r, p.*, s.node AS subroot, s.place AS group_place, s.n AS groups FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang),
+steps AS (
+  SELECT r, a.level, CASE WHEN b.node IS NULL THEN '-' WHEN (a.place >> level) & 1 = 1 THEN 'L' || b.node ELSE 'R' || b.node END AS step
+  FROM (SELECT *, unnest(range(0, ceil(log2(n))::INT)) AS level FROM rows) a LEFT JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND xor(a.place >> a.level, 1) = b.place
+  UNION ALL
+  SELECT r, 1000 + a.level, CASE WHEN b.node IS NULL THEN '-' WHEN (group_place >> level) & 1 = 1 THEN 'L' || b.node ELSE 'R' || b.node END
+  FROM (SELECT *, unnest(range(0, ceil(log2(groups))::INT)) AS level FROM rows) a LEFT JOIN upper b ON a.level = b.level AND xor(a.group_place >> a.level, 1) = b.place),
+paths AS (SELECT r, list(step ORDER BY level) AS path FROM steps GROUP BY r),
+folded AS (
+  SELECT w.*, coalesce(p.path, []) AS path, list_reduce(coalesce(p.path, []), lambda x, s: CASE substr(s, 1, 1) WHEN '-' THEN sha256(x) WHEN 'L' THEN sha256(substr(s, 2) || x) ELSE sha256(x || substr(s, 2)) END, shown) AS folded_root
+  FROM rows w LEFT JOIN paths p USING (r))
+SELECT doc_id, leaf, subroot, (SELECT node FROM upper WHERE n = 1) AS root, sha256(array_to_string([substr(s, 2) FOR s IN path], '')) AS proof_sha256, folded_root,
+  folded_root = (SELECT node FROM upper WHERE n = 1) AS verified, place
+FROM folded
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filters": op2_url_filters,
@@ -217,6 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_mixing": OP3_SQL, "op4_embeddings": OP4_SQL, "op7_minhash": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_mixing": OP3_SQL, "op4_embeddings": OP4_SQL, "op7_minhash": OP7_SQL, "op11_merkle": OP11_SQL}
