@@ -238,10 +238,10 @@ upper AS (
   UNION ALL SELECT level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY place)) FROM upper WHERE n > 1 GROUP BY level, place // 2),
 rows AS (SELECT row_number() OVER () AS r, p.*, s.node AS subroot, s.place AS group_place, s.n AS groups FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang),
 steps AS (
-  SELECT r, a.level, CASE WHEN b.node IS NULL THEN '-' WHEN (a.place >> level) & 1 = 1 THEN 'L' || b.node ELSE 'R' || b.node END AS step
+  SELECT r, a.level, CASE WHEN b.node IS NULL THEN '-' WHEN (a.place >> a.level) & 1 = 1 THEN 'L' || b.node ELSE 'R' || b.node END AS step
   FROM (SELECT *, unnest(range(0, ceil(log2(n))::INT)) AS level FROM rows) a LEFT JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND xor(a.place >> a.level, 1) = b.place
   UNION ALL
-  SELECT r, 1000 + a.level, CASE WHEN b.node IS NULL THEN '-' WHEN (group_place >> level) & 1 = 1 THEN 'L' || b.node ELSE 'R' || b.node END
+  SELECT r, 1000 + a.level, CASE WHEN b.node IS NULL THEN '-' WHEN (group_place >> a.level) & 1 = 1 THEN 'L' || b.node ELSE 'R' || b.node END
   FROM (SELECT *, unnest(range(0, ceil(log2(groups))::INT)) AS level FROM rows) a LEFT JOIN upper b ON a.level = b.level AND xor(a.group_place >> a.level, 1) = b.place),
 paths AS (SELECT r, list(step ORDER BY level) AS path FROM steps GROUP BY r),
 folded AS (
