@@ -179,31 +179,33 @@ def runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
     return a[keep], b[keep]
 
 
-def ordinary(buf: np.ndarray, taken: np.ndarray, hyphens: bool) -> np.ndarray:
-    """The letters and digits of a text outside of its candidates, with or without a hyphen for the ASCII characters between words."""
-    word = (_CLASS[buf] > 0) & (_CLASS[buf] != _SYMBOL) & ~taken
-    if not hyphens:
-        return buf[word]
-    gap = ~word & (buf < 128)
-    first = gap.copy()
-    first[1:] &= ~gap[:-1]
-    out = np.where(first, np.uint8(45), buf)
-    return out[word | first]
-
-
-def glued(stream: np.ndarray) -> Iterator[np.ndarray]:
-    """A stream as strings of each of LENGTHS in turn, and what is left as strings of the shortest; rows of bytes."""
-    cycle = sum(LENGTHS)
-    n = len(stream) // cycle
-    whole, at = stream[: n * cycle].reshape(n, cycle), 0
+def ordinary(buf: np.ndarray, offsets: np.ndarray, taken: np.ndarray, hyphens: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The letters and digits of a slice's rows outside of candidates, with or without a hyphen for the ASCII characters between words, and the rows' offsets in them."""
+    kind = _CLASS[buf]
+    keep = (kind > 0) & (kind != _SYMBOL) & ~taken
+    out = buf
+    if hyphens:
+        gap = ~keep & (buf < 128)
+        first = gap.copy()
+        first[1:] &= ~gap[:-1]
+        out = np.where(first, np.uint8(45), buf)
+        keep = keep | first
+    return out[keep], np.append(0, np.cumsum(keep))[offsets]
+
+
+def glued(stream: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Each row of a stream as strings of each of LENGTHS in turn, and what is left as strings of the shortest."""
+    cycle, size = sum(LENGTHS), np.diff(offsets)
+
+    def cut(start: np.ndarray, times: np.ndarray, step: int, k: int) -> np.ndarray:
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return stream[(np.repeat(start, times) + nth * step)[:, None] + np.arange(k)]
+
+    whole, at = size // cycle, 0
     for k in LENGTHS:
-        if n:
-            yield whole[:, at : at + k]
+        yield cut(offsets[:-1] + at, whole, cycle, k)
         at += k
-    rest = stream[n * cycle :]
-    m = len(rest) // LENGTHS[0]
-    if m:
-        yield rest[: m * LENGTHS[0]].reshape(m, LENGTHS[0])
+    yield cut(offsets[:-1] + whole * cycle, size % cycle // LENGTHS[0], LENGTHS[0], LENGTHS[0])
 
 
 def candidates(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -234,12 +236,11 @@ def _histograms(batch: pa.RecordBatch) -> Iterator[dict]:
         mark[a] += 1
         mark[b] -= 1
         taken = np.cumsum(mark)[:-1] > 0
-        for row in range(j - i):
-            part = slice(at[row], at[row + 1])
-            for hyphens in (False, True):
-                for rows in glued(ordinary(buf[part], taken[part], hyphens)):
-                    enc, grade = graded(rows)
-                    cells[1, length_class(np.array([rows.shape[1]]))[0]] += np.bincount(enc.astype(np.int64) % (len(ENCODINGS) + 1) * BINS + grade, minlength=(len(ENCODINGS) + 1) * BINS).reshape(-1, BINS)
+        for hyphens in (False, True):
+            for rows in glued(*ordinary(buf, at, taken, hyphens)):
+                enc, grade = graded(rows)
+                counts = np.bincount(enc.astype(np.int64) % (len(ENCODINGS) + 1) * BINS + grade, minlength=(len(ENCODINGS) + 1) * BINS)
+                cells[1, length_class(np.array([rows.shape[1]]))[0]] += counts.reshape(-1, BINS)
     at = np.nonzero(cells)
     yield {"ordinary": at[0] == 1, "length": at[1].astype(np.int32), "encoding": at[2].astype(np.int32), "bin": at[3].astype(np.int32), "n": cells[at]}
 
