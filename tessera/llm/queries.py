@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprint, merkle, minhash, mixing, packing, quality, secret_scan, suffix, tokens, toxicity, url_filter
+from . import alignment, embeddings, fingerprint, merkle, minhash, mixing, packing, quality, secret_scan, suffix, tokens, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -270,6 +270,12 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under two public tokenizers: minimal groups, links and the counts of linked pairs."""
+    found = alignment.align(_read(spark, sf_dir, "documents"), *alignment.default_paths(), with_groups=False)
+    return found.drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filters": op2_url_filters,
@@ -283,6 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
     "op12_secrets": op12_secrets,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_mixing": OP3_SQL, "op4_embeddings": OP4_SQL, "op7_minhash": OP7_SQL, "op11_merkle": OP11_SQL}

@@ -54,9 +54,9 @@ def _mergeable(spec: dict) -> bool:
     return ids == sorted(set(ids)) and plain == set(_byte_alphabet()) | set(made)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids."""
+@lru_cache(maxsize=4)
+def encoder(path: str, added_tokens: bool = True) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids; without ``added_tokens`` their texts are plain text."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
@@ -65,6 +65,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     def slow(text: str) -> np.ndarray:
         library[:] = library or [Tokenizer.from_file(path)]
+        library[0].encode_special_tokens = not added_tokens
         return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     if not _mergeable(spec):
@@ -79,13 +80,29 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     def encode(text: str) -> np.ndarray:
         if len(text) > LONGEST_RUN and max(map(len, _WHITE.findall(text)), default=0) > LONGEST_RUN:
             return slow(text)
-        if any(x in text for x in added):
+        if added_tokens and any(x in text for x in added):
             return np.array(bpe.encode(text, allowed_special="all"), np.uint32)
         return np.array(bpe.encode_ordinary(text), np.uint32)
 
     return encode
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id: of a byte-level BPE file, or of a piece model (U+2581 is a space, a byte piece its byte)."""
+    if path.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        pieces = ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))
+        return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in pieces]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet, added = _byte_alphabet(), {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
+    ids = {i: bytes(alphabet[c] for c in x) for x, i in spec["model"]["vocab"].items() if x not in added} | {i: x.encode() for x, i in added.items()}
+    return [ids.get(i, b"") for i in range(max(ids) + 1)]
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: as few as possible, all full but perhaps the first."""
     if n <= capacity:
