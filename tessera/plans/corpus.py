@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import notice as N
 from tessera.functions import text as T
-from tessera.operators import chunk, html, integrity, tokenwindows
+from tessera.operators import chunk, html, integrity, phrases, tokenwindows
 from tessera.sources import manifest, sinks, tables
 
 from .common import read, squeeze_sql, tokens_sql
@@ -327,42 +327,13 @@ FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.token = b.token GROUP BY a.doc_i
 """
 
 
-SHINGLE = 4
-MOST_KEYS = 200_000  # shingles of passages that are broadcast (some 5 MB); more are joined by shuffle
-
-
-def shingle_keys(words: Column) -> Column:
-    """Hashes of the distinct runs of SHINGLE words."""
-    n = F.size(words) - SHINGLE + 1
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE)))))
-
-
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark passages stand in which documents, white space aside (at least 20 characters and 4 words).
-
-    A passage stands for its rarest run of four whole words, without its first and last word,
-    which may be parts of words in a document; one of fewer words for all it has, which is
-    looked for in every document (there is no key to join by). Documents with that run are
-    its candidates. Runs that no passage has are dropped where they are read.
-    """
-    quotes = read(spark, sf_dir, "benchmark").select("item_id", T.squeeze(F.col("text")).alias("quote")).where("length(quote) >= 20")
-    quotes = quotes.withColumn("w", F.split("quote", " ")).where("size(w) >= 4")
-    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
-    keys = tables.written(quotes.select("item_id", F.explode(shingle_keys(inner)).alias("key")), "quote-keys")
+    """Which benchmark passages stand in which documents, white space aside (at least 20 characters and 4 words)."""
+    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), T.squeeze(F.col("text")).alias("phrase"))
+    quotes = quotes.where((F.length("phrase") >= 20) & (F.size(F.split("phrase", " ")) >= 4))
     docs = read(spark, sf_dir, "documents").select("doc_id", T.squeeze(F.col("text")).alias("body"))
-    wanted = keys.select(F.col("key").alias("k")).distinct()
-    few = keys.count() <= MOST_KEYS
-    runs = docs.select("doc_id", F.explode(shingle_keys(F.split("body", " "))).alias("key"))
-    hits = tables.written(runs.join(F.broadcast(wanted) if few else wanted, F.col("key") == F.col("k"), "left_semi"), "quote-hits")
-    often = hits.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    rarest = keys.join(often, F.col("key") == F.col("k")).groupBy("item_id").agg(F.min(F.struct("n", "key")).alias("r")).select("item_id", F.col("r.key").alias("k"))
-    candidates = hits.join(rarest, F.col("key") == F.col("k")).select("doc_id", "item_id")
-    short = quotes.where(F.size("w") < SHINGLE + 2).select("item_id", "quote")
-    texts = docs.withColumnRenamed("doc_id", "d")
-    full = candidates.join(texts, F.col("doc_id") == F.col("d")).join(quotes.select(F.col("item_id").alias("q"), "quote"), F.col("item_id") == F.col("q")).select("item_id", "doc_id", "quote", "body")
-    alike = docs.join(short, F.contains("body", "quote")).select("item_id", "doc_id", "quote", "body")
-    return full.unionByName(alike).where(F.contains("body", "quote")).select("item_id", "doc_id", F.length("quote").alias("quote_chars"))
+    found = phrases.contained(docs, quotes, "doc_id", "body")
+    return found.select(F.col("phrase_id").alias("item_id"), "doc_id", F.length("phrase").alias("quote_chars"))
 
 
 QUOTE_SQL = f"""

@@ -123,7 +123,7 @@ def sensitive_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOUND = " || ".join("regexp_extract_all(coalesce(text, ''), '" + p.replace("'", "''") + "')" for p in N.LITERALS)
-LITERALS_SQL = f"""
+LITERALS_SQL = rf"""
 WITH r AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || concat_ws('-', conv_id, turn, role), text FROM conversations
   UNION ALL SELECT 'n' || notice_id, text FROM {corpus._values(NOTICES, "notice_id, text")}),
 f AS (SELECT id, list_sort(list_distinct(list_transform({_FOUND}, lambda x: lower(regexp_replace(x, '\s+', '', 'g'))))) AS l FROM r)

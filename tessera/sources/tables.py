@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +26,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table of known size: later steps read it instead of computing it again, also after an executor is lost."""
+    """``df`` as a table of known size: later steps read it instead of computing it again, also after an executor is lost.
+
+    It goes with ``release``, or when the driver exits.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_remove_all)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in frames:
+        path = getattr(df, "_tessera_path", None)
+        spark = _written.pop(path, None)
+        if spark is not None:
+            p, fs = file_system(spark, path)
+            fs.delete(p, True)
+
+
+def _remove_all() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                p, fs = file_system(spark, path)
+                fs.delete(p, True)
+        except Exception:  # the JVM may have ended first; the cluster expires its checkpoint folder
+            break
+    _written.clear()
