@@ -1,7 +1,7 @@
-"""BM25 over a corpus with an exact filter key.
+"""BM25 over a corpus with an exact filter key, scoring every document that shares a term with a query.
 
-Functions take the tokenised corpus (``lengths``), which a plan writes once and reads for
-term counts, statistics and reranking alike.
+Functions take the tokenised corpus (``lengths``), which a plan writes once. ``index`` has a stored
+index that gives the same ranking and reads only what can matter.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.ln(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def term_stats(lens: DataFrame) -> DataFrame:
-    """term, df, idf over the whole corpus. Documents name each of their terms once, so frequent terms combine before the shuffle."""
-    df = lens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(corpus_stats(lens))).select("term", "df", F.round(idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
+def term_stats(terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf of a corpus from its terms (term, df) and its one row of ``stats``."""
+    return terms.crossJoin(F.broadcast(stats)).select("term", "df", F.round(idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
 def scores(lens: DataFrame, queries: DataFrame) -> DataFrame:
@@ -46,12 +45,21 @@ def scores(lens: DataFrame, queries: DataFrame) -> DataFrame:
     each = lens.select("id", "key", "n", F.explode("tokens").alias("term"))
     tf = each.join(terms, "term", "left_semi").groupBy("term", "id", "key", "n").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy(F.col("term").alias("df_term")).agg(F.count(F.lit(1)).alias("df"))
-    m = q.join(tf, "term").where("key = q_key").join(df, F.col("term") == F.col("df_term")).crossJoin(F.broadcast(corpus_stats(lens)))
+    tf = tf.withColumnRenamed("term", "tf_term")
+    m = q.join(tf, (F.col("term") == F.col("tf_term")) & (F.col("q_key") == F.col("key"))).join(df, F.col("term") == F.col("df_term")).crossJoin(F.broadcast(corpus_stats(lens)))
     norm = K1 * (1 - B + B * F.col("n") / F.col("avgdl"))
     part = F.col("qf") * idf(F.col("n_docs"), F.col("df")) * (F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
     return m.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
+def first_ids(lens: DataFrame, top: int) -> DataFrame:
+    """k, id: the least ``top`` ids of each key. Parts of a key find their own before they are compared, so no key is one task."""
+    d = lens.select("key", "id", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("part"))
+    for by in (["key", "part"], ["key"]):
+        d = d.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("id"))).where(F.col("r") <= top)
+    return d.select(F.col("key").alias("k"), "id")
+
+
 def rank(lens: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """qid, id, score, rank: the best ``top`` documents of each query's key; score desc, id asc, zero scores kept.
 
@@ -59,9 +67,7 @@ def rank(lens: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     ``top`` ids of its key, so no more zeros than these are looked at.
     """
     s = scores(lens, queries)
-    w = W.partitionBy("key").orderBy("id")
-    first = lens.select("id", "key").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(F.col("id"), F.col("key").alias("k"))
-    zeros = queries.select("qid", "key").join(first, F.col("key") == F.col("k")).select("qid", "id", F.lit(0.0).alias("score"))
+    zeros = queries.select("qid", "key").join(first_ids(lens, top), F.col("key") == F.col("k")).select("qid", "id", F.lit(0.0).alias("score"))
     both = s.unionByName(zeros).groupBy("qid", "id").agg(F.max("score").alias("score"))
     r = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id"))
     return both.withColumn("rank", r).where(F.col("rank") <= top)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import lexical, ranking, runs, vector
+from tessera.operators import index, lexical, ranking, runs, vector
 from tessera.sources import tables
 
 from . import corpus
@@ -36,8 +36,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("item_id").alias("qid"), "text", "expected", F.col("source").alias("key"), "lang")
 
 
-def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.written(lexical.lengths(keyed_documents(spark, sf_dir)), "tokenised")
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.stored(keyed_documents(spark, sf_dir).select("id", "key", "text"), "documents-by-source")
 
 
 BM25_SQL = f"""
@@ -57,13 +57,14 @@ bm AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_stats(tokenised(spark, sf_dir))
+    found = stored_index(spark, sf_dir)
+    return lexical.term_stats(found.terms, found.stats)
 
 
 def bm25_ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The ranking, the questions and the tokenised corpus; questions and corpus are written once, as all that follows reads them again."""
-    q, lens = tables.written(questions(spark, sf_dir), "questions"), tokenised(spark, sf_dir)
-    return lexical.rank(lens, q), q, lens
+    """The ranking, the questions and the tokenised corpus; questions are written once, as all that follows reads them again."""
+    q, found = tables.written(questions(spark, sf_dir), "questions"), stored_index(spark, sf_dir)
+    return index.search(found, q), q, found.docs
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
