@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import tables
+
+from . import scan
 
 SIZE, OVERLAP = 220, 40
 
@@ -37,57 +40,62 @@ def fixed_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def fence_state(lines: DataFrame, doc: str = "doc", line: str = "line", text: str = "text") -> DataFrame:
     """Lines of Markdown with ``in_fence`` (inside or delimiting a code fence); a fence closes with its own marker only.
 
-    The state after each line is a fold over the lines before it; only fence lines change
-    it, so the fold runs over those (a document's fence lines, gathered per document).
+    A marker is a map between what may be open before and after it, and maps compose, so the
+    states are a segmented scan: linear in the lines, and a long document is many tasks.
     """
-    marker = F.regexp_extract(text, r"^ {0,3}(```|~~~)", 1)
-    m = lines.withColumn("_m", F.nullif(marker, F.lit("")))
-    fences = m.where("_m is not null").groupBy(F.col(doc).alias("_d")).agg(F.sort_array(F.collect_list(F.struct(F.col(line).alias("l"), F.col("_m").alias("m")))).alias("_f"))
-    j = m.join(fences, F.col(doc).eqNullSafe(F.col("_d")), "left")
-    before = F.filter("_f", lambda x: x["l"] < F.col(line))
-    state = F.aggregate(before, F.lit(""), lambda s, x: F.when(s == "", x["m"]).when(s == x["m"], "").otherwise(s))
-    open_before = F.coalesce(state, F.lit(""))
-    return j.withColumn("in_fence", (open_before != "") | F.col("_m").isNotNull()).drop("_m", "_d", "_f")
-
-
-def heading_events(lines: DataFrame) -> DataFrame:
-    """ATX headings outside of fences: doc, line, level, heading. lines: doc, line, text."""
-    free = fence_state(lines).where("not in_fence")
-    level = F.length(F.regexp_extract("text", r"^(#{1,6})[ \t]+\S", 1))
-    title = T.squeeze(F.regexp_replace(F.regexp_replace("text", r"^#{1,6}[ \t]+", ""), r"[ \t]+#+[ \t]*$", ""))
-    return free.where(level > 0).select("doc", "line", level.alias("level"), T.visible_markdown(title).alias("heading"))
+    marker = F.nullif(F.regexp_extract(text, r"^ {0,3}(```|~~~)", 1), F.lit(""))
+    before = scan.scan(lines, doc, line, marker, scan.FENCES, "_open")
+    return before.withColumn("in_fence", (F.col("_open") != "") | marker.isNotNull()).drop("_open")
 
 
-def heading_paths(events: DataFrame) -> DataFrame:
-    """Headings with the path of their ancestors: the last lower level of each rank that no higher one has closed.
+def heading_lines(lines: DataFrame) -> DataFrame:
+    """Lines (doc, line, text) with level and heading, null where a line is no ATX heading outside of fences; heading_path: the open headings above it and its own; under: the line of the last heading before it.
 
     An H1 clears the path and is not part of it; levels may be skipped.
     """
-    w = W.partitionBy("doc").orderBy("line")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    parts = []
-    for k in range(2, 6):
-        last = F.last(F.when(F.col("level") <= k, F.struct("level", "heading")), ignorenulls=True).over(before)
-        parts.append(F.when((last["level"] == k) & (F.col("level") > k), last["heading"]))
-    return events.select("*", F.array_compact(F.array(*parts, F.when(F.col("level") > 1, F.col("heading")))).alias("heading_path"), F.lead("line").over(w).alias("next_line"))
+    level = F.length(F.regexp_extract("text", r"^(#{1,6})[ \t]+\S", 1))
+    title = T.squeeze(F.regexp_replace(F.regexp_replace("text", r"^#{1,6}[ \t]+", ""), r"[ \t]+#+[ \t]*$", ""))
+    rows = fence_state(lines.select("doc", "line", "text")).withColumn("level", F.when(~F.col("in_fence") & (level > 0), level))
+    rows = rows.withColumn("heading", F.when(F.col("level").isNotNull(), T.visible_markdown(title)))
+    symbol = F.when(F.col("level").isNotNull(), scan.heading_symbol(F.col("level"), F.col("heading"), F.col("line")))
+    rows = scan.scan(rows, "doc", "line", symbol, scan.HEADINGS, "_state").withColumn("_state", F.from_json("_state", "line long, open array<string>"))
+    above = F.slice(F.col("_state.open"), F.lit(1), F.greatest(F.col("level") - 2, F.lit(0)))
+    path = F.array_compact(F.concat(above, F.array(F.when(F.col("level") > 1, F.col("heading")))))
+    return rows.withColumn("heading_path", F.when(F.col("level").isNotNull(), path)).withColumn("under", F.col("_state.line")).drop("_state")
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """Logical sections (levels 2 to 6): doc, section_index, level, heading, heading_path, first_line, last_line, body.
+    """Logical sections of lines (doc, line, text), see ``sections_of``."""
+    return sections_of(tables.written(heading_lines(lines), "heading-lines"))
+
+
+def sections_of(rows: DataFrame) -> DataFrame:
+    """Logical sections (levels 2 to 6) of ``heading_lines``: doc, section_index, level, heading, heading_path, first_line, last_line, body.
 
     A section ends at the next heading of any level; sections with an empty body are skipped.
+    Each line knows the heading it is under, so bodies are a grouping, not a join by ranges.
     """
-    paths = heading_paths(heading_events(lines)).where("level > 1")
-    body = lines.select(F.col("doc").alias("d"), F.col("line").alias("l"), "text")
-    inside = (F.col("d") == F.col("doc")) & (F.col("l") > F.col("line")) & (F.col("next_line").isNull() | (F.col("l") < F.col("next_line")))
-    joined = paths.join(body, inside).groupBy("doc", "line", "level", "heading", "heading_path").agg(
-        F.sort_array(F.collect_list(F.struct("l", "text"))).alias("rows"), F.max("l").alias("last_line")
+    heads = rows.where("level > 1").select("doc", "level", "heading", "heading_path", F.col("line").alias("first_line"))
+    body = rows.where("level is null and under is not null").groupBy(F.col("doc").alias("d"), F.col("under").alias("u")).agg(
+        F.sort_array(F.collect_list(F.struct("line", "text"))).alias("rows"), F.max("line").alias("last_line")
     )
     text = T.squeeze(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"))
-    full = joined.select("doc", "level", "heading", "heading_path", F.col("line").alias("first_line"), "last_line", text.alias("body")).where("body <> ''")
+    body = body.select("d", "u", "last_line", text.alias("body")).where("body <> ''")
+    full = heads.join(body, F.col("doc").eqNullSafe(F.col("d")) & (F.col("first_line") == F.col("u"))).drop("d", "u")
     return full.withColumn("section_index", F.row_number().over(W.partitionBy("doc").orderBy("first_line")) - 1)
 
 
+def section_offsets(lines: DataFrame) -> DataFrame:
+    """doc, section_index, token_start, token_end: each section's span in its document's token sequence."""
+    rows = tables.written(heading_lines(lines), "heading-lines")
+    n = F.size(T.whitespace_tokens(F.col("text")))
+    before = F.sum(n).over(W.partitionBy("doc").orderBy("line")) - n
+    at = rows.select(F.col("doc").alias("d"), "under", "level", n.alias("n"), before.alias("start")).where("level is null and under is not null")
+    at = at.groupBy("d", "under").agg(F.min("start").alias("token_start"), F.max(F.col("start") + F.col("n")).alias("token_end"))
+    j = sections_of(rows).join(at, F.col("doc").eqNullSafe(F.col("d")) & (F.col("first_line") == F.col("under")))
+    return j.select("doc", "section_index", "token_start", "token_end")
+
+
 def section_chunks(secs: DataFrame) -> DataFrame:
     """Windows within each section; the prefix (document > path) stands outside of the token limit."""
     base = secs.select("doc", "section_index", "heading_path", T.whitespace_tokens(F.col("body")).alias("tokens"))
@@ -98,7 +106,22 @@ def section_chunks(secs: DataFrame) -> DataFrame:
 
 
 def overlap_join(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Chunks with the spans of their document that they overlap, half-open; equi-join on the document, overlap as residual."""
-    s = spans.select(F.col("doc_id").alias("s_doc"), "section", "span_start", "span_end")
-    on = (F.col("doc_id") == F.col("s_doc")) & (F.col("token_start") < F.col("span_end")) & (F.col("span_start") < F.col("token_end"))
-    return chunks.join(s, on).withColumn("overlap", F.least("token_end", "span_end") - F.greatest("token_start", "span_start")).drop("s_doc")
+    """Chunks (doc_id, token_start, token_end) with the spans (doc_id, span_start, span_end) of their document that they overlap; half-open, empty intervals overlap nothing.
+
+    Intervals are put into bins of the mean length of both sides, so each side is not much more
+    than doubled, and the join is by document and bin: a document with many spans is many
+    keys. A pair is found in the first bin that both are in, and only there.
+    """
+    c, s = chunks.where("token_start < token_end"), spans.where("span_start < span_end")
+    mean = c.agg(F.avg(F.col("token_end") - F.col("token_start")).alias("m")).union(s.agg(F.avg(F.col("span_end") - F.col("span_start")).alias("m"))).agg(F.max("m")).first()[0]
+    width = max(1, round(mean or 1))
+
+    def bins(a: str, b: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
+
+    s = s.withColumn("s_bin", bins("span_start", "span_end")).withColumnRenamed("doc_id", "s_doc")
+    c = c.withColumn("c_bin", bins("token_start", "token_end"))
+    meet = (F.col("doc_id") == F.col("s_doc")) & (F.col("c_bin") == F.col("s_bin"))
+    first = F.floor(F.greatest("token_start", "span_start") / width) == F.col("c_bin")
+    over = F.least("token_end", "span_end") - F.greatest("token_start", "span_start")
+    return c.join(s, meet & first & (over > 0)).withColumn("overlap", over).drop("s_doc", "s_bin", "c_bin")

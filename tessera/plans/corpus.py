@@ -15,36 +15,12 @@ from tessera.sources import manifest, sinks, tables
 
 from .common import read, squeeze_sql, tokens_sql
 
-#: Markdown with the cases that headings, fences and sections turn on: (doc, line, text).
-MARKDOWN = """
-# Title one
-Source: https://example.org/one
-intro text before any heading
-
-## Parent
-parent body one two three
-#### [Deep](https://example.org/deep) part
-deep body
-```
-## not a heading
-~~~
-```
-### Sibling
-sibling body with `code` and **bold**
-## Empty
-
-## Last
-~~~
-# fenced
-~~~
-last body four five six seven
-""".strip().split("\n")
-LONG = "## Long\n" + " ".join(f"w{i}" for i in range(500))
-
-
-def markdown_lines(spark: SparkSession) -> DataFrame:
-    rows = [(1, i, x) for i, x in enumerate(MARKDOWN)] + [(2, i, x) for i, x in enumerate(LONG.split("\n"))]
-    return spark.createDataFrame(rows, "doc int, line int, text string")
+def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Markdown (doc, line, text): the tables hold none, so every fourth line, counted from the id, becomes a heading of a level that the two give, and every eleventh a fence."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    k = F.col("doc") + F.col("line")
+    head = F.concat(F.repeat(F.lit("#"), (k % 6 + 1).cast("int")), F.lit(" "), "raw")
+    return docs.select("doc", "line", F.when(k % 11 == 0, F.when(k % 5 < 3, F.lit("```")).otherwise(F.lit("~~~"))).when(k % 4 == 0, head).otherwise(F.col("raw")).alias("text"))
 
 
 def _values(rows: list[tuple], columns: str) -> str:
@@ -54,22 +30,34 @@ def _values(rows: list[tuple], columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({columns})"
 
 
-MD_SQL = _values([(1, i, x) for i, x in enumerate(MARKDOWN)] + [(2, i, x) for i, x in enumerate(LONG.split("\n"))], "doc, line, text")
-# the state of fences line by line: recursion carries the open marker on
+MD_SQL = """
+lines AS (SELECT doc, line, CASE WHEN (doc + line) % 11 = 0 THEN CASE WHEN (doc + line) % 5 < 3 THEN '```' ELSE '~~~' END
+    WHEN (doc + line) % 4 = 0 THEN repeat('#', ((doc + line) % 6 + 1)::INT) || ' ' || raw ELSE raw END AS text
+  FROM (SELECT doc_id AS doc, (generate_subscripts(l, 1) - 1)::INT AS line, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)))
+"""
+# which fence is open after each marker of a document: a fold over its markers (1: ```, 2: ~~~, 0: none open)
 FENCE_SQL = rf"""
-lines AS (SELECT * FROM {MD_SQL}),
-marks AS (SELECT doc, line, text, nullif(regexp_extract(text, '^ {{0,3}}(```|~~~)', 1), '') AS mark FROM lines),
-state AS (
-  SELECT doc, line, text, mark IS NOT NULL AS in_fence, coalesce(mark, '') AS open FROM marks WHERE line = 0
-  UNION ALL
-  SELECT m.doc, m.line, m.text, s.open <> '' OR m.mark IS NOT NULL, CASE WHEN m.mark IS NULL THEN s.open WHEN s.open = '' THEN m.mark WHEN s.open = m.mark THEN '' ELSE s.open END
-  FROM state s JOIN marks m ON m.doc = s.doc AND m.line = s.line + 1)
+{MD_SQL.strip()},
+marks AS (SELECT *, CASE regexp_extract(text, '^ {{0,3}}(```|~~~)', 1) WHEN '```' THEN '1' WHEN '~~~' THEN '2' END AS mark FROM lines),
+folds AS (SELECT doc, list_reduce(list(mark ORDER BY line), lambda s, m: s || CASE WHEN s[-1] = '0' THEN m WHEN s[-1] = m THEN '0' ELSE s[-1] END, '0') AS states FROM marks WHERE mark IS NOT NULL GROUP BY doc),
+counted AS (SELECT *, coalesce(count(mark) OVER (PARTITION BY doc ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM marks),
+state AS (SELECT c.doc, c.line, c.text, coalesce(substr(f.states, before + 1, 1), '0') <> '0' OR mark IS NOT NULL AS in_fence FROM counted c LEFT JOIN folds f ON c.doc = f.doc)
 """
+
+
+def visible_sql(x: str) -> str:
+    """``visible_markdown`` as DuckDB writes it."""
+    x = rf"regexp_replace(regexp_replace({x}, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', ' ', 'g')"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{sign}')"
+    return squeeze_sql(f"regexp_replace({x}, '`|\\*\\*|__', '', 'g')")
+
+
 SECTION_SQL = rf"""
-RECURSIVE {FENCE_SQL.strip()},
+{FENCE_SQL.strip()},
 free AS (SELECT doc, line, text FROM state WHERE NOT in_fence),
 ev AS (SELECT doc, line, length(regexp_extract(text, '^(#{{1,6}})[ \t]+\S', 1)) AS level,
-    regexp_replace(regexp_replace(text, '^#{{1,6}}[ \t]+', ''), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS heading FROM free),
+    {visible_sql(squeeze_sql(r"regexp_replace(regexp_replace(text, '^#{1,6}[ \t]+', ''), '[ \t]+#+[ \t]*$', '')"))} AS heading FROM free),
 h AS (SELECT * FROM ev WHERE level > 0),
 p AS (SELECT *, lead(line) OVER (PARTITION BY doc ORDER BY line) AS next_line,
     {", ".join(f"last_value(CASE WHEN level <= {k} THEN {{'lv': level, 'hd': heading}} END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a{k}" for k in range(2, 6))}
@@ -187,11 +175,11 @@ SELECT ((doc_id % 20) + 20) % 20 AS part, count(*) AS chunks, count_if(sha256(ch
 
 
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.sections(markdown_lines(spark)).withColumn("heading_path", F.array_join("heading_path", " > "))
+    return chunk.sections(markdown_lines(spark, sf_dir)).withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
 def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunk.section_chunks(chunk.sections(markdown_lines(spark)))
+    c = chunk.section_chunks(chunk.sections(markdown_lines(spark, sf_dir)))
     return c.select("doc", "section_index", "subchunk_index", "token_start", "token_end", "token_count", "text_sha256", "chunk_id")
 
 
@@ -208,13 +196,7 @@ SELECT doc, section_index, subchunk_index, token_start, token_end, token_end - t
 
 def section_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each section's span in its document's token sequence."""
-    lines = markdown_lines(spark)
-    w = W.partitionBy("doc").orderBy("line")
-    n = F.size(T.whitespace_tokens(F.col("text")))
-    at = lines.select(F.col("doc").alias("d"), F.col("line").alias("l"), n.alias("n"), (F.sum(n).over(w) - n).alias("start"))
-    s = chunk.sections(lines)
-    j = s.join(at, (F.col("doc") == F.col("d")) & F.col("l").between(F.col("first_line") + 1, F.col("last_line")))
-    return j.groupBy("doc", "section_index").agg(F.min("start").alias("token_start"), F.max(F.col("start") + F.col("n")).alias("token_end"))
+    return chunk.section_offsets(markdown_lines(spark, sf_dir))
 
 
 SECTION_OFFSETS_SQL = f"""
@@ -226,7 +208,7 @@ FROM secs s JOIN t ON t.doc = s.doc AND t.line BETWEEN s.first_line + 1 AND s.la
 
 
 def code_fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.fence_state(markdown_lines(spark))
+    return chunk.fence_state(markdown_lines(spark, sf_dir))
 
 
 def chunk_section_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +442,7 @@ SQL = {
     "chunk_section_overlap": CHUNK_SECTION_SQL,
     "duplicate_docs_exact": DUP.format("text", "WHERE text IS NOT NULL"),
     "duplicate_docs_body": DUP.format("trim(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT (starts_with(x, '# ') OR starts_with(x, 'Source: '))), chr(10)))", ""),
-    "code_fence_state": f"WITH RECURSIVE {FENCE_SQL} SELECT doc, line, text, in_fence FROM state",
+    "code_fence_state": f"WITH {FENCE_SQL} SELECT doc, line, text, in_fence FROM state",
     "duplicate_members": "SELECT sha256(text) AS digest, doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)",
     "idset_digest": "WITH h AS (SELECT source, sha256(doc_id::VARCHAR || ':' || sha256(text)) AS h FROM documents) SELECT source, count(*) AS n, sha256(count(*)::VARCHAR || ':' || sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 31, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 46, 15))::HUGEINT)::VARCHAR) AS digest FROM h GROUP BY source",
     "ordered_digest": DIGEST_SQL + " SELECT source, n, digest FROM t",
