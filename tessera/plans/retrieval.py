@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import index, lexical, ranking, runs, vector
+from tessera.operators import cells, index, lexical, ranking, runs, vector
 from tessera.sources import tables
 
 from . import corpus
@@ -146,6 +146,32 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_in_key(v, query_rows(v)).withColumn("score", F.round("score", 6))
 
 
+def stored_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The cell index of all valid labelled vectors, verified."""
+    v = vectors(spark, sf_dir).select("id", "key", "v").where("v is not null")
+    found = cells.stored(v, "embeddings-by-label")
+    cells.verify(found, 64, v.count())
+    return found
+
+
+def dense_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``dense_topk_filtered`` through the cell index, all cells asked."""
+    found = stored_cells(spark, sf_dir)
+    q = query_rows(vectors(spark, sf_dir)).where("v is not null")
+    return cells.search(found, q, probes=len(found.centroids)).withColumn("score", F.round("score", 6))
+
+
+def cell_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query through the cells that it asks as calibrated: how many of its true five nearest it finds, and the index's cells and probes."""
+    found = stored_cells(spark, sf_dir)
+    v = vectors(spark, sf_dir)
+    exact = vector.top_in_key(v, query_rows(v)).select(F.col("qid").alias("q"), F.col("id").alias("i"))
+    some = cells.search(found, query_rows(v).where("v is not null")).select("qid", "id")
+    j = exact.join(some, (F.col("q") == F.col("qid")) & (F.col("i") == F.col("id")), "left")
+    g = j.groupBy(F.col("q").alias("qid")).agg(F.count(F.lit(1)).alias("nearest"), F.count("id").alias("found"))
+    return g.select("*", (F.col("found") / F.col("nearest")).alias("recall"), F.lit(found.meta["cells"]).alias("cells"), F.lit(found.meta["probes"]).alias("probes"))
+
+
 E_SQL = "e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL), qv AS (SELECT * FROM e WHERE id % 100 = 0)"
 COS = "round(list_cosine_similarity(e.v, q.v), 9)"
 DENSE_SQL = f"{E_SQL}, de AS (SELECT q.id AS qid, e.id, {COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {COS} DESC, e.id)::INT AS rank FROM qv q JOIN e ON e.label = q.label AND e.id <> q.id QUALIFY rank <= 5)"
@@ -309,7 +335,7 @@ SELECT f.user_id, f.chosen, count_if(f.at IS NULL OR e.event_id < f.at) AS rejec
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_topk, rerank_reorder, rank_metrics, rank_metrics_by_slice, variant_failures, dense_topk_filtered, vector_validity, rrf_topk,
+        bm25_stats, bm25_topk, rerank_reorder, rank_metrics, rank_metrics_by_slice, variant_failures, dense_topk_filtered, dense_topk_cells, cell_index_recall, vector_validity, rrf_topk,
         score_margin_hardest, paired_comparison, ablation_decision, model_selection, latency_nearest_rank, round_robin_schedule, rank_trace_recompute, first_acceptable_event,
     )
 }
@@ -323,6 +349,7 @@ SQL = {
     "rank_metrics_by_slice": f"WITH {BM25_SQL}, {FIRST_SQL} SELECT lang, source, {METRICS}, CASE WHEN grouping(lang) = 1 AND grouping(source) = 1 THEN 'overall' WHEN grouping(source) = 1 THEN 'lang' ELSE 'source' END AS scope FROM fr GROUP BY GROUPING SETS ((), (lang), (source))",
     "variant_failures": VARIANT_SQL,
     "dense_topk_filtered": f"WITH {DENSE_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM de",
+    "dense_topk_cells": f"WITH {DENSE_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM de",
     "vector_validity": "SELECT label, count(*) AS vectors, count_if(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) AS valid, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 5) AS mean_norm FROM embeddings GROUP BY label",
     "rrf_topk": RRF_SQL,
     "score_margin_hardest": HARDEST_SQL,
