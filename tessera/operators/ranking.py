@@ -54,11 +54,6 @@ def hardest(rows: DataFrame, n: int = 5) -> DataFrame:
     return rows.orderBy(F.col("first_rank").isNull().desc(), F.coalesce("first_rank", F.lit(MISS)).desc(), F.col("margin").asc_nulls_last(), "qid").limit(n)
 
 
-def nearest_rank(value: str) -> list[Column]:
-    """min, median, p95 by nearest rank (no interpolation) and max."""
-    return [F.min(value).alias("min"), F.median(value).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.max(value).alias("max")]
-
-
 def select_model(models: DataFrame) -> DataFrame:
     """The eligible model with the lowest p95, then the highest structured rate, the lowest generation p95 (null last), the first in order."""
     return models.where("eligible").orderBy("p95", F.desc("structured_rate"), F.col("generation_p95").asc_nulls_last(), "position").limit(1)

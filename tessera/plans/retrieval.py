@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import cells, index, lexical, ranking, runs, vector
+from tessera.operators import cells, index, lexical, ranking, runs, selection, vector
 from tessera.sources import tables
 
 from . import corpus
@@ -261,7 +261,7 @@ def ablation_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
         first = ranking.first_relevant(ranked, q, good).select(F.lit(name).alias("variant"), F.lit(place).alias("complexity"), "qid", (F.coalesce("first_rank", F.lit(ranking.MISS)) == 1).alias("ok"))
         judged = first if judged is None else judged.unionByName(first)
     judged = tables.written(judged, "runs")
-    p95 = read(spark, sf_dir, "events").groupBy("event_type").agg(ranking.nearest_rank("value")[2])
+    p95 = selection.nearest_ranks(read(spark, sf_dir, "events"), ["event_type"], "value", {"p95": 0.95})
     p95 = p95.select((F.row_number().over(W.orderBy("event_type")) - 1).alias("place"), "p95")  # one row an event type
     return ranking.decide(judged, "dense", p95)
 
@@ -296,7 +296,12 @@ SELECT * FROM m WHERE eligible ORDER BY p95, structured_rate DESC, generation_p9
 
 def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("value") > 5).alias("answered"), *ranking.nearest_rank("value"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value) FILTER (WHERE value > 5)").alias("answered_p95"))
+    counts = e.groupBy(F.col("event_type").alias("t")).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("value") > 5).alias("answered"))
+    scopes = e.select("event_type", "value", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("value") > 5, "answered")))).alias("scope"))
+    ranks = selection.nearest_ranks(scopes, ["event_type", "scope"], "value", {"p95": 0.95})
+    every = {c: F.max(F.when(F.col("scope") == "all", F.col(c))).alias(c) for c in ("min", "median", "p95", "max")}
+    ranks = ranks.groupBy("event_type").agg(*every.values(), F.max(F.when(F.col("scope") == "answered", F.col("p95"))).alias("answered_p95"))
+    return counts.join(ranks, F.col("t").eqNullSafe(F.col("event_type")), "left").select(F.col("t").alias("event_type"), "attempts", "answered", *every, "answered_p95")
 
 
 def round_robin_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

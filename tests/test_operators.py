@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import ground, html, integrity, lexical, providers, ranking, vector
+from tessera.operators import ground, html, integrity, lexical, providers, ranking, selection, vector
 from tessera.sources import manifest, sinks
 
 
@@ -27,7 +27,8 @@ def test_rrf_and_ranks(spark):
     first = spark.createDataFrame([(1, 1), (2, 2), (3, 5), (4, None)], "qid int, first_rank int")
     m = first.agg(*ranking.metric_columns(F.col("first_rank"))).first()
     assert (m["precision_at_1"], m["mrr"], m["hits_at_5"]) == (0.25, 0.425, 3)
-    ranks = spark.createDataFrame([(float(i),) for i in range(1, 21)], "x double").agg(*ranking.nearest_rank("x")).first()
+    ranks = spark.createDataFrame([(float(i),) for i in range(1, 21)], "x double")
+    ranks = selection.nearest_ranks(ranks, [], "x", {"p95": 0.95}).first()
     assert (ranks["p95"], ranks["median"]) == (19, 10.5)
 
 
