@@ -25,29 +25,18 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
 def upsert_vectors(spark: SparkSession, path: str, batch: DataFrame, namespace: str, key: str = "vec_id") -> int:
     """Write a batch into a namespace of a vector table; rows with its keys are replaced. Returns the number written.
 
-    The namespace is read, merged and written as a new version, then named current, so a
-    failure leaves the old version.
+    The batch alone is written, as a new version of the namespace; a failure leaves the old one.
     """
-    from tessera.operators.ground import upsert
-
-    root = f"{path}/namespace={namespace}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-    merged = upsert(spark.read.parquet(f"{root}/{versions[-1]}"), batch, key) if versions else batch
-    name = f"v{len(versions):08d}"
-    merged.write.parquet(f"{root}/.{name}")
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/.{name}"), jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"))
-    return batch.count()
-
-
-def read_vectors(spark: SparkSession, path: str, namespace: str) -> DataFrame:
-    """The current version of a namespace."""
-    root = f"{path}/namespace={namespace}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(f"{root}/{max(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith('.'))}")
+    from . import versions
+
+    return versions.upsert(spark, f"{path}/namespace={namespace}", batch, key)
+
+
+def read_vectors(spark: SparkSession, path: str, namespace: str, key: str = "vec_id", version: int | None = None) -> DataFrame:
+    """A namespace as of a version, by default the newest."""
+    from . import versions
+
+    return versions.read_keyed(spark, f"{path}/namespace={namespace}", key, version)
 
 
 def leaks(df: DataFrame) -> DataFrame:
