@@ -30,7 +30,7 @@ from tessera.sources import tables
 
 from .lexical import K1, TOP, B, corpus_stats, first_ids, idf, lengths
 
-BLOCK, BUCKETS, SEEDS = 128, 64, 1
+BLOCK, BUCKETS, SEEDS = 256, 64, 2
 SLACK = 1e-6  # between a sum of maxima and a sum of weights
 
 
@@ -53,7 +53,7 @@ class Index:
     def read(cls, spark: SparkSession, path: str) -> Index:
         docs = spark.read.parquet(f"{path}/docs")
         kind = {f.name: f.dataType.simpleString() for f in docs.schema}
-        found = f"array<struct<id: {kind['id']}, tf: bigint, n: int>>"
+        found = f"array<struct<id: {kind['id']}, tf: int, n: int>>"
         schema = f"term string, key {kind['key']}, block bigint, found {found}, most double, size int, bucket int"  # no postings leave no file to read it from
         return cls(docs, spark.read.schema(schema).parquet(f"{path}/postings"), *(spark.read.parquet(f"{path}/{t}") for t in ("terms", "stats")))
 
@@ -61,23 +61,26 @@ class Index:
 def build(docs: DataFrame, path: str) -> None:
     """Write the index of rows (id, key, text) to a folder that does not exist yet. Null texts are empty; null keys are a key that no query has."""
     spark = docs.sparkSession
-    lens = tables.written(lengths(docs), "tokenised")
-    sizes = lens.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = docs.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    lens = lengths(docs).withColumn("tokens", F.array_sort("tokens"))
     dealt = lens.join(sizes, F.col("key").eqNullSafe(F.col("k"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("k", "blocks")
-    dealt.write.parquet(f"{path}/docs")
-    tables.release(lens)
+    tables.write(dealt, f"{path}/docs")
     lens = spark.read.parquet(f"{path}/docs")
-    corpus_stats(lens).coalesce(1).write.parquet(f"{path}/stats")  # one row
+    tables.write(corpus_stats(lens).coalesce(1), f"{path}/stats")  # one row
     stats = spark.read.parquet(f"{path}/stats")
+    # a document's terms and counts from its sorted tokens, so each is one row before the shuffle; columns, as lambdas work out what is in them for each element
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    runs = lens.where("n > 0").select("id", "key", "n", "block", "tokens", starts.alias("starts"))
+    terms = F.transform("starts", lambda a, k: F.struct(F.get("tokens", a).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("n")) - a).alias("tf")))
     place = ["bucket", "term", "key", "block"]
-    # dealt by range once: the sums and lists by these columns need no further shuffle, and files are sorted by term
-    each = lens.select("id", "key", "n", "block", F.explode("tokens").alias("term")).withColumn("bucket", bucket(F.col("term"))).repartitionByRange(*place)
-    tf = each.groupBy(*place, "id", "n").agg(F.count(F.lit(1)).alias("tf")).crossJoin(F.broadcast(stats))  # one row
-    rows = tf.groupBy(*place).agg(
+    each = runs.select("id", "key", "n", "block", F.inline(terms)).withColumn("bucket", bucket(F.col("term")))
+    # dealt by range once: the lists by these columns need no further shuffle, and files are sorted by folder and term
+    each = each.repartitionByRange(*place).crossJoin(F.broadcast(stats))  # one row
+    rows = each.groupBy(*place).agg(
         F.collect_list(F.struct("id", "tf", "n")).alias("found"), F.max(weight(F.col("tf"), F.col("n"), F.col("avgdl"))).alias("most"), F.count(F.lit(1)).cast("int").alias("size")
     )  # a block's documents
-    rows.sortWithinPartitions(*place).write.partitionBy("bucket").parquet(f"{path}/postings")
-    spark.read.schema("term string, size int, bucket int").parquet(f"{path}/postings").groupBy("term").agg(F.sum("size").alias("df")).write.parquet(f"{path}/terms")
+    tables.write(rows.sortWithinPartitions(*place), f"{path}/postings", ["bucket"])
+    tables.write(spark.read.schema("term string, size int, bucket int").parquet(f"{path}/postings").groupBy("term").agg(F.sum("size").alias("df")), f"{path}/terms")
 
 
 def version(files: DataFrame) -> str:
