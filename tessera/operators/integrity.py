@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import tables
 
 
 def duplicate_groups(rows: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
@@ -70,6 +71,54 @@ def gate(pins: DataFrame, now: DataFrame, key: str) -> DataFrame:
     )
 
 
+FAN = 4  # bits of a place that a level of a digest tree takes
+
+
+def digest_tree(rows: DataFrame, width: int = 1024) -> DataFrame:
+    """level, node, n, digest of rows (key long, digest): leaves are ranges of ``width`` keys, a node is of 2 ** FAN nodes below; the top is one node for keys of one sign.
+
+    A leaf's digest is of its rows' keys and digests in order; rows that repeat a key count each.
+    """
+    line = F.format_string("%d:%s", "key", "digest")
+    level = rows.select(F.floor(F.col("key") / width).alias("node"), line.alias("line")).groupBy("node").agg(F.count(F.lit(1)).alias("n"), T.sha256(F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("digest"))
+    tree, depth = tables.written(level, "leaves"), 0
+    out = tree.select(F.lit(0).alias("level"), "node", "n", "digest")
+    while tree.count() > 2:  # at most 16 levels
+        depth += 1
+        below = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "digest"))), lambda x: F.format_string("%d:%s", x["node"], x["digest"])), "\n")
+        tree = tables.written(tree.groupBy(F.shiftright("node", FAN).alias("up")).agg(F.sum("n").alias("n"), T.sha256(below).alias("digest")).withColumnRenamed("up", "node"), "level")
+        out = out.unionByName(tree.select(F.lit(depth).alias("level"), "node", "n", "digest"))
+    return out
+
+
+def differing_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Leaves (node) that differ between two digest trees, found from the top down: only children of nodes that differ are looked at."""
+    depth = a.agg(F.max("level")).unionByName(b.agg(F.max("level"))).agg(F.max("max(level)")).first()[0] or 0
+    wrong = None
+    for level in range(depth, -1, -1):
+        x, y = (t.where(F.col("level") == level).select(F.col("node").alias(n), F.col("digest").alias(d)) for t, n, d in ((a, "x", "dx"), (b, "y", "dy")))
+        if wrong is not None:
+            x, y = (t.join(wrong.withColumnRenamed("node", "up"), F.shiftright(n, FAN) == F.col("up"), "left_semi") for t, n in ((x, "x"), (y, "y")))
+        j = x.join(y, F.col("x") == F.col("y"), "full_outer").where(~F.col("dx").eqNullSafe(F.col("dy")))
+        found = j.select(F.coalesce("x", "y").alias("node"))
+        # where one tree is not as high as the other, all of its nodes are looked at
+        low = level > min(t.agg(F.max("level")).first()[0] or 0 for t in (a, b))
+        wrong = None if low else tables.written(found, "differing")
+    return wrong
+
+
+def changed_rows(pinned: DataFrame, now: DataFrame, trees: tuple[DataFrame, DataFrame] | None = None, width: int = 1024) -> DataFrame:
+    """key, status (changed, lost, added) of rows (key, digest) of two versions; only the key ranges that differ are compared. Null keys are in neither."""
+    pinned, now = pinned.where("key is not null"), now.where("key is not null")
+    a, b = trees or (digest_tree(pinned, width), digest_tree(now, width))
+    leaves = differing_leaves(a, b)
+    x, y = (r.join(leaves, F.floor(F.col("key") / width) == F.col("node"), "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("digest")).alias("d")) for r in (pinned, now))
+    x, y = x.select(F.col("key").alias("k"), F.col("d").alias("before")), y.select("key", F.col("d").alias("after"))
+    j = x.join(y, F.col("k") == F.col("key"), "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+    status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "lost").otherwise("changed")
+    return j.select(F.coalesce("k", "key").alias("key"), status.alias("status"))
+
+
 def coverage(required: DataFrame, available: DataFrame, group: str, item: str) -> DataFrame:
     """Per group the number of required items and those present and missing."""
     have = available.select(group, item).distinct().withColumn("_have", F.lit(True))

@@ -262,6 +262,17 @@ def frozen_input_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = integrity.ordered_digest(docs.withColumn("text", F.when(F.col("doc_id") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), "source", line, F.pmod("doc_id", F.lit(256)))
     return integrity.gate(pins, now, "source")
 
+
+def frozen_rows_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of documents pinned, and compared after doc_id 7 has changed, every 100th from 50 on is gone and doc_id -1 is new: doc_id and what became of it."""
+    digest = T.sha256(F.concat_ws("\n", F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))).alias("digest")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", "text")
+    pins = tables.written(docs.select("key", digest).sortWithinPartitions("key"), "pins")
+    now = docs.where("key % 100 <> 50").withColumn("text", F.when(F.col("key") == 7, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    now = now.select("key", digest).unionByName(spark.sql("select -1L as key, 'new' as digest"))
+    return integrity.changed_rows(pins, tables.written(now, "now")).select(F.col("key").alias("doc_id"), "status")
+
+
 def idset_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.parity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
 
@@ -420,7 +431,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_scan_validated, chunk_fixed_220_40, chunk_tokens_220_40, canonical_json, chunk_stats, chunk_overlap_check, chunk_registry_constraints, heading_sections, heading_chunks, section_token_offsets,
-        code_fence_state, chunk_section_overlap, duplicate_docs_exact, duplicate_docs_body, duplicate_members, idset_digest, ordered_digest, frozen_input_gate, idset_parity, file_reconciliation, required_coverage,
+        code_fence_state, chunk_section_overlap, duplicate_docs_exact, duplicate_docs_body, duplicate_members, idset_digest, ordered_digest, frozen_input_gate, frozen_rows_gate, idset_parity, file_reconciliation, required_coverage,
         token_multiset_coverage, document_token_coverage, quote_containment, quality_rollup, redact_pii, whitespace_preview, unicode_normalize, unicode_clean,
         url_allowlist, notebook_family_counts, html_blocks, html_markdown, html_quality_problems, visible_markdown,
     )
@@ -447,6 +458,7 @@ SQL = {
     "idset_digest": "WITH h AS (SELECT source, sha256(doc_id::VARCHAR || ':' || sha256(text)) AS h FROM documents) SELECT source, count(*) AS n, sha256(count(*)::VARCHAR || ':' || sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 31, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 46, 15))::HUGEINT)::VARCHAR) AS digest FROM h GROUP BY source",
     "ordered_digest": DIGEST_SQL + " SELECT source, n, digest FROM t",
     "frozen_input_gate": DIGEST_SQL + ", c AS (SELECT DISTINCT source FROM documents WHERE doc_id = 0 AND text IS NOT NULL) SELECT count(*) AS pinned, (SELECT count(*) FROM c) AS changed, 0::BIGINT AS lost, 0::BIGINT AS added, coalesce((SELECT string_agg(coalesce(source, 'null'), ',' ORDER BY source) FROM c), '') AS changed_ids FROM t",
+    "frozen_rows_gate": "SELECT doc_id, 'changed' AS status FROM documents WHERE doc_id = 7 UNION ALL SELECT doc_id, 'lost' FROM documents WHERE doc_id % 100 = 50 UNION ALL SELECT -1, 'added'",
     "idset_parity": "SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)",
     "file_reconciliation": "WITH a AS (SELECT printf('doc_%08d.md', doc_id) AS name FROM documents), b AS (SELECT printf('doc_%08d.md', doc_id) AS name FROM labels), p AS (SELECT name, 'missing' AS side FROM (SELECT name FROM a EXCEPT SELECT name FROM b) UNION ALL SELECT name, 'extra' FROM (SELECT name FROM b EXCEPT SELECT name FROM a)) SELECT side, count(*) AS files, min(name) AS first_name, max(name) AS last_name FROM p GROUP BY side",
     "required_coverage": "WITH d AS (SELECT DISTINCT lang, source FROM documents), r AS (SELECT * FROM (SELECT DISTINCT lang FROM d), (SELECT DISTINCT source FROM d UNION ALL SELECT 'srcX')) SELECT r.lang, count(*) AS required, count(d.source) AS present, count(*) - count(d.source) AS missing, coalesce(string_agg(CASE WHEN d.source IS NULL THEN r.source END, ',' ORDER BY r.source), '') AS missing_items FROM r LEFT JOIN d ON r.lang = d.lang AND r.source = d.source GROUP BY r.lang",

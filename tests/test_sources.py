@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunk, runs, tokenwindows
-from tessera.sources import contracts, manifest, publish, sinks, tables
+from tessera.sources import contracts, manifest, publish, sinks, tables, versions
 from tessera.sources.manifest import ContractError
 
 
@@ -133,15 +133,45 @@ def test_charsets(spark):
     assert got[90] == b"\x81\xff undecodable as either".decode("utf-8", "replace") and got[91] is None and got[92] == ""
 
 
-def test_attempts_and_first_acceptable(spark):
+class Stopped(BaseException):
+    pass
+
+
+def test_a_stopped_run_is_resumed(spark, tmp_path, monkeypatch):
+    """Errors become rows; models take turns; a run that is stopped between waves has each attempt once when it is resumed."""
+
     def call(model, case):
         if model == "bad":
             raise TimeoutError
         return f"{model}:{case}"
 
-    rows = runs.attempts(spark, ["good", "bad"], ["c1", "c2"], call, runs=2, clock=iter(range(1000)).__next__).collect()
-    assert len(rows) == 8 and {(r["model"], r["status"], r["error"]) for r in rows} == {("good", "ok", None), ("bad", "error", "TimeoutError")}
-    assert [r["model"] for r in rows][:4] == ["good", "bad", "bad", "good"] and all(r["seconds"] == 1 for r in rows)
+    cases = spark.createDataFrame([(f"c{i}", i) for i in range(6)] + [("c0", 0), (None, 7)], "case_id string, case_no long")
+    plain, left = versions.upsert, [2]
+
+    def failing(*a):
+        left[0] -= 1
+        if left[0] < 0:
+            raise Stopped
+        return plain(*a)
+
+    monkeypatch.setattr(versions, "upsert", failing)
+    root = str(tmp_path / "ledger")
+    with pytest.raises(Stopped):
+        runs.run_cases(spark, root, cases, ["good", "bad"], call, runs=2, wave=2)
+    assert runs.ledger(spark, root).count() == 16
+    monkeypatch.undo()
+    for _ in range(2):  # the second time there is nothing left to do
+        rows = runs.run_cases(spark, root, cases, ["good", "bad"], call, runs=2, wave=2).orderBy("turn").collect()
+        assert versions.current(spark, root) == 3
+    assert len(rows) == 24 and len({(r["model"], r["case_id"], r["run"]) for r in rows}) == 24
+    assert {(r["model"], r["status"], r["error"]) for r in rows} == {("good", "ok", None), ("bad", "error", "TimeoutError")}
+    assert all(r["value"] == (f"good:{r['case_id']}" if r["model"] == "good" else None) for r in rows)
+    first = [r["model"] for r in rows][::2]
+    assert first == ["good", "bad"] * 3 + ["bad", "good"] * 3
+    assert runs.run_cases(spark, str(tmp_path / "none"), cases.where("false"), ["good"], call).count() == 0
+
+
+def test_first_acceptable_and_probe(spark):
     c = spark.createDataFrame([("x", 1, "a", False), ("x", 2, "b", True), ("x", 3, "c", True), ("y", 1, "a", False), (None, 1, "q", True)], "g string, o int, m string, ok boolean")
     got = {r["g"]: (r["chosen"], r["rejected"]) for r in runs.first_acceptable(c, "g", "o", "m").collect()}
     assert got == {"x": ("b", 1), "y": (None, 1), None: ("q", 0)}
