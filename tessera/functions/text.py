@@ -111,3 +111,9 @@ def contains_literally(text: Column, quote: Column, min_chars: int = 20, min_wor
     """Whether a quote of enough length stands in a text, white space aside."""
     q = squeeze(quote)
     return F.contains(squeeze(text), q) & (F.length(q) >= min_chars) & (F.size(F.split(q, " ")) >= min_words)
+
+
+def utc_timestamp(at: Column | None = None) -> Column:
+    """A point in time (by default now) as ISO 8601 in UTC with a Z, whatever the session's time zone; whole seconds."""
+    at = F.current_timestamp() if at is None else at
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -11,7 +11,7 @@ from tessera.operators import cells, index, lexical, ranking, runs, selection, v
 from tessera.sources import tables
 
 from . import corpus
-from .common import read
+from .common import read, squeeze_sql
 
 TOK = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')"
 
@@ -83,6 +83,21 @@ SELECT qid, id, prior_rank, round(ov, 6) AS overlap, row_number() OVER (PARTITIO
 """
 
 
+def trace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of each ranking: rank, source, first line, score, 420 characters of the document."""
+    ranked = bm25_ranking(spark, sf_dir)[0]
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "source", "text")
+    j = ranked.join(docs, F.col("id") == F.col("d"))
+    heading = T.preview(F.split("text", "\n")[0], 80)
+    return j.select("qid", "rank", "id", F.col("source").alias("code"), heading.alias("heading"), F.round("score", 4).alias("similarity"), T.preview(F.col("text"), 420).alias("preview"))
+
+
+TRACE_SQL = f"""
+WITH {BM25_SQL} SELECT b.qid, b.rank, b.id, d.source AS code, substr({squeeze_sql("string_split(d.text, chr(10))[1]")}, 1, 80) AS heading, round(b.score, 4) AS similarity,
+  substr({squeeze_sql("d.text")}, 1, 420) AS preview FROM bm b JOIN documents d ON d.doc_id = b.id
+"""
+
+
 def bm25_first(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     r, q, _ = bm25_ranking(spark, sf_dir)
     return ranking.first_relevant(r, q, F.col("id") == F.col("expected")), q
@@ -340,7 +355,7 @@ SELECT f.user_id, f.chosen, count_if(f.at IS NULL OR e.event_id < f.at) AS rejec
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_topk, rerank_reorder, rank_metrics, rank_metrics_by_slice, variant_failures, dense_topk_filtered, dense_topk_cells, cell_index_recall, vector_validity, rrf_topk,
+        bm25_stats, bm25_topk, trace_table, rerank_reorder, rank_metrics, rank_metrics_by_slice, variant_failures, dense_topk_filtered, dense_topk_cells, cell_index_recall, vector_validity, rrf_topk,
         score_margin_hardest, paired_comparison, ablation_decision, model_selection, latency_nearest_rank, round_robin_schedule, rank_trace_recompute, first_acceptable_event,
     )
 }
@@ -349,6 +364,7 @@ SQL = {
     "first_acceptable_event": FIRST_OK_SQL,
     "bm25_stats": f"WITH {BM25_SQL} SELECT term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st",
     "bm25_topk": f"WITH {BM25_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM bm",
+    "trace_table": TRACE_SQL,
     "rerank_reorder": RERANK_SQL,
     "rank_metrics": f"WITH {BM25_SQL}, {FIRST_SQL} SELECT {METRICS} FROM fr",
     "rank_metrics_by_slice": f"WITH {BM25_SQL}, {FIRST_SQL} SELECT lang, source, {METRICS}, CASE WHEN grouping(lang) = 1 AND grouping(source) = 1 THEN 'overall' WHEN grouping(source) = 1 THEN 'lang' ELSE 'source' END AS scope FROM fr GROUP BY GROUPING SETS ((), (lang), (source))",

@@ -47,6 +47,32 @@ def records(df: DataFrame, id_col: str, fields: Iterable[str], ids: Iterable[str
     return wrong
 
 
+def catalog(df: DataFrame, unique: Iterable[str], values: Mapping[str, str], prefixes: Mapping[str, str], n: int, files: str | None = None, suffix: str = ".pdf") -> list[str]:
+    """What a catalogue of ``n`` rows breaks of its contract, as messages.
+
+    Its columns are those named here, no more and no less. unique: columns that are neither blank
+    nor repeated; values: columns with one value; prefixes: columns that begin so; files: a
+    column of plain file names with this suffix (of any case).
+    """
+    unique, n_rows = list(unique), df.count()
+    named = {*unique, *values, *prefixes, *([files] if files else [])}
+    if set(df.columns) != named:
+        return [f"columns are {sorted(df.columns)}"]
+    wrong = [f"{n_rows} rows instead of {n}"] * (n_rows != n)
+    for c in unique:
+        bad = df.groupBy(F.trim(c).alias("v")).count().where((F.col("count") > 1) | F.coalesce(F.col("v") == "", F.lit(True))).count()
+        wrong += [f"{c} is blank or repeated"] * (bad > 0)
+    rules = {c: F.col(c) == v for c, v in values.items()} | {c: F.startswith(F.trim(c), F.lit(p)) for c, p in prefixes.items()}
+    for c, rule in rules.items():
+        bad = df.where(~F.coalesce(rule, F.lit(False))).count()
+        wrong += [f"{c} is wrong in {bad} rows"] * (bad > 0)
+    if files:
+        fine = F.col(files).rlike(r"^[^/\\\x00]+$") & ~F.col(files).isin(".", "..") & F.endswith(F.lower(files), F.lit(suffix))
+        bad = df.where(~F.coalesce(fine, F.lit(False))).count()
+        wrong += [f"{files} is no file name in {bad} rows"] * (bad > 0)
+    return wrong
+
+
 def heading_registry(chunks: DataFrame, strategy: str = "heading_220_40", size: int = 220, overlap: int = 40) -> DataFrame:
     """Rows of a registry of section chunks that break its rules, with the rule's name: ids and digests derived anew, spans, totals, overlaps.
 

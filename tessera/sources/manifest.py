@@ -17,10 +17,11 @@ class ContractError(ValueError):
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV file with a header; every value a string without outer white space (of any kind), null empty.
 
-    Raises ContractError if a column is missing or there are no rows. A byte-order mark is
-    skipped by the reader.
+    Values in quotes may hold line ends, and quotes that are doubled; a backslash is a character
+    as any other. Raises ContractError if a column is missing or there are no rows. A
+    byte-order mark is skipped by the reader.
     """
-    df = spark.read.csv(path, header=True, inferSchema=False)
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"')
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ContractError(f"missing columns: {', '.join(missing)}")

@@ -150,3 +150,20 @@ def test_answer_flow(spark):
         status = "too_long" if len(text or "") > 4000 else "clarify" if code is None else "refuse" if reason or code not in docs else "answer"
         assert (got[qid]["status"], got[qid]["code"], got[qid]["reason"]) == (status, code, reason), text
         assert got[qid]["answer"] == (docs[code][1] + " [C1]" if status == "answer" else None)
+
+
+def test_chunk_tokens(spark):
+    """All windows of 220 tokens, 40 of them shared, against ids from the library that made the file."""
+    from tokenizers import Tokenizer
+
+    from tessera.operators import tokenwindows
+
+    library = Tokenizer.from_file(tokenwindows.default_path())
+    got: dict = {}
+    for r in collect(spark, "chunk_tokens_220_40"):
+        got.setdefault(r["doc_id"], []).append((r["ordinal"], r["token_start"], r["token_end"], r["token_count"]))
+    for i, t in rows("select doc_id, text from documents"):
+        n = len(library.encode(t, add_special_tokens=False).ids) if t and t.strip() else 0
+        spans = [(s, min(s + 220, n)) for s in range(0, max(n - 40, 1), 180)] if n else []
+        assert [(a, b) for _, a, b, _ in sorted(got.get(i, []))] == spans
+        assert all(c <= 220 and o == k for k, (o, _, _, c) in enumerate(sorted(got.get(i, []))))

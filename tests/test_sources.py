@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import chunk, runs, tokenwindows
 from tessera.sources import contracts, manifest, publish, sinks, tables, versions
 from tessera.sources.manifest import ContractError
@@ -203,3 +206,29 @@ def test_token_windows(spark):
 def test_written_tables(spark):
     df = tables.written(spark.createDataFrame([(1, "a")], "x int, y string"), "t")
     assert [tuple(r) for r in df.collect()] == [(1, "a")]
+
+
+def test_csv_quotes_and_line_ends(spark, tmp_path):
+    (tmp_path / "m.csv").write_bytes('\ufeffid,text\r\n1,"a ""quoted"" word"\r\n2,"two\nlines, one value"\r\n3, back\\slash \r\n4,\r\n'.encode())
+    assert [tuple(r) for r in manifest.read_csv(spark, str(tmp_path / "m.csv"), ["id", "text"]).collect()] == [("1", 'a "quoted" word'), ("2", "two\nlines, one value"), ("3", "back\\slash"), ("4", "")]
+
+
+def test_catalog(spark):
+    kinds = "code string, file string, url string, language string"
+    rule = {"unique": ["code", "file"], "values": {"language": "English"}, "prefixes": {"url": "https://example.org/"}, "n": 2, "files": "file"}
+    good = [("A", "a.pdf", "https://example.org/a", "English"), ("B", "b.PDF", "https://example.org/b", "English")]
+    assert contracts.catalog(spark.createDataFrame(good, kinds), **rule) == []
+    bad = [("A", "../a.pdf", "http://example.org/a", "English"), ("A", "b.txt", "https://example.org/b", None), (" ", "c.pdf", None, "French")]
+    assert contracts.catalog(spark.createDataFrame(bad, kinds), **rule) == ["3 rows instead of 2", "code is blank or repeated", "language is wrong in 2 rows", "url is wrong in 2 rows", "file is no file name in 2 rows"]
+    assert contracts.catalog(spark.createDataFrame(good, kinds).drop("url"), **rule)[0].startswith("columns are")
+
+
+def test_utc_timestamp(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        row = spark.sql("select timestamp'2024-07-01 00:30:00' as t").select(text.utc_timestamp(F.col("t")).alias("x"), text.utc_timestamp().alias("now")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert row["x"] == "2024-07-01T04:30:00Z"
+    assert abs(datetime.datetime.fromisoformat(row["now"]).timestamp() - time.time()) < 60
