@@ -4,9 +4,10 @@ The index is written once per corpus, into a folder named after the files it was
 
 - ``docs``: id, key, tokens, n, block. The documents of a key are dealt by a hash of the id to
   blocks of about BLOCK, the same for all terms.
-- ``postings``: one row per term, key and block: the documents that have the term, their counts
-  and lengths, and ``most``, the largest weight in the block without the query's part. Rows are
-  sorted by term and lie in BUCKETS folders by a hash of the term.
+- ``postings``: one row per term and document: its count and the document's length; sorted by
+  term, key and block, in BUCKETS folders by a hash of the term.
+- ``blocks``: one row per term, key and block: ``most``, the largest weight that the term has in a
+  document there, without the query's part; in the same order and folders.
 - ``terms``: term, df. ``stats``: number of documents, mean length.
 
 A search reads the folders of its terms only. From the maxima alone it sums, for each query and
@@ -31,6 +32,7 @@ from tessera.sources import tables
 from .lexical import K1, TOP, B, corpus_stats, first_ids, idf, lengths
 
 BLOCK, BUCKETS, SEEDS = 256, 64, 2
+MOST_KEYS = 100_000  # keys whose sizes are broadcast (some 5 MB); more are joined by shuffle
 SLACK = 1e-6  # between a sum of maxima and a sum of weights
 
 
@@ -46,6 +48,7 @@ def weight(tf: Column, n: Column, avgdl: Column) -> Column:
 class Index:
     docs: DataFrame
     postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
 
@@ -53,18 +56,20 @@ class Index:
     def read(cls, spark: SparkSession, path: str) -> Index:
         docs = spark.read.parquet(f"{path}/docs")
         kind = {f.name: f.dataType.simpleString() for f in docs.schema}
-        found = f"array<struct<id: {kind['id']}, tf: int, n: int>>"
-        schema = f"term string, key {kind['key']}, block bigint, found {found}, most double, size int, bucket int"  # no postings leave no file to read it from
-        return cls(docs, spark.read.schema(schema).parquet(f"{path}/postings"), *(spark.read.parquet(f"{path}/{t}") for t in ("terms", "stats")))
+        place = f"term string, key {kind['key']}, block bigint, "  # no postings leave no file to read a schema from
+        postings = spark.read.schema(place + f"id {kind['id']}, tf int, n int, bucket int").parquet(f"{path}/postings")
+        blocks = spark.read.schema(place + "most double, size bigint, bucket int").parquet(f"{path}/blocks")
+        return cls(docs, postings, blocks, *(spark.read.parquet(f"{path}/{t}") for t in ("terms", "stats")))
 
 
 def build(docs: DataFrame, path: str) -> None:
     """Write the index of rows (id, key, text) to a folder that does not exist yet. Null texts are empty; null keys are a key that no query has."""
     spark = docs.sparkSession
-    sizes = docs.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = tables.written(docs.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "keys")
     lens = lengths(docs).withColumn("tokens", F.array_sort("tokens"))
-    dealt = lens.join(sizes, F.col("key").eqNullSafe(F.col("k"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("k", "blocks")
+    dealt = lens.join(F.broadcast(sizes) if sizes.count() <= MOST_KEYS else sizes, F.col("key").eqNullSafe(F.col("k"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("k", "blocks")
     tables.write(dealt, f"{path}/docs")
+    tables.release(sizes)
     lens = spark.read.parquet(f"{path}/docs")
     tables.write(corpus_stats(lens).coalesce(1), f"{path}/stats")  # one row
     stats = spark.read.parquet(f"{path}/stats")
@@ -74,13 +79,12 @@ def build(docs: DataFrame, path: str) -> None:
     terms = F.transform("starts", lambda a, k: F.struct(F.get("tokens", a).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("n")) - a).alias("tf")))
     place = ["bucket", "term", "key", "block"]
     each = runs.select("id", "key", "n", "block", F.inline(terms)).withColumn("bucket", bucket(F.col("term")))
-    # dealt by range once: the lists by these columns need no further shuffle, and files are sorted by folder and term
-    each = each.repartitionByRange(*place).crossJoin(F.broadcast(stats))  # one row
-    rows = each.groupBy(*place).agg(
-        F.collect_list(F.struct("id", "tf", "n")).alias("found"), F.max(weight(F.col("tf"), F.col("n"), F.col("avgdl"))).alias("most"), F.count(F.lit(1)).cast("int").alias("size")
-    )  # a block's documents
-    tables.write(rows.sortWithinPartitions(*place), f"{path}/postings", ["bucket"])
-    tables.write(spark.read.schema("term string, size int, bucket int").parquet(f"{path}/postings").groupBy("term").agg(F.sum("size").alias("df")), f"{path}/terms")
+    # dealt by range once, so files are sorted by folder and term, and a frequent term is many tasks
+    tables.write(each.repartitionByRange(*place).sortWithinPartitions(*place, "id"), f"{path}/postings", ["bucket"])
+    postings = spark.read.schema(each.schema).parquet(f"{path}/postings").crossJoin(F.broadcast(stats))  # one row
+    most = postings.groupBy(*place).agg(F.max(weight(F.col("tf"), F.col("n"), F.col("avgdl"))).alias("most"), F.count(F.lit(1)).alias("size"))
+    tables.write(most.repartitionByRange(*place).sortWithinPartitions(*place), f"{path}/blocks", ["bucket"])
+    tables.write(spark.read.schema(most.schema).parquet(f"{path}/blocks").groupBy("term").agg(F.sum("size").alias("df")), f"{path}/terms")
 
 
 def version(files: DataFrame) -> str:
@@ -121,7 +125,7 @@ def query_terms(index: Index, queries: DataFrame) -> DataFrame:
 
 def bounds(index: Index, q: DataFrame, folders: list[int]) -> DataFrame:
     """qid, block, bound: the most that a document of a query's key and a block can score. Reads the maxima, no document."""
-    p = index.postings.where(F.col("bucket").isin(folders)).select("bucket", F.col("term").alias("t"), "key", "block", "most")
+    p = index.blocks.where(F.col("bucket").isin(folders)).select(F.col("term").alias("t"), "key", "block", "most")
     j = q.join(p, (F.col("term") == F.col("t")) & (F.col("q_key") == F.col("key")))
     return j.groupBy("qid", "q_key", "block").agg(F.sum(F.col("factor") * F.col("most")).alias("bound"))
 
@@ -130,10 +134,9 @@ def scored(index: Index, q: DataFrame, cells: DataFrame, folders: list[int]) ->
     """qid, id, score of all documents in cells (qid, block) that have a term of the query."""
     c = cells.select(F.col("qid").alias("c_qid"), F.col("block").alias("c_block"))
     wanted = q.join(c, F.col("qid") == F.col("c_qid")).select("qid", "q_key", "term", "factor", "c_block")
-    p = index.postings.where(F.col("bucket").isin(folders)).select("bucket", F.col("term").alias("t"), "key", "block", "found")
+    p = index.postings.where(F.col("bucket").isin(folders)).select(F.col("term").alias("t"), "key", "block", "id", "tf", "n")
     j = wanted.join(p, (F.col("term") == F.col("t")) & (F.col("q_key") == F.col("key")) & (F.col("c_block") == F.col("block")))
-    each = j.select("qid", "factor", F.inline("found")).crossJoin(F.broadcast(index.stats))  # one row
-    return each.groupBy("qid", "id").agg(F.sum(F.col("factor") * weight(F.col("tf"), F.col("n"), F.col("avgdl"))).alias("score"))
+    return j.crossJoin(F.broadcast(index.stats)).groupBy("qid", "id").agg(F.sum(F.col("factor") * weight(F.col("tf"), F.col("n"), F.col("avgdl"))).alias("score"))  # the stats are one row
 
 
 def best(scores: DataFrame, top: int) -> DataFrame:

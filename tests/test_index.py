@@ -55,7 +55,7 @@ def test_plans_read_only_what_they_need(spark, tmp_path):
     q = index.query_terms(found, asked)
     plan = index.bounds(found, q, [3])._jdf.queryExecution().toString()
     scan = next(x for x in plan.split("FileScan parquet")[1:] if "most#" in x.split("Batched")[0])
-    assert "bucket" in scan.split("PartitionFilters")[1].split("PushedFilters")[0] and "found" not in scan.split("Batched")[0]
+    assert "bucket" in scan.split("PartitionFilters")[1].split("PushedFilters")[0] and "tf#" not in scan.split("Batched")[0]
 
 
 def test_stored_is_reused_and_follows_its_files(spark, tmp_path):
