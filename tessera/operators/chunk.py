@@ -37,28 +37,31 @@ def fixed_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return out.withColumn("chunk_id", T.chunk_id(F.col("doc_id"), "fixed_220_40", F.col("ordinal"), F.col("text_sha256")))
 
 
-def fence_state(lines: DataFrame, doc: str = "doc", line: str = "line", text: str = "text") -> DataFrame:
+def fence_state(lines: DataFrame, doc: str = "doc", line: str = "line", text: str = "text", held: list[DataFrame] | None = None) -> DataFrame:
     """Lines of Markdown with ``in_fence`` (inside or delimiting a code fence); a fence closes with its own marker only.
 
     A marker is a map between what may be open before and after it, and maps compose, so the
     states are a segmented scan: linear in the lines, and a long document is many tasks.
     """
     marker = F.nullif(F.regexp_extract(text, r"^ {0,3}(```|~~~)", 1), F.lit(""))
-    before = scan.scan(lines, doc, line, marker, scan.FENCES, "_open")
+    before = scan.scan(lines, doc, line, marker, scan.FENCES, "_open", held)
     return before.withColumn("in_fence", (F.col("_open") != "") | marker.isNotNull()).drop("_open")
 
 
-def heading_lines(lines: DataFrame) -> DataFrame:
+def heading_lines(lines: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """Lines (doc, line, text) with level and heading, null where a line is no ATX heading outside of fences; heading_path: the open headings above it and its own; under: the line of the last heading before it.
 
     An H1 clears the path and is not part of it; levels may be skipped.
     """
     level = F.length(F.regexp_extract("text", r"^(#{1,6})[ \t]+\S", 1))
     title = T.squeeze(F.regexp_replace(F.regexp_replace("text", r"^#{1,6}[ \t]+", ""), r"[ \t]+#+[ \t]*$", ""))
-    rows = fence_state(lines.select("doc", "line", "text")).withColumn("level", F.when(~F.col("in_fence") & (level > 0), level))
+    fences: list[DataFrame] = []
+    rows = fence_state(lines.select("doc", "line", "text"), held=fences).withColumn("level", F.when(~F.col("in_fence") & (level > 0), level))
     rows = rows.withColumn("heading", F.when(F.col("level").isNotNull(), T.visible_markdown(title)))
     symbol = F.when(F.col("level").isNotNull(), scan.heading_symbol(F.col("level"), F.col("heading"), F.col("line")))
-    rows = scan.scan(rows, "doc", "line", symbol, scan.HEADINGS, "_state").withColumn("_state", F.from_json("_state", "line long, open array<string>"))
+    rows = scan.scan(rows, "doc", "line", symbol, scan.HEADINGS, "_state", held)
+    tables.release(*fences)
+    rows = rows.withColumn("_state", F.from_json("_state", "line long, open array<string>"))
     above = F.slice(F.col("_state.open"), F.lit(1), F.greatest(F.col("level") - 2, F.lit(0)))
     path = F.array_compact(F.concat(above, F.array(F.when(F.col("level") > 1, F.col("heading")))))
     return rows.withColumn("heading_path", F.when(F.col("level").isNotNull(), path)).withColumn("under", F.col("_state.line")).drop("_state")
@@ -66,7 +69,14 @@ def heading_lines(lines: DataFrame) -> DataFrame:
 
 def sections(lines: DataFrame) -> DataFrame:
     """Logical sections of lines (doc, line, text), see ``sections_of``."""
-    return sections_of(tables.written(heading_lines(lines), "heading-lines"))
+    return sections_of(_written_headings(lines))
+
+
+def _written_headings(lines: DataFrame) -> DataFrame:
+    held: list[DataFrame] = []
+    rows = tables.written(heading_lines(lines, held), "heading-lines")
+    tables.release(*held)
+    return rows
 
 
 def sections_of(rows: DataFrame) -> DataFrame:
@@ -87,7 +97,7 @@ def sections_of(rows: DataFrame) -> DataFrame:
 
 def section_offsets(lines: DataFrame) -> DataFrame:
     """doc, section_index, token_start, token_end: each section's span in its document's token sequence."""
-    rows = tables.written(heading_lines(lines), "heading-lines")
+    rows = _written_headings(lines)
     n = F.size(T.whitespace_tokens(F.col("text")))
     before = F.sum(n).over(W.partitionBy("doc").orderBy("line")) - n
     at = rows.select(F.col("doc").alias("d"), "under", "level", n.alias("n"), before.alias("start")).where("level is null and under is not null")

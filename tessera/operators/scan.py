@@ -76,17 +76,20 @@ def _carries(m: Monoid, sums: list) -> dict[int, tuple[str | None, Any]]:
     return out
 
 
-def scan(rows: DataFrame, segment: str, order: str, symbol: Column, m: Monoid, name: str = "before") -> DataFrame:
+def scan(rows: DataFrame, segment: str, order: str, symbol: Column, m: Monoid, name: str = "before", held: list[DataFrame] | None = None) -> DataFrame:
     """``rows`` with ``name``: what ``m`` shows of the rows before each, in ``order`` within ``segment``.
 
     Rows with a null symbol change nothing. Null segments are one segment. ``order`` should be
-    unique within a segment; of rows that tie, each counts as before some others.
+    unique within a segment; of rows that tie, each counts as before some others. The result
+    reads a written table, which ``held`` gets, to be released when the result is no longer read.
     """
     own = [c for c in rows.columns if c != name]
     keyed = rows.select(*own, F.col(segment).cast("string").alias("_segment"), symbol.alias("_symbol"))
     dealt = keyed.repartitionByRange(F.col(segment), F.col(order)).sortWithinPartitions(segment, order)
     at = F.monotonically_increasing_id()
     found = tables.written(dealt.select("*", _local(m)(F.coalesce(F.concat(F.lit("="), "_segment"), F.lit("")), F.col("_symbol")).alias("_local"), at.alias("_at"), F.spark_partition_id().alias("_part")), "scan")
+    if held is not None:
+        held.append(found)
     end = F.struct(F.col("_local").alias("local"), F.col("_symbol").alias("symbol"))
     sums = found.groupBy(F.col("_part").alias("part")).agg(F.min_by("_segment", "_at").alias("first"), F.max_by("_segment", "_at").alias("last"), F.max_by(end, "_at").alias("end"))
     carries = _carries(m, sums.collect())  # one row a task
