@@ -32,6 +32,7 @@ from .index import version
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 1024, 8
 PART, QUERIES_AT_ONCE = 8192, 256
 TOP, RECALL = 5, 0.97
+LAYOUT = 1  # of the stored tables; part of an index's name
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -125,7 +126,7 @@ def build(rows: DataFrame, path: str, cells: int | None = None, recall: float =
 def stored(rows: DataFrame, of: str) -> Cells:
     """The index of vectors read from files, as they are now: built once under another name, then renamed."""
     spark = rows.sparkSession
-    path = f"{tables.shared_dir(spark)}/tessera/cells-{of}-{version(rows)}"
+    path = f"{tables.shared_dir(spark)}/tessera/cells-{LAYOUT}-{of}-{version(rows)}"
     target, fs = tables.file_system(spark, path)
     if not fs.exists(target):
         part = f"{path}.{uuid.uuid4().hex}"

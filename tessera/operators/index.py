@@ -32,6 +32,7 @@ from tessera.sources import tables
 from .lexical import K1, TOP, B, corpus_stats, first_ids, idf, lengths
 
 BLOCK, BUCKETS, SEEDS = 256, 64, 2
+LAYOUT = 2  # of the stored tables; part of an index's name
 MOST_KEYS = 100_000  # keys whose sizes are broadcast (some 5 MB); more are joined by shuffle
 SLACK = 1e-6  # between a sum of maxima and a sum of weights
 
@@ -104,7 +105,7 @@ def stored(docs: DataFrame, of: str) -> Index:
     if two sessions build it, the first to finish wins. ``of`` says what the rows are.
     """
     spark = docs.sparkSession
-    path = f"{tables.shared_dir(spark)}/tessera/index-{of}-{version(docs)}"
+    path = f"{tables.shared_dir(spark)}/tessera/index-{LAYOUT}-{of}-{version(docs)}"
     target, fs = tables.file_system(spark, path)
     if not fs.exists(target):
         part = f"{path}.{uuid.uuid4().hex}"

@@ -71,11 +71,13 @@ def release(*frames: DataFrame) -> None:
 
 
 def _remove_all() -> None:
+    """At exit: by the session's file system, or if that has ended, local paths directly; a cluster expires what is left in its checkpoint folder."""
     for path, spark in list(_written.items()):
         try:
-            if spark.sparkContext._jsc is not None:
-                p, fs = file_system(spark, path)
-                fs.delete(p, True)
-        except Exception:  # the JVM may have ended first; the cluster expires its checkpoint folder
-            break
+            p, fs = file_system(spark, path)
+            fs.delete(p, True)
+        except Exception:  # the JVM has ended
+            local = path.removeprefix("file://")
+            if local.startswith("/"):
+                shutil.rmtree(local, ignore_errors=True)
     _written.clear()
