@@ -2,7 +2,7 @@
 
 The index is written once per corpus, into a folder named after the files it was made from:
 
-- ``docs``: id, key, tokens, n, block. The documents of a key are dealt by a hash of the id to
+- ``docs``: id, key, tokens (distinct) and their counts, n (all tokens), block. The documents of a key are dealt by a hash of the id to
   blocks of about BLOCK, the same for all terms.
 - ``postings``: one row per term and document: its count and the document's length; sorted by
   term, key and block, in BUCKETS folders by a hash of the term.
@@ -32,7 +32,7 @@ from tessera.sources import tables
 from .lexical import K1, TOP, B, corpus_stats, first_ids, idf, lengths
 
 BLOCK, BUCKETS, SEEDS = 256, 64, 2
-LAYOUT = 2  # of the stored tables; part of an index's name
+LAYOUT = 3  # of the stored tables; part of an index's name
 MOST_KEYS = 100_000  # keys whose sizes are broadcast (some 5 MB); more are joined by shuffle
 SLACK = 1e-6  # between a sum of maxima and a sum of weights
 
@@ -67,19 +67,20 @@ def build(docs: DataFrame, path: str) -> None:
     """Write the index of rows (id, key, text) to a folder that does not exist yet. Null texts are empty; null keys are a key that no query has."""
     spark = docs.sparkSession
     sizes = tables.written(docs.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "keys")
-    lens = lengths(docs).withColumn("tokens", F.array_sort("tokens"))
+    # a document's distinct terms and their counts from its sorted tokens; columns, as lambdas work out what is in them for each element
+    lens = lengths(docs).withColumn("sorted", F.sort_array("tokens")).drop("tokens")
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1)))
+    lens = lens.withColumn("starts", F.when(F.col("n") > 0, starts).otherwise(F.array().cast("array<int>")))
+    counts = F.transform("starts", lambda a, k: F.coalesce(F.get("starts", k + 1), F.col("n")) - a)
+    lens = lens.select("id", "key", F.transform("starts", lambda a: F.get("sorted", a)).alias("tokens"), counts.alias("counts"), "n")
     dealt = lens.join(F.broadcast(sizes) if sizes.count() <= MOST_KEYS else sizes, F.col("key").eqNullSafe(F.col("k"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("k", "blocks")
     tables.write(dealt, f"{path}/docs")
     tables.release(sizes)
     lens = spark.read.parquet(f"{path}/docs")
     tables.write(corpus_stats(lens).coalesce(1), f"{path}/stats")  # one row
     stats = spark.read.parquet(f"{path}/stats")
-    # a document's terms and counts from its sorted tokens, so each is one row before the shuffle; columns, as lambdas work out what is in them for each element
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
-    runs = lens.where("n > 0").select("id", "key", "n", "block", "tokens", starts.alias("starts"))
-    terms = F.transform("starts", lambda a, k: F.struct(F.get("tokens", a).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("n")) - a).alias("tf")))
     place = ["bucket", "term", "key", "block"]
-    each = runs.select("id", "key", "n", "block", F.inline(terms)).withColumn("bucket", bucket(F.col("term")))
+    each = lens.select("id", "key", "n", "block", F.inline(F.arrays_zip("tokens", "counts"))).withColumnsRenamed({"tokens": "term", "counts": "tf"}).withColumn("bucket", bucket(F.col("term")))
     # dealt by range once, so files are sorted by folder and term, and a frequent term is many tasks
     tables.write(each.repartitionByRange(*place).sortWithinPartitions(*place, "id"), f"{path}/postings", ["bucket"])
     postings = spark.read.schema(each.schema).parquet(f"{path}/postings").crossJoin(F.broadcast(stats))  # one row
