@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.sources import tables
 
-from .lexical import K1, TOP, B, corpus_stats, first_ids, idf, lengths
+from .lexical import K1, TOP, B, asked_terms, corpus_stats, counted, first_ids, idf
 
 BLOCK, BUCKETS, SEEDS = 256, 64, 2
 LAYOUT = 3  # of the stored tables; part of an index's name
@@ -67,12 +67,7 @@ def build(docs: DataFrame, path: str) -> None:
     """Write the index of rows (id, key, text) to a folder that does not exist yet. Null texts are empty; null keys are a key that no query has."""
     spark = docs.sparkSession
     sizes = tables.written(docs.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "keys")
-    # a document's distinct terms and their counts from its sorted tokens; columns, as lambdas work out what is in them for each element
-    lens = lengths(docs).withColumn("sorted", F.sort_array("tokens")).drop("tokens")
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1)))
-    lens = lens.withColumn("starts", F.when(F.col("n") > 0, starts).otherwise(F.array().cast("array<int>")))
-    counts = F.transform("starts", lambda a, k: F.coalesce(F.get("starts", k + 1), F.col("n")) - a)
-    lens = lens.select("id", "key", F.transform("starts", lambda a: F.get("sorted", a)).alias("tokens"), counts.alias("counts"), "n")
+    lens = counted(docs)
     dealt = lens.join(F.broadcast(sizes) if sizes.count() <= MOST_KEYS else sizes, F.col("key").eqNullSafe(F.col("k"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("k", "blocks")
     tables.write(dealt, f"{path}/docs")
     tables.release(sizes)
@@ -119,7 +114,7 @@ def stored(docs: DataFrame, of: str) -> Index:
 
 def query_terms(index: Index, queries: DataFrame) -> DataFrame:
     """qid, q_key, term, factor (idf and count in the query) of queries (qid, key, text); terms that no document has fall out."""
-    q = queries.select("qid", F.col("key").alias("q_key"), F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("qid", "q_key", "term").agg(F.count(F.lit(1)).alias("qf"))
+    q = asked_terms(queries)
     df = index.terms.select(F.col("term").alias("t"), "df")
     j = q.join(df, F.col("term") == F.col("t")).crossJoin(F.broadcast(index.stats))  # one row
     return j.select("qid", "q_key", "term", (F.col("qf") * idf(F.col("n_docs"), F.col("df"))).alias("factor"), bucket(F.col("term")).alias("bucket"))
