@@ -13,6 +13,7 @@ the slice or, if larger, by the longest single text.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -94,6 +95,14 @@ def _remove_all() -> None:
     _tables.clear()
 
 
+def give_back() -> None:
+    """Return the freed memory of this process to the system: Arrow's pool and the C library keep what they once took, and a driver goes on for long after it has learnt a model."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

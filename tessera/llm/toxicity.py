@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
-from .shared import column_bytes, map_arrow, mix, slices, word_hashes, words
+from .shared import column_bytes, give_back, map_arrow, mix, slices, word_hashes, words
 
 TABLE_BITS = 18
 SPAN, DECAY = 6, 0.7
@@ -219,6 +219,7 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
         part = fragment_machine([r for r, g in zip(rows, fold, strict=True) if g == f], rng)
         if part is not None:
             outside[fold != f] = _features([r for r, g in zip(rows, fold, strict=True) if g != f], plain_model(*part[:2]))
+    give_back()
     z = landmark_features(list(dict.fromkeys([*known, *said])))
     w, b, whole = sentence_machine(rows, z, fold)
     usual = float(np.median(whole[label == 0]))
@@ -625,7 +626,10 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most 2 x SAMPLE_ROWS labelled documents; labels of the held-out fold are not used."""
     rows = training_rows(docs, labels, "toxic").collect()
-    return train(sorted((r["text"] or "", int(r["label"])) for r in rows))
+    model = train(sorted((r["text"] or "", int(r["label"])) for r in rows))
+    del rows
+    give_back()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
