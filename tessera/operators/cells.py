@@ -28,21 +28,14 @@ from tessera.sources import tables
 from tessera.sources.manifest import ContractError
 
 from .index import version
+from .vector import best_of_part, cosines, matrix
 
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 1024, 8
-PART, QUERIES_AT_ONCE = 8192, 256
+PART = 8192
 TOP, RECALL = 5, 0.97
 LAYOUT = 1  # of the stored tables; part of an index's name
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column of equal lengths."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def fit(sample: np.ndarray, cells: int) -> np.ndarray:
     """Spherical k-means from evenly spaced rows of the sample (which is in the order of a hash); a cell that empties keeps its centroid."""
     centroids = sample[np.linspace(0, len(sample) - 1, min(cells, len(sample))).astype(int)] if len(sample) else sample
@@ -104,12 +97,22 @@ def nearest(rows: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
     return rows.select("id", "key", "v").mapInArrow(run, schema)
 
 
+def least_hashes(rows: DataFrame, count: int) -> DataFrame:
+    """The SAMPLE rows with the least hash of the id, in that order. Every task of a sort with a limit would send that many to the driver, so what is sorted are only hashes below a bound that some more rows reach; should they be too few, all are."""
+    h = F.xxhash64("id")
+    if count > 2 * SAMPLE:
+        few = rows.where(h < int(-(2**63) + 2**64 * 1.1 * SAMPLE / count))
+        if few.count() >= SAMPLE:
+            rows = few
+    return rows.orderBy(h, "id").limit(SAMPLE)
+
+
 def build(rows: DataFrame, path: str, cells: int | None = None, recall: float = RECALL) -> None:
     """Write the index of unit vectors (id, key, v) to a folder. Rows without a vector are not in it."""
     spark = rows.sparkSession
     rows = rows.where("v is not null")
     count = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("key", "v").collect()
+    sample = least_hashes(rows, count).select("key", "v").collect()
     vectors = np.array([r["v"] for r in sample], np.float64)
     centroids = fit(vectors, cells or max(1, min(MOST_CELLS, round(count**0.5))))
     probes = calibrate(vectors, [r["key"] for r in sample], centroids, recall)
@@ -171,28 +174,7 @@ def search(index: Cells, queries: DataFrame, top: int = TOP, probes: int | None
     rows = index.lists.where(F.col("cell").isin(list(asked))).withColumn("block", each(blocks))
     q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("cell") + 1)).cast("int")).withColumn("part", each(parts))
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of each query of a block the best rows of a part with its key."""
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            v, w = matrix(left.column("v")), matrix(right.column("v"))
-            keys = pa.chunked_array([*left.column("key").chunks, *right.column("key").chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            ids = pa.chunked_array([*left.column("id").chunks, *right.column("id").chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(left.column("id").to_numpy(), kind="stable")  # equal scores by id
-            v, row_keys, row_ids = v[order], keys[: len(v)][order], ids[: len(v)][order]
-            for lo in range(0, len(w), QUERIES_AT_ONCE):
-                part = slice(lo, lo + QUERIES_AT_ONCE)
-                some = slice(len(v) + lo, len(v) + min(lo + QUERIES_AT_ONCE, len(w)))
-                s = np.round(w[part] @ v.T, 9)
-                s[(keys[some][:, None] != row_keys[None, :]) | (ids[some][:, None] == row_ids[None, :])] = -np.inf
-                at = np.argsort(-s, axis=1, kind="stable")[:, :top]
-                score = np.take_along_axis(s, at, 1)
-                i, j = np.nonzero(np.isfinite(score))
-                found.append((lo + i, order[at[i, j]], score[i, j]))
-        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"qid": right.column("id").take(pa.array(i)), "id": left.column("id").take(pa.array(j)), "score": pa.array(s)})
-
     by = ("cell", "part", "block")
-    pairs = rows.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(best, out)
+    pairs = rows.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(lambda left, right: best_of_part(left, right, top, cosines), out)
     r = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return pairs.withColumn("rank", r).where(F.col("rank") <= top)
