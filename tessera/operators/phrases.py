@@ -66,13 +66,14 @@ def _hits(texts: DataFrame, id_col: str, text: str, words: Broadcast, part: int)
         for batch in batches:
             at: list[int] = []
             found: list[int] = []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                here = {k for _, k in find.iter(t)}
+            for i, t in enumerate(batch.column("text")):  # one text at a time as a string
+                here = {k for _, k in find.iter(t.as_py())}
                 found += sorted(here)
                 at += [i] * len(here)
             ids = batch.column("id").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids.cast(kinds[0].type), pa.array([first + k for k in found], pa.int64())], schema=kinds)
 
+    tables.small_batches(texts.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

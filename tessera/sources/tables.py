@@ -33,6 +33,13 @@ def file_system(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Let a Python worker get at most so many rows and, where Spark counts them, bytes at once; a batch of whole texts is what its memory depends on most."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def write(df: DataFrame, path: str, by: list[str] = ()) -> None:
     """``df`` as files; the shuffles that it took are deleted when it stands."""
     conf = df.sparkSession.conf
