@@ -132,3 +132,11 @@ def multiset_coverage(raw: DataFrame, captured: DataFrame, key: str, token: str)
     b = captured.groupBy(key, token).agg(F.count(F.lit(1)).alias("m"))
     j = a.join(b, [key, token], "left")
     return j.groupBy(key).agg(F.sum("n").alias("raw_tokens"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("shared")).withColumn("share", F.round(F.col("shared") / F.col("raw_tokens"), 6))
+
+
+def kept_coverage(rows: DataFrame, key: str, raw: Column, kept: Column) -> DataFrame:
+    """``multiset_coverage`` where what is kept (an array of tokens) is a part of the raw ones, as multisets: then all of it is shared, so sizes say it and no token is shuffled. Of a null key nothing is shared."""
+    shared = F.when(F.col(key).isNotNull(), F.size(kept)).otherwise(0)
+    each = rows.select(key, F.size(raw).alias("n"), shared.alias("m")).where("n > 0")
+    g = each.groupBy(key).agg(F.sum("n").alias("raw_tokens"), F.sum("m").alias("shared"))
+    return g.withColumn("share", F.round(F.col("shared") / F.col("raw_tokens"), 6))

@@ -302,12 +302,8 @@ def token_multiset_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document's words its text without repeated lines keeps."""
     docs = read(spark, sf_dir, "documents").where("text is not null")
-    once = docs.select("doc_id", F.array_join(F.array_distinct(F.split("text", "\n")), "\n").alias("text"))
-
-    def rows(d: DataFrame) -> DataFrame:
-        return d.select("doc_id", F.explode(T.whitespace_tokens(F.col("text"))).alias("token"))
-
-    return integrity.multiset_coverage(rows(docs), rows(once), "doc_id", "token")
+    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")  # lines go as a whole, so its words are a part of the text's
+    return integrity.kept_coverage(docs, "doc_id", T.whitespace_tokens(F.col("text")), T.whitespace_tokens(once))
 
 
 DOC_COVERAGE_SQL = f"""
