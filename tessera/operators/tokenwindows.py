@@ -7,6 +7,7 @@ count it: a window ends at the last place where that is within the limit.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,7 +43,13 @@ def tokenizer(path: str) -> tuple[Callable[[str], list[int]], Callable[[list[int
     except ImportError:
         return lambda text: t.encode(text, add_special_tokens=False).ids, decode
     encode = tokens.encoder(path)
-    return lambda text: encode(text).tolist(), decode
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        return lambda text: encode(text).tolist(), decode
+    special = {x["id"] for x in spec.get("added_tokens") or () if x.get("special")}
+    part = [b"" if i in special else x for i, x in enumerate(tokens.token_bytes(path))]
+    return lambda text: encode(text).tolist(), lambda ids: b"".join([part[i] for i in ids]).decode("utf-8", "replace")
 
 
 def token_windows(ids: list[int], encode: Callable, decode: Callable, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, int, str, list[int]]]:

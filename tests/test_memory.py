@@ -33,6 +33,8 @@ def test_windows_are_encoded_by_the_fast_engine():
     path = tokenwindows.default_path()
     encode, decode = tokenwindows.tokenizer(path)
     slow = Tokenizer.from_file(path)
+    for ids in ([0, 1], encode("naïve 日本語 🙂")[1:-1], [*encode("a"), 0, *encode(" b")], list(range(130, 400))):
+        assert decode(ids) == slow.decode(ids, skip_special_tokens=True)
     for text in ("", "Hello  world\n\n 12,5", "naïve café 日本語 <|endoftext|> x", "a" * 5000 + "\t \t"):
         assert encode(text) == slow.encode(text, add_special_tokens=False).ids
     assert encode.__closure__ and "tessera.llm.tokens" in {c.cell_contents.__module__ for c in encode.__closure__}
